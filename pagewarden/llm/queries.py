@@ -69,7 +69,13 @@ def op10_warc_audit(spark, sf_dir):
     return audit(primary, replica, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op5_exact_dedup, op7_url_cascade, op10_warc_audit)}
+def op8_toxicity_kneser_ney(spark, sf_dir):
+    from pagewarden.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op5_exact_dedup, op7_url_cascade, op8_toxicity_kneser_ney, op10_warc_audit)}
 
 _WARC = (
     "encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)"

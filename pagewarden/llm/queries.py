@@ -43,6 +43,12 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op4_quality_additive(spark, sf_dir):
+    from pagewarden.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     from pagewarden.llm.exact_dedup import exact_duplicates
 
@@ -75,7 +81,7 @@ def op8_toxicity_kneser_ney(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op5_exact_dedup, op7_url_cascade, op8_toxicity_kneser_ney, op10_warc_audit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op4_quality_additive, op5_exact_dedup, op7_url_cascade, op8_toxicity_kneser_ney, op10_warc_audit)}
 
 _WARC = (
     "encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)"

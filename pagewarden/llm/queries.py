@@ -55,6 +55,12 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_template_decontamination(spark, sf_dir):
+    from pagewarden.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_url_cascade(spark, sf_dir):
     from pagewarden.llm.url_cascade import judge_urls
 
@@ -81,7 +87,7 @@ def op8_toxicity_kneser_ney(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op4_quality_additive, op5_exact_dedup, op7_url_cascade, op8_toxicity_kneser_ney, op10_warc_audit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op4_quality_additive, op5_exact_dedup, op6_template_decontamination, op7_url_cascade, op8_toxicity_kneser_ney, op10_warc_audit)}
 
 _WARC = (
     "encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)"

@@ -53,11 +53,22 @@ class Words:
     first_byte: np.ndarray
 
 
-def split_words(texts: list[bytes], table: np.ndarray) -> Words:
+def lowered(text: bytes) -> bytes:
+    """The text in lower case, each character in as many bytes as before (or left as it is)."""
+    if text.isascii():
+        return text.lower()
+    low = text.decode(errors="replace").lower().encode()
+    if len(low) == len(text):
+        return low
+    return "".join(x if len((x := c.lower()).encode()) == len(c.encode()) else c for c in text.decode(errors="surrogateescape")).encode(errors="surrogateescape")
+
+
+def split_words(texts: list[bytes], table: np.ndarray, fold=None) -> Words:
+    """fold, if given, is applied to each text ahead of the byte table; it must keep the number of bytes."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     first = np.cumsum(sizes) - sizes
-    folded = table[raw]
+    folded = table[raw if fold is None else np.frombuffer(b"\n".join([*map(fold, texts), b""]), np.uint8)]
     inside = np.concatenate([[False], folded != 32, [False]])
     if len(raw):
         inside[1 + first + sizes - 1] = False  # the byte between two texts

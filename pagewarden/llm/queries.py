@@ -68,6 +68,12 @@ def op7_url_cascade(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, blocked).drop("url")
 
 
+def op9_jaccard_join(spark, sf_dir):
+    from pagewarden.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_audit(spark, sf_dir):
     from pagewarden.llm.warc_audit import audit, warc_record
 
@@ -87,7 +93,7 @@ def op8_toxicity_kneser_ney(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op4_quality_additive, op5_exact_dedup, op6_template_decontamination, op7_url_cascade, op8_toxicity_kneser_ney, op10_warc_audit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op4_quality_additive, op5_exact_dedup, op6_template_decontamination, op7_url_cascade, op8_toxicity_kneser_ney, op9_jaccard_join, op10_warc_audit)}
 
 _WARC = (
     "encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)"

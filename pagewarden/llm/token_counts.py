@@ -2,8 +2,8 @@
 
 The vocabulary is a sentencepiece BPE model. No piece of such a model holds a word start behind another
 character, and a character without a piece of its own stands alone (as its bytes), so text falls into
-segments that are encoded independently: a run of spaces with the word behind it, and single characters
-that have no piece. Within a segment the table is filled from left to right. The encoding of a prefix
+segments that are encoded independently: a run of spaces with the word behind it, which two characters
+part further if no piece holds them side by side. Within a segment the table is filled from left to right. The encoding of a prefix
 that ends at i is the encoding of a shorter prefix, that ends at j, followed by one piece [j:i], and it
 is that one exactly when the last piece of the shorter prefix and the new piece stay as they are when
 only the two are encoded together. So count[i] = count[j] + 1, and every prefix has its exact count.
@@ -22,25 +22,29 @@ from pyspark.sql import functions as F
 from pagewarden.llm.common import utf8
 
 _SPACE = "▁"
-#: Entries of each cache before it is emptied.
-CACHE = 400_000
+#: Entries of each cache before it is emptied; of words, those before the last emptying are at hand, too.
+CACHE = 300_000
 
 
 def n_spaces(s: str) -> int:
     return len(s) - len(s.lstrip(_SPACE))
 
 
-class _Counts(dict):
-    """Token counts of whole words behind one space, filled as they are asked for."""
+class _Cached(dict):
+    """Values of a function, computed as they are asked for; a bounded number is kept."""
 
-    def __init__(self, owner):
+    def __init__(self, compute):
         super().__init__()
-        self.owner = owner
+        self.compute, self.older = compute, {}
 
-    def __missing__(self, word):
+    def __missing__(self, key):
         if len(self) >= CACHE:
+            self.older = self.copy()
             self.clear()
-        n = self[word] = self.owner.segment_table(_SPACE + word)[-1] if word else None
+        n = self.older.get(key)
+        if n is None:
+            n = self.compute(key)
+        self[key] = n
         return n
 
 
@@ -55,26 +59,41 @@ class PrefixCounter:
         self.pieces = {self.sp.id_to_piece(i) for i in ids}
         if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in self.pieces):
             raise ValueError("a piece of this model holds a word start behind another character")
-        self.alphabet = {p for p in self.pieces if len(p) == 1}
-        self.longest = max(map(len, self.pieces))
+        self.trie: dict = {}
+        for p in self.pieces:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         probe = self.sp.encode("\n", out_type=str)
         self.dummy = bool(probe) and probe[0] == _SPACE
         self.lead = len(probe)
-        self.stable: dict[str, bool] = {}
-        self.counts = _Counts(self)
+        self.stable: dict[str, dict[str, bool]] = {}
+        self.n_stable = 0
+        self.inner = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.parts = _Cached(lambda part: self._table(part)[0][-1])
+        self.counts = _Cached(self._word)
 
     def _alone(self, joined: str) -> list[str]:
         """The pieces of a short string that isn't at a text's start; a line end before it keeps it apart."""
         return self.sp.encode("\n" + joined, out_type=str)[self.lead :]
 
     def _stays(self, last: str, piece: str) -> bool:
-        key = last + "\n" + piece
-        known = self.stable.get(key)
-        if known is None:
-            if len(self.stable) >= CACHE:
-                self.stable.clear()
-            known = self.stable[key] = self._alone(last + piece) == ([last, piece] if last else [piece])
-        return known
+        if self.n_stable >= CACHE:
+            self.stable.clear()
+            self.n_stable = 0
+        self.n_stable += 1
+        stays = self.stable.setdefault(last, {})[piece] = self._alone(last + piece) == ([last, piece] if last else [piece])
+        return stays
+
+    def _word(self, word: str) -> int:
+        """Tokens of a word behind one space. Two characters that no piece holds side by side part it."""
+        s, inner, parts, total, begin = _SPACE + word, self.inner, self.parts, 0, 0
+        for i in range(1, len(s)):
+            if s[i - 1 : i + 1] not in inner:
+                total += parts[s[begin:i]]
+                begin = i
+        return total + parts[s[begin:]]
 
     def segment_table(self, s: str) -> list[int]:
         """Token counts of the prefixes of a segment: entry i is that of s[:i]."""
@@ -84,25 +103,42 @@ class PrefixCounter:
         # Pieces of several spaces rank below all others: the spaces merge among themselves at the end,
         # and the last one is with them unless it has become part of the word's first piece by then.
         runs = [len(self._alone(_SPACE * i)) for i in range(1, spaces + 1)]
-        tail, bare = self._table(s[spaces - 1 :])
+        tail, begin = self._table(s[spaces - 1 :])
+        bare = [False, True]
+        for j in begin[2:]:
+            bare.append(j == 1 or (j > 1 and bare[j]))
         return [0, *runs, *(runs[-1] + t - 1 if b else runs[-2] + t for t, b in zip(tail[2:], bare[2:], strict=True))]
 
-    def _table(self, s: str) -> tuple[list[int], list[bool]]:
-        """Counts of the prefixes of a segment with one leading space at most, and whether the first piece is a bare space."""
-        n, pieces = len(s), self.pieces
-        counts, last, bare = [0] * (n + 1), [""] * (n + 1), [False] * (n + 1)
-        for i in range(1, n + 1):
-            if s[i - 1] not in self.alphabet:
-                counts[i], bare[i] = counts[i - 1] + len(s[i - 1].encode()), bare[i - 1]
+    def _table(self, s: str) -> tuple[list[int], list[int]]:
+        """Counts of the prefixes of a segment with one leading space at most, and where their last pieces begin."""
+        n, stable, start = len(s), self.stable, self.trie
+        counts, last, begin = [-1] * (n + 1), [""] * (n + 1), [0] * (n + 1)
+        counts[0] = 0
+        for j in range(n):
+            node = start.get(s[j])
+            if node is None:  # a character without a piece
+                counts[j + 1], begin[j + 1] = counts[j] + len(s[j].encode()), j
                 continue
-            for j in range(max(0, i - self.longest), i):
-                piece = s[j:i]
-                if piece in pieces and self._stays(last[j], piece):
-                    counts[i], last[i], bare[i] = counts[j] + 1, piece, bare[j] if j else piece == _SPACE
+            before, i = last[j], j + 1
+            known = stable.get(before)
+            while True:
+                piece = node.get("")
+                if piece is not None and counts[i] < 0:
+                    stays = known.get(piece) if known is not None else None
+                    if stays is None:
+                        stays = self._stays(before, piece)
+                        known = stable.get(before)
+                    if stays:
+                        counts[i], last[i], begin[i] = counts[j] + 1, piece, j
+                if i == n:
                     break
-            else:
-                raise AssertionError(f"no piece ends the prefix {s[:i]!r}")
-        return counts, bare
+                node = node.get(s[i])
+                if node is None:
+                    break
+                i += 1
+        if min(counts) < 0:
+            raise AssertionError(f"no piece ends a prefix of {s!r}")
+        return counts, begin
 
     def _segments(self, text: str):
         """(segment, whether it is a separate character); the model's leading space is part of the first."""

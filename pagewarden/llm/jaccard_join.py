@@ -495,24 +495,17 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """One row for each input row: the id, n_shingles and component_id.
-
-    A text's set has its runs of five words (white-space separated, A-Z in lower case), or with fewer
-    words all of them as one; null, empty and blank texts have empty sets, link with nothing and are
-    components of their own. Sets link if 100 * shared >= 75 * all. component_id is the smallest id that
-    links reach, the own id included; null ids are larger than any other. Repeated rows link with each
-    other. An empty table gives an empty result. Other columns are not read.
-    """
+def _classes(df: DataFrame, id_col: str, text_col: str, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """row (a hash of the row), id, node, n for each row; node, component, row (of the row that stands for the component)."""
     rows = df.select(F.col(id_col).alias("id"), utf8(text_col).alias("raw")).withColumn("row", F.xxhash64("id", "raw"))
     salt = 0
     while True:
         told = frozen(_described(rows, salt))
-        nodes = frozen(told.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("name").alias("name"), F.max("name").alias("other"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
+        nodes = frozen(told.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.min("name").alias("name"), F.max("name").alias("other"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
         if nodes.filter("name != other").isEmpty():
             break
         salt += 1  # two sequences of words had the same number
-    filled = nodes.filter("n > 0").select("node", "row", "n", "bitmap")
+    filled = nodes.filter("n > 0").select("node", F.col("first.row").alias("row"), "n", "bitmap")
 
     def named(batches):
         for batch in batches:
@@ -544,10 +537,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for x in links[1:]:
         every = every.unionByName(x)
     roots = components(every)
-    part = frozen(nodes.filter("n > 0").select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    named_by = part.groupBy("root").agg(F.min("least").alias("component"))
-    by_node = part.join(named_by, "root").select("node", "component")
-    out = told.select("id", "node", "n").join(by_node, "node", "left")
+    part = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct(F.col("first.none"), F.col("first.id"), F.col("first.row")).alias("first"))
+    part = frozen(part)
+    stands = part.groupBy("root").agg(F.min("first").alias("stands"))
+    return told.select("row", "id", "node", "n"), part.join(stands, "root").select("node", F.col("stands.id").alias("component"), F.col("stands.row").alias("stands_row"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row for each input row: the id, n_shingles and component_id.
+
+    A text's set has its runs of five words (white-space separated, A-Z in lower case), or with fewer
+    words all of them as one; null, empty and blank texts have empty sets, link with nothing and are
+    components of their own. Sets link if 100 * shared >= 75 * all. component_id is the smallest id that
+    links reach, the own id included; null ids are larger than any other. Repeated rows link with each
+    other. An empty table gives an empty result. Other columns are not read.
+    """
+    told, by_node = _classes(df, id_col, text_col, crowd)
+    out = told.join(by_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -558,7 +564,10 @@ class _WordsOnly:
         self.words = split_words(raws, _TABLE)
 
 
-def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is their component's smallest, with all their columns; of equal rows all."""
-    found = jaccard_components(df, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return df.join(found, df[id_col].eqNullSafe(F.col("__id")), "left_anti")
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row of df for each component, that with the smallest id, with all its columns; rows with empty sets all stay."""
+    told, by_node = _classes(df, id_col, text_col, crowd)
+    gone = told.join(by_node, "node").filter((F.col("n") > 0) & (F.col("row") != F.col("stands_row"))).select("row").distinct()
+    row = F.xxhash64(F.col(id_col), utf8(text_col))
+    kept = df.withColumn("__row", row).join(gone.withColumnRenamed("row", "__gone"), F.col("__row") == F.col("__gone"), "left_anti")
+    return kept.drop("__row")

@@ -223,14 +223,16 @@ def _scored(docs: DataFrame, model: KneserNeyPair, id_col: str, text_col: str, k
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}{kinds}, mean_ratio double, peak_ratio double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, max_grams: int = MAX_GRAMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, max_grams: int = MAX_GRAMS, keep_text_hash: bool = False) -> DataFrame:
     """One row for each row of docs: the id, held_out, score (0 to 1), predicted, mean_ratio, peak_ratio.
 
     Labels of held-out rows, null labels and null ids are not learned from. A null text counts as empty;
     a text without words has ratios of 0. Without labelled rows of both classes every score is the
     (smoothed) share of toxic ones, or 0 if there are no labels. Repeated rows get equal scores.
+    With keep_text_hash there is also text_hash, the xxhash64 of the text's bytes, to tell rows with one id apart.
     """
     labelled = training_labels(labels, label_col, id_col)
+    hashed = {"text_hash": F.xxhash64(utf8(text_col))} if keep_text_hash else {}
     gram, n = _collected(gram_counts(docs, labelled, id_col, text_col), max_grams)
     drawn = sample(docs.select(id_col).join(labelled, id_col), sample_rows, id_col).dropDuplicates([id_col])
     size = drawn.agg(F.count(F.lit(1)), F.sum("label")).first()
@@ -238,7 +240,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     out_id = F.col("id").alias(id_col)
     if positive in (0, rows):
         share = (positive + 0.5) / (rows + 1) if rows else 0.0
-        flat = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.lit(share).alias("score"))
+        flat = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.lit(share).alias("score"), *[c.alias(k) for k, c in hashed.items()])
         return flat.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("mean_ratio", F.lit(0.0)).withColumn("peak_ratio", F.lit(0.0))
     drawn = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
     model = lambda keep: KneserNeyPair(gram[keep.any(1)], keep[:, 0][keep.any(1)], keep[:, 1][keep.any(1)])
@@ -248,8 +250,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     x = np.concatenate([p[["mean_ratio", "peak_ratio"]].to_numpy() for p in seen])
     y = np.concatenate([p["label"].to_numpy() for p in seen])
     w = _logistic(x, y)
-    both = _scored(docs, model(n[:, :2] + n[:, 2:]), id_col, text_col, [])
+    both = _scored(docs.withColumns(hashed) if hashed else docs, model(n[:, :2] + n[:, 2:]), id_col, text_col, [*hashed])
     z = F.lit(float(w[0])) * F.col("mean_ratio") + F.lit(float(w[1])) * F.col("peak_ratio") + F.lit(float(w[2]))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
     both = both.withColumn("score", score)
-    return both.select(out_id, held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_ratio", "peak_ratio")
+    return both.select(out_id, held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_ratio", "peak_ratio", *hashed)

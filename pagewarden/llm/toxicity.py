@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import held_out, utf8
+from pagewarden.llm.common import frozen, held_out, utf8
 from pagewarden.llm.labelled import sample, sigmoid, training_labels
 from pagewarden.llm.textwords import PUNCTUATION, WHITE, byte_table, chunks, mix, split_words
 
@@ -27,6 +27,8 @@ from pagewarden.llm.textwords import PUNCTUATION, WHITE, byte_table, chunks, mix
 SAMPLE_ROWS = 20_000
 #: Grams that a model keeps; if the rows have more, the rarest are left to the shared model.
 MAX_GRAMS = 4_000_000
+#: Labels (about 24 bytes each) up to which they go to the texts rather than the texts to them.
+MAX_SENT_LABELS = 2_000_000
 THRESHOLD = 0.7
 _CONTEXT, _START, _END, _DISCOUNT = 5, 2, 3, 0.75
 _TABLE = byte_table(WHITE + PUNCTUATION)
@@ -179,15 +181,14 @@ def _counted(batches):
 
 def gram_counts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of all grams in all training rows, by fold (0, 2) and class (0, 1)."""
-    rows = docs.select(F.col(id_col), utf8(text_col).alias("raw")).join(train, id_col).select("raw", (F.col("fold") + F.col("label")).cast("int").alias("kind"))
+    few = train.count() <= MAX_SENT_LABELS
+    rows = docs.select(F.col(id_col), utf8(text_col).alias("raw")).join(F.broadcast(train) if few else train, id_col).select("raw", (F.col("fold") + F.col("label")).cast("int").alias("kind"))
     counts = rows.mapInArrow(_counted, "gram bigint, n00 bigint, n01 bigint, n20 bigint, n21 bigint")
     return counts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n20", "n21")])
 
 
 def _collected(counts: DataFrame, max_grams: int):
     """The grams of one model, at most max_grams, as arrays on the driver."""
-    from pagewarden.llm.common import frozen
-
     rows = frozen(counts.withColumn("n", F.col("n00") + F.col("n01") + F.col("n20") + F.col("n21")))
     least, held = 1, rows.count()
     while held > max_grams:
@@ -231,10 +232,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     (smoothed) share of toxic ones, or 0 if there are no labels. Repeated rows get equal scores.
     With keep_text_hash there is also text_hash, the xxhash64 of the text's bytes, to tell rows with one id apart.
     """
-    labelled = training_labels(labels, label_col, id_col)
+    labelled = frozen(training_labels(labels, label_col, id_col))
     hashed = {"text_hash": F.xxhash64(utf8(text_col))} if keep_text_hash else {}
     gram, n = _collected(gram_counts(docs, labelled, id_col, text_col), max_grams)
-    drawn = sample(docs.select(id_col).join(labelled, id_col), sample_rows, id_col).dropDuplicates([id_col])
+    drawn = frozen(sample(docs.select(id_col).join(labelled, id_col), sample_rows, id_col).dropDuplicates([id_col]))
     size = drawn.agg(F.count(F.lit(1)), F.sum("label")).first()
     rows, positive = size[0], size[1] or 0
     out_id = F.col("id").alias(id_col)

@@ -17,10 +17,11 @@ LIKENESS = 0.4
 
 
 def _sum(flags: list[Column]) -> Column:
-    total = F.lit(0)
-    for flag in flags:
-        total = total + flag.cast("int")
-    return F.coalesce(total, F.lit(0))
+    """How many of some conditions hold; a null holds for none. Added up in pairs, so the expression stays shallow."""
+    terms = [flag.cast("int") for flag in flags]
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return F.coalesce(terms[0], F.lit(0)) if terms else F.lit(0)
 
 
 def url_keyword_count(url: Column, keywords: list[str] = URL_KEYWORDS) -> Column:

@@ -47,7 +47,8 @@ def pieces(url: Column, general: bool = True) -> Column:
     out = F.when(simple, fast)
     if general:
         # a null struct comes back from Python as a struct of nulls
-        slow = F.pandas_udf(_slow, _PIECES)(F.when(~simple, url))
+        # marked as it is to stay out of the inputs of other Python functions, into which it would be copied many times
+        slow = F.pandas_udf(_slow, _PIECES).asNondeterministic()(F.when(~simple, url))
         out = F.when(simple, fast).otherwise(F.when(slow["host"].isNotNull(), slow))
     return out
 

@@ -23,7 +23,8 @@ def read_parquet(spark: SparkSession, path: str, schema: str, pattern: str = "*"
     A folder that isn't there, or has no such file, gives an empty table.
     """
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    if not _exists(spark, f"{path}/{pattern}"):
+    # files may lie in folders for days and runs
+    if not (_exists(spark, f"{path}/{pattern}") or _exists(spark, f"{path}/*/{pattern}")):
         return spark.createDataFrame([], wanted)
     return spark.read.schema(wanted).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(path)
 

@@ -111,9 +111,12 @@ class PatriciaTrie:
 
     def _move_out(self) -> None:
         """Move the heaviest subtrees below the first branching out, until half the bound is free."""
-        top = self.root
+        top, others = self.root, bool(self.root.count)
         while top.kids and len(top.kids) == 1 and isinstance(only := next(iter(top.kids.values())), _Node) and only.kids:
-            top = only
+            top, others = only, others or bool(only.count)
+        if not others and len(top.kids or ()) < 2:
+            self.bound *= 2  # one long string: it can't be parted
+            return
         weights = sorted(((sum(len(n.label) + _NODE_BYTES for n in _nodes(k)), b) for b, k in (top.kids or {}).items() if isinstance(k, _Node)), reverse=True)
         for weight, b in weights:
             if self.held <= self.bound // 2:
@@ -123,6 +126,8 @@ class PatriciaTrie:
                 spill.add(*record)
             top.kids[b] = spill
             self.held -= weight
+        if self.held > self.bound:
+            self.bound *= 2
 
     def _walk(self, top: _Node, path: bytes):
         stack = [(top, path)]

@@ -19,15 +19,14 @@ rest recurses until no region is crowded.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewarden.llm.common import frozen, utf8
-from pagewarden.llm.textwords import WHITE, byte_table, chunks, split_words, windows
+from pagewarden.llm.textwords import WHITE, byte_table, chunks, mix, split_words, windows
 
 WIDTH = 5
 #: Documents of a region that is joined as it is, and pairs of a region in the recursion.
@@ -38,8 +37,14 @@ LOCAL = 1024
 MAX_CROWDED = 2_000_000
 #: Documents that become pivots in one step, and the shingles they may have together.
 MAX_PIVOTS, MAX_PIVOT_SHINGLES = 64, 500_000
+#: Shingles in bytes, and links, that one task is enough for.
+FEW_BYTES, FEW_LINKS = 48 << 20, 200_000
 _TABLE = byte_table(WHITE)
 _PAIR = "kind int, a bigint, b bigint"
+#: Shingles in a stretch of a task's documents, and documents of a stretch in which a shingle comes up often.
+STRETCH, OFTEN = 2_000_000, 3
+#: Postings that a task holds before it sends them on.
+HELD = 1_000_000
 
 
 def needed(n):
@@ -62,21 +67,26 @@ class Sets:
     def __init__(self, raws: list[bytes]):
         w = split_words(raws, _TABLE)
         h, text, _ = windows(w.hash, w.text, w.counts, WIDTH)
-        order = np.lexsort((h, text))
-        h, text = h[order], text[order]
+        ends = np.cumsum(np.bincount(text, minlength=len(raws)))
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
         self.words, self.h, self.text = w, h[new], text[new]
         self.n = np.bincount(self.text, minlength=len(raws))
         self.begin = np.cumsum(self.n) - self.n
 
-    def names(self) -> list[bytes]:
-        """16 bytes for each text that are the same for the same words in the same order."""
+    def of(self, t: int) -> np.ndarray:
+        return self.h[self.begin[t] : self.begin[t] + self.n[t]]
+
+    def names(self, salt: int) -> np.ndarray:
+        """A number for each text that is the same for the same words in the same order."""
         w = self.words
-        clean = w.folded.copy()
-        clean[clean == 10] = 32
-        ends = np.append(w.first_byte[1:], len(w.raw)) - 1
-        return [hashlib.sha256(b" ".join(clean[a:b].tobytes().split())).digest()[:16] for a, b in zip(w.first_byte, ends, strict=True)]
+        place = np.arange(len(w.text)) - (np.cumsum(w.counts) - w.counts)[w.text]
+        marked = mix(w.hash ^ mix((place + 1).astype(np.uint64) * np.uint64(2 * salt + 0x9E3779B97F4A7C15)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marked, dtype=np.uint64)])
+        ends = np.cumsum(w.counts)
+        return mix(sums[ends] - sums[ends - w.counts] + w.counts.astype(np.uint64)).view(np.int64)
 
     def bitmaps(self) -> list[bytes]:
         """For each set a bitmap of parities with at least twice as many bits as it has shingles."""
@@ -97,24 +107,41 @@ def bitmap_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _nodes_of(names: list[bytes], salt: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-    return raw[:, salt % 2] if salt < 2 else raw[:, 0] ^ (raw[:, 1] * np.int64(2 * salt + 1))
+def _described(docs: DataFrame, salt: int) -> DataFrame:
+    """A row for each document (kind 0): row (a hash of the row), id, node and name (numbers for the sequence of words), n, bitmap.
+
+    And one for each shingle that often comes up in a stretch of a task's documents (kind 1): node is the
+    shingle and n the number of documents. They only serve to put such shingles last in the order.
+    """
 
+    def often(h):
+        values, times = np.unique(np.concatenate(h), return_counts=True)
+        keep = times >= OFTEN
+        k = int(keep.sum())
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, id_type), pa.array(values[keep].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(times[keep].astype(np.int32)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, np.int32))], columns)
 
-def _described(docs: DataFrame, salt: int) -> DataFrame:
-    """row (a hash of the row), id, node (a number for the sequence of words), name, n, bitmap of each row."""
+    columns = ["row", "id", "node", "name", "n", "bitmap", "kind"]
+    id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches):
+        seen: set[int] = set()
+        held, size = [], 0
         for batch in batches:
             raws = batch.column("raw").to_pylist()
             for begin, some in chunks(raws):
                 sets = Sets(some)
-                names = sets.names()
-                part = batch.slice(begin, len(some))
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(_nodes_of(names, salt)), pa.array(names), pa.array(sets.n.astype(np.int32)), pa.array(sets.bitmaps())], ["row", "id", "node", "name", "n", "bitmap"])
+                part, node = batch.slice(begin, len(some)), sets.names(salt)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(node), pa.array(sets.names(salt + 1)), pa.array(sets.n.astype(np.int32)), pa.array(sets.bitmaps()), pa.array(np.zeros(len(some), np.int32))], columns)
+                fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
+                held.append(sets.h[fresh[sets.text]])
+                size += len(held[-1])
+                if size > STRETCH:
+                    yield often(held)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield often(held)
 
-    return docs.mapInArrow(run, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, node bigint, name binary, n int, bitmap binary")
+    return docs.mapInArrow(run, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, node bigint, name bigint, n int, bitmap binary, kind int")
 
 
 class Order:
@@ -122,8 +149,23 @@ class Order:
 
     def __init__(self, crowded: np.ndarray, sizes: np.ndarray):
         order = np.argsort(crowded)
-        self.crowded, self.rank = crowded[order], np.empty(len(order), np.int64)
+        self.crowded, self.sizes, self.rank = crowded[order], sizes[order], np.empty(len(order), np.int64)
         self.rank[np.lexsort((crowded[order], sizes[order]))] = np.arange(len(order))
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.crowded >> np.uint64(42)).astype(np.int64)] = True
+
+    def with_more(self, crowded: np.ndarray, sizes: np.ndarray) -> Order:
+        """With further pivots, or new sizes, if there is room for them."""
+        if len(self.crowded) + len(crowded) > 2 * MAX_CROWDED:
+            return self
+        known = dict(zip(self.crowded.tolist(), self.sizes.tolist(), strict=True)) | dict(zip(crowded.tolist(), sizes.tolist(), strict=True))
+        return Order(np.fromiter(known.keys(), np.uint64, len(known)), np.fromiter(known.values(), np.int64, len(known)))
+
+    def any_crowded(self, h: np.ndarray) -> np.ndarray:
+        out = self.bits[(h >> np.uint64(42)).astype(np.int64)]
+        some = np.flatnonzero(out)
+        out[some] = self.is_crowded(h[some])[0]
+        return out
 
     def is_crowded(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.crowded):
@@ -131,6 +173,17 @@ class Order:
         at = np.minimum(np.searchsorted(self.crowded, h), len(self.crowded) - 1)
         return self.crowded[at] == h, at
 
+    def prefixes(self, sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pivot, set, place) for all pivots that some sets go to."""
+        k = np.where(sets.n > 0, reach(sets.n), 0)
+        of = np.repeat(np.arange(len(k)), k)
+        first = np.cumsum(k) - k
+        place = np.arange(len(of)) - first[of]
+        s = sets.h[sets.begin[of] + place]
+        for t in np.unique(of[self.any_crowded(s)]).tolist() if len(self.crowded) else ():
+            s[first[t] : first[t] + k[t]] = self.prefix(sets.h[sets.begin[t] : sets.begin[t] + sets.n[t]])
+        return s, of, place
+
     def prefix(self, h: np.ndarray) -> np.ndarray:
         """The pivots that a set goes to, in order."""
         k = reach(len(h))
@@ -153,34 +206,75 @@ class Pivots:
             self.holds[np.searchsorted(self.shingles, s), k] = True
         self.component = np.arange(len(sets)) if component is None else component
 
-    def links(self, h: np.ndarray) -> np.ndarray:
+    def links(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pivots that a set links with, pivots within twice that distance)"""
         if not len(self.shingles):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.shingles, h), len(self.shingles) - 1)
         shared = self.holds[at[self.shingles[at] == h]].sum(0)
-        return np.flatnonzero(linked(shared, len(h), self.n))
+        return np.flatnonzero(linked(shared, len(h), self.n)), np.flatnonzero(2 * shared >= len(h) + self.n - shared)
 
 
-def _pairs_of(nodes, n, place):
-    """Pairs of one region's members (rows: regions of one size) whose sizes and places leave a link possible."""
-    i, j = np.triu_indices(nodes.shape[1], 1)
-    a, b, na, nb = nodes[:, i].ravel(), nodes[:, j].ravel(), n[:, i].ravel(), n[:, j].ravel()
-    most = 1 + np.minimum(na - place[:, i].ravel(), nb - place[:, j].ravel()) - 1
-    ok = (75 * np.maximum(na, nb) <= 100 * np.minimum(na, nb)) & linked(most, na, nb)
-    return np.minimum(a, b)[ok], np.maximum(a, b)[ok]
+#: A set of n at a pivot: the pivot's place among those that the set goes to, and the one before it (if any).
+_POSTING = np.dtype([("region", "<i8"), ("node", "<i8"), ("before", "<i8"), ("n", "<i4"), ("place", "<i4")])
+#: In the recursion also the component of the pivots a set links with (or -1), one of these pivots (modulo 64, or
+#: -1), and a bit for each pivot (modulo 64) within twice the linking distance.
+_LABELLED = np.dtype([*_POSTING.descr, ("label", "<i4"), ("pivot", "<i4"), ("near", "<u8")])
+_CLASS = ["label", "pivot", "near"]
 
 
-def _grouped(batches, names):
-    """All rows of a partition, sorted by region and node, each node of a region once."""
-    held = [[b.column(c).to_numpy() for c in names] for b in batches]
-    if not held:
-        return None
-    cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-    order = np.lexsort((cols[1], cols[0]))
-    cols = [c[order] for c in cols]
-    new = np.ones(len(order), bool)
-    new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-    return [c[new] for c in cols]
+def _edges(*cols) -> np.ndarray:
+    """Where runs of equal values begin."""
+    if not len(cols[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return np.flatnonzero(new)
+
+
+def _dealt(postings: list[np.ndarray], parts: int, local: int):
+    """Rows of part and postings, one for each part.
+
+    Of a region with over `local` of them, each class of many gives one, with place -1 and the class's size.
+    """
+    rows = np.concatenate(postings)
+    classes = [c for c in _CLASS if c in rows.dtype.names]
+    rows = rows[np.argsort(rows["region"], kind="stable")]
+    first = _edges(rows["region"])
+    size = np.diff(np.append(first, len(rows)))
+    if (size > local).any():
+        many = np.repeat(size > local, size)
+        rest, crowd = rows[~many], rows[many]
+        crowd = crowd[np.lexsort([*(crowd[c] for c in classes), crowd["region"]])]
+        first = _edges(crowd["region"], *(crowd[c] for c in classes))
+        size = np.diff(np.append(first, len(crowd)))
+        large = size > min(local, MAX_PIVOTS)
+        told = crowd[first[large]]
+        told["place"], told["n"] = -1, size[large]
+        rows = np.concatenate([rest, crowd[~np.repeat(large, size)], told])
+    part = (mix(rows["region"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    rows, part = rows[(order := np.argsort(part, kind="stable"))], part[order]
+    cuts = _edges(part)
+    for i in range(0, len(cuts), 256):
+        some = cuts[i : i + 256].tolist()
+        ends = [*some[1:], int(cuts[i + 256]) if i + 256 < len(cuts) else len(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[some].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(some, ends, strict=True)], pa.binary())], ["part", "postings"])
+
+
+def _grouped(batches, kind):
+    """All postings of a partition, sorted by region and node, each node of a region once; those alone in a region are left out."""
+    held = [np.frombuffer(x, kind) for b in batches for x in b.column("postings").to_pylist()]
+    rows = np.concatenate(held) if held else np.zeros(0, kind)
+    del held
+    order = np.argsort(rows["region"])
+    region = rows["region"][order]
+    same = region[1:] == region[:-1]
+    keep = np.append(False, same) | np.append(same, False) if len(rows) else np.zeros(0, bool)
+    rows = rows[order[keep | (rows["place"][order] < 0)]]
+    rows = rows[np.lexsort((rows["node"], rows["region"]))]
+    new = np.zeros(len(rows), bool)
+    new[_edges(rows["region"], rows["node"])] = True
+    return rows[new | (rows["place"] < 0)]
 
 
 def _rows(kind, a, b):
@@ -190,71 +284,99 @@ def _rows(kind, a, b):
 
 
 def _distinct(a, b):
-    if not len(a):
-        return a, b
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+    first = _edges(a[order], b[order])
+    return a[order][first], b[order][first]
+
+
+def _parts(df: DataFrame) -> int:
+    return max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+class Phases:
+    """Orders of one phase after the other, and the pivots that each phase but the last left crowded."""
 
+    def __init__(self, orders: list[Order], crowds: list[Order]):
+        self.orders, self.crowds = orders, crowds
 
-def _replicated(docs: DataFrame) -> DataFrame:
-    """region, node, n, place: each set at the pivots within its window. place -1: a task has LOCAL of them, n says so."""
+    def going_on(self, sets: Sets) -> list[int]:
+        """The sets that went to a crowded pivot in every phase that left some."""
+        s, of, _ = self.orders[0].prefixes(sets)
+        alive = np.unique(of[self.crowds[0].any_crowded(s)]).tolist()
+        for order, crowd in zip(self.orders[1:], self.crowds[1:], strict=False):
+            alive = [t for t in alive if crowd.any_crowded(order.prefix(sets.of(t))).any()]
+        return alive
+
+    def prefixes(self, sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pivot, set, place) of the last phase."""
+        if not self.crowds:
+            return self.orders[0].prefixes(sets)
+        alive = self.going_on(sets)
+        found = [self.orders[-1].prefix(sets.of(t)) for t in alive]
+        size = np.array([len(x) for x in found], np.int64)
+        of = np.repeat(np.array(alive, np.int64), size)
+        return np.concatenate([np.zeros(0, np.uint64), *found]), of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _replicated(docs: DataFrame, phases: Phases, salt: int) -> DataFrame:
+    """part, postings: each set of the phase at the pivots within its window."""
+    sent, parts = docs.sparkSession.sparkContext.broadcast(phases), _parts(docs)
 
     def run(batches):
         seen: set[int] = set()
+        held, size = [], 0
         for batch in batches:
-            raws, nodes = batch.column("raw").to_pylist(), batch.column("node").to_numpy()
-            for begin, some in chunks(raws, 8 << 20):
-                own = nodes[begin : begin + len(some)]
-                fresh = [k for k, x in enumerate(own.tolist()) if x not in seen and not seen.add(x)]
-                sets = Sets([some[k] for k in fresh])
-                k = np.where(sets.n > 0, reach(sets.n), 0)
-                of = np.repeat(np.arange(len(fresh)), k)
-                place = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
-                s = sets.h[sets.begin[of] + place].view(np.int64)
-                yield from crowds_cut(s, own[fresh][of], sets.n[of], place)
-
-    def crowds_cut(s, node, n, place):
-        values, at, times = np.unique(s, return_inverse=True, return_counts=True)
-        crowded = times > LOCAL
-        keep = ~crowded[at]
-        s = np.concatenate([s[keep], values[crowded]])
-        node = np.concatenate([node[keep], np.full(crowded.sum(), -1, np.int64)])
-        n = np.concatenate([n[keep], times[crowded]]).astype(np.int32)
-        place = np.concatenate([place[keep], np.full(crowded.sum(), -1)]).astype(np.int32)
-        for i in range(0, len(s), 100_000):
-            part = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(s[part]), pa.array(node[part]), pa.array(n[part]), pa.array(place[part])], ["region", "node", "n", "place"])
-
-    return docs.mapInArrow(run, "region bigint, node bigint, n int, place int")
+            for _, some in chunks(batch.column("raw").to_pylist()):
+                sets = Sets(some)
+                node = sets.names(salt)
+                fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
+                s, of, place = sent.value.prefixes(sets)
+                keep = fresh[of]
+                s, of, place = s[keep], of[keep], place[keep]
+                rows = np.empty(len(s), _POSTING)
+                rows["region"], rows["node"], rows["n"], rows["place"] = s.view(np.int64), node[of], sets.n[of], place
+                rows["before"] = np.roll(rows["region"], 1)
+                held.append(rows)
+                size += len(rows)
+                if size > HELD:
+                    yield from _dealt(held, parts, LOCAL)
+                    held, size = [], 0
+        if held:
+            yield from _dealt(held, parts, LOCAL)
+
+    return docs.mapInArrow(run, "part int, postings binary")
 
 
 def _joined(crowd: int):
-    """Pairs of the regions of a partition (kind 0), and the crowded ones with their sizes (kind 1)."""
+    """Pairs of the regions of a partition (kind 0), and the crowded ones with their sizes (kind 1).
+
+    Two sets that share the pivot before this one, too, have met there, and needn't meet again.
+    """
 
     def run(batches):
-        cols = _grouped(batches, ["region", "node", "n", "place"])
-        if cols is None:
+        rows = _grouped(batches, _POSTING)
+        if not len(rows):
             return
-        s, node, n, place = cols
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        s, node, before, n, place = (np.ascontiguousarray(rows[c]) for c in _POSTING.names)
+        first = _edges(s)
         size = np.diff(np.append(first, len(s)))
-        told = np.zeros(len(s), np.int64)
-        told[place < 0] = n[place < 0]
-        told = np.add.reduceat(told, first) if len(first) else told
+        told = np.add.reduceat(np.where(place < 0, n, 0).astype(np.int64), first)
         many = (size > crowd) | (told > 0)
         yield from _rows(1, s[first[many]], (size + told)[many])
-        out_a, out_b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m in np.unique(size[(size > 1) & ~many]).tolist():
             of = first[(size == m) & ~many]
-            for i in range(0, len(of), 20_000):
-                rows = of[i : i + 20_000, None] + np.arange(m)
-                a, b = _distinct(*_pairs_of(node[rows], n[rows].astype(np.int64), place[rows].astype(np.int64)))
+            i, j = np.triu_indices(m, 1)
+            for k in range(0, len(of), max(1, 400_000 // len(i))):
+                at = of[k : k + max(1, 400_000 // len(i)), None]
+                x, y = (at + i).ravel(), (at + j).ravel()
+                nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
+                ok = (75 * np.maximum(nx, ny) <= 100 * np.minimum(nx, ny)) & linked(np.minimum(nx - place[x], ny - place[y]), nx, ny)
+                ok &= (before[x] != before[y]) | (place[x] == 0) | (place[y] == 0)
+                x, y = x[ok], y[ok]
+                a, b = _distinct(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
                 out_a.append(a)
                 out_b.append(b)
-                held += len(a)
         yield from _rows(0, *_distinct(np.concatenate(out_a), np.concatenate(out_b)))
 
     return run
@@ -265,23 +387,19 @@ def _collected_crowd(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["a"].to_numpy().astype(np.int64).view(np.uint64), pdf["b"].to_numpy().astype(np.int64)
 
 
-def _crowded_sets(docs: DataFrame, order: Order) -> DataFrame:
-    """node, shingles of the sets that go to a crowded pivot; each once."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+def _crowded_sets(docs: DataFrame, phases: Phases, salt: int) -> DataFrame:
+    """node, shingles of the sets that went to a crowded pivot in every phase; each once."""
+    sent = docs.sparkSession.sparkContext.broadcast(phases)
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            raws, nodes = batch.column("raw").to_pylist(), batch.column("node").to_numpy()
-            for begin, some in chunks(raws):
-                own = nodes[begin : begin + len(some)]
+            for _, some in chunks(batch.column("raw").to_pylist()):
                 sets = Sets(some)
-                k = np.where(sets.n > 0, reach(sets.n), 0)
-                place = np.arange(len(sets.h)) - sets.begin[sets.text]
-                hit = (place < k[sets.text]) & sent.value.is_crowded(sets.h)[0]
-                some_in = [t for t in np.unique(sets.text[hit]).tolist() if (x := int(own[t])) not in seen and not seen.add(x)]
+                own = sets.names(salt)
+                some_in = [t for t in sent.value.going_on(sets) if (x := int(own[t])) not in seen and not seen.add(x)]
                 if some_in:
-                    yield pa.RecordBatch.from_arrays([pa.array(own[some_in]), pa.array([sets.h[sets.begin[t] : sets.begin[t] + sets.n[t]].tobytes() for t in some_in], pa.binary())], ["node", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[some_in]), pa.array([sets.of(t).tobytes() for t in some_in], pa.binary())], ["node", "shingles"])
 
     return _each_node_once(docs.mapInArrow(run, "node bigint, shingles binary"))
 
@@ -296,77 +414,126 @@ def _each_node_once(sets: DataFrame) -> DataFrame:
     return sets.repartition("node").mapInArrow(run, "node bigint, shingles binary")
 
 
-def _recursive_rows(sets: DataFrame, order: Order, pivots: Pivots) -> DataFrame:
-    """region, node, n, place, label (component of document pivots, or -1), pivot (whether it is one)."""
-    sent = sets.sparkSession.sparkContext.broadcast((order, pivots, set(pivots.nodes.tolist())))
+def _recursive_rows(sets: DataFrame, sent, local: int) -> DataFrame:
+    """As _replicated(), for sets, with their classes. Sets that are pivots are left out: all their links are known."""
+    parts = _parts(sets)
 
     def run(batches):
-        order, pivots, known = sent.value
+        order, pivots, _ = sent.value
+        known = set(pivots.nodes.tolist())
+        held, size = [], 0
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.uint64)
                 if node in known:
-                    continue  # all its links are known
-                s = order.prefix(h)
-                links = pivots.links(h)
-                label = int(pivots.component[links[0]]) if len(links) else -1
-                k = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(k, node, np.int64)), pa.array(np.full(k, len(h), np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, label, np.int32))], ["region", "node", "n", "place", "label"])
-
-    return sets.mapInArrow(run, "region bigint, node bigint, n int, place int, label int")
+                    continue
+                h = np.frombuffer(raw, np.uint64)
+                s, (links, near) = order.prefix(h), pivots.links(h)
+                rows = np.empty(len(s), _LABELLED)
+                rows["region"], rows["node"], rows["n"], rows["place"] = s.view(np.int64), node, len(h), np.arange(len(s))
+                rows["before"] = 0
+                rows["label"], rows["pivot"] = (pivots.component[links[0]], links[0] % 64) if len(links) else (-1, -1)
+                rows["near"] = np.bitwise_or.reduce(np.uint64(1) << (near % 64).astype(np.uint64), initial=np.uint64(0))
+                held.append(rows)
+                size += len(s)
+                if size > HELD:
+                    yield from _dealt(held, parts, local)
+                    held, size = [], 0
+        if held:
+            yield from _dealt(held, parts, local)
+
+    return sets.mapInArrow(run, "part int, postings binary")
+
+
+def _class_pairs(classes: np.ndarray):
+    """Pairs of a region's classes with members that may link across components.
+
+    Who links with a pivot's member is within twice the linking distance of that pivot.
+    """
+    label, pivot, near = classes["label"], classes["pivot"], classes["near"]
+    bit = lambda masks, p: np.where(p < 0, True, (masks >> np.maximum(p, 0).astype(np.uint64)) & np.uint64(1) == 1)
+    i, j = np.triu_indices(len(classes))
+    ok = ((label[i] != label[j]) | (label[i] < 0)) & bit(near[j], pivot[i]) & bit(near[i], pivot[j])
+    return i[ok], j[ok]
 
 
 def _joined_recursively(limit: int):
     """Pairs across components (kind 0), crowded regions with sizes (kind 1), candidates for pivots in them (kind 2)."""
 
     def run(batches):
-        cols = _grouped(batches, ["region", "node", "n", "place", "label"])
-        if cols is None:
+        rows = _grouped(batches, _LABELLED)
+        if not len(rows):
             return
-        s, node, n, place, label = cols
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        first = _edges(rows["region"])
         out_a, out_b, crowded, candidates = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
-        for a, b in zip(first.tolist(), np.append(first[1:], len(s)).tolist(), strict=True):
-            m = b - a
-            if m < 2:
-                continue
-            own = label[a:b]
-            free = int((own < 0).sum())
-            sizes = np.unique(own[own >= 0], return_counts=True)[1].astype(np.int64)
-            cross = m * (m - 1) // 2 - int((sizes * (sizes - 1) // 2).sum())
+        for a, b in zip(first.tolist(), np.append(first[1:], len(rows)).tolist(), strict=True):
+            region = rows[a:b]
+            told = region["place"] < 0
+            key = region[_CLASS]
+            order = np.lexsort([key[c] for c in _CLASS])
+            begin = _edges(*(key[c][order] for c in _CLASS))
+            members = np.split(order, begin[1:])
+            weight = np.where(told, region["n"], 1).astype(np.int64)
+            size = np.array([int(weight[m].sum()) for m in members])
+            i, j = _class_pairs(key[order[begin]])
+            cross = int(np.where(i == j, size[i] * (size[i] - 1) // 2, size[i] * size[j]).sum())
             if not cross:
                 continue
-            if cross > limit:
-                crowded.append((s[a], m))
-                pool = node[a:b][own < 0] if free else node[a:b]
-                candidates.append((int(pool[np.argmin(pool.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]), m))
+            if cross > limit or told.any():
+                crowded.append((int(region["region"][0]), int(weight.sum())))
+                pool = region[np.concatenate([members[k] for k in np.unique(np.concatenate([i, j]))])]
+                pool = pool["node"][pool["label"] < 0] if (pool["label"] < 0).any() else pool["node"]
+                few = pool[np.argsort(mix(pool.view(np.uint64)))[:MAX_PIVOTS]]
+                candidates += [(int(x), int(weight.sum())) for x in few]
                 continue
-            i, j = np.triu_indices(m, 1)
-            apart = (own[i] < 0) | (own[i] != own[j])
-            x, y = node[a:b], n[a:b].astype(np.int64)
-            i, j = i[apart], j[apart]
-            most = np.minimum(y[i] - place[a:b][i], y[j] - place[a:b][j])
-            ok = (75 * np.maximum(y[i], y[j]) <= 100 * np.minimum(y[i], y[j])) & linked(most, y[i], y[j])
-            out_a.append(np.minimum(x[i], x[j])[ok])
-            out_b.append(np.maximum(x[i], x[j])[ok])
+            x, y = [], []
+            for k, m in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = np.triu_indices(len(members[k]), 1) if k == m else (g.ravel() for g in np.indices((len(members[k]), len(members[m]))))
+                x.append(members[k][p])
+                y.append(members[m][q])
+            x, y = region[np.concatenate(x)], region[np.concatenate(y)]
+            nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+            most = np.minimum(nx - x["place"], ny - y["place"])
+            ok = (75 * np.maximum(nx, ny) <= 100 * np.minimum(nx, ny)) & linked(most, nx, ny)
+            out_a.append(np.minimum(x["node"], y["node"])[ok])
+            out_b.append(np.maximum(x["node"], y["node"])[ok])
         yield from _rows(0, *_distinct(np.concatenate(out_a), np.concatenate(out_b)))
-        for kind, rows in ((1, crowded), (2, candidates)):
-            if rows:
-                yield from _rows(kind, *(np.array(x, np.int64) for x in zip(*rows, strict=True)))
+        for kind, found in ((1, crowded), (2, candidates)):
+            if found:
+                yield from _rows(kind, *(np.array(x, np.int64) for x in zip(*found, strict=True)))
 
     return run
 
 
-def _pivot_links(sets: DataFrame, pivots: Pivots) -> DataFrame:
-    """node, pivot (its number) for each link of a set with a document pivot."""
-    sent = sets.sparkSession.sparkContext.broadcast(pivots)
+def _still_crowded(sets: DataFrame, sent) -> DataFrame:
+    """The sets that go to a crowded pivot."""
 
     def run(batches):
+        order, crowd = sent.value
         for batch in batches:
-            rows = [(node, int(p)) for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True) for p in sent.value.links(np.frombuffer(raw, np.uint64))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int32()))], ["node", "pivot"])
+            keep = [i for i, raw in enumerate(batch.column("shingles").to_pylist()) if crowd.any_crowded(order.prefix(np.frombuffer(raw, np.uint64))).any()]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return sets.mapInArrow(run, "node bigint, shingles binary")
 
-    return sets.mapInArrow(run, "node bigint, pivot int")
+
+def _pivot_links(sets: DataFrame, sent) -> DataFrame:
+    """a, b, kind: one link of each set that links with pivots (kind 0), and each two pivots that share a set (kind 1)."""
+
+    def run(batches):
+        nodes, shared = sent.value.nodes, set()
+        for batch in batches:
+            rows = []
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                links = sent.value.links(np.frombuffer(raw, np.uint64))[0]
+                if len(links):
+                    rows.append((node, int(nodes[links[0]])))
+                    shared.update((int(links[0]), int(p)) for p in links[1:])
+            if rows:
+                yield from _rows(0, *(np.array(x, np.int64) for x in zip(*rows, strict=True)))
+        if shared:
+            yield from _rows(1, *(nodes[list(x)] for x in zip(*shared, strict=True)))
+
+    return sets.mapInArrow(run, _PAIR)
 
 
 def _merged(count: int, pairs) -> np.ndarray:
@@ -384,22 +551,40 @@ def _merged(count: int, pairs) -> np.ndarray:
     return np.array([find(k) for k in range(count)], np.int64)
 
 
-def _recursive_join(sets: DataFrame, crowded: np.ndarray, sizes: np.ndarray) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Candidate pairs and links (a, b) among sets that go to crowded pivots."""
+def _with_sent(sc, value, use):
+    """What use() makes of a value sent to all tasks, written down, and the value taken back."""
+    sent = sc.broadcast(value)
+    out = frozen(use(sent))
+    sent.destroy()
+    return out
+
+
+def _recursive_join(sets: DataFrame, size_of: dict[int, int]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Candidate pairs and links (a, b) among sets; size_of has the pivots that come last, with sizes."""
     pairs, links = [], []
     all_nodes: list[int] = []
     all_sets: list[np.ndarray] = []
-    size_of = dict(zip(crowded.tolist(), sizes.tolist(), strict=True))
     component = np.zeros(0, np.int64)
     merged: list[tuple[int, int]] = []
+    limit, sc = PAIRS, sets.sparkSession.sparkContext
     while True:
+        # sets of a bounded size don't need many tasks
+        few = (sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) <= FEW_BYTES
+        sets = sets.coalesce(1) if few else sets
         order = Order(np.fromiter(size_of.keys(), np.uint64, len(size_of)), np.fromiter(size_of.values(), np.int64, len(size_of)))
         pivots = Pivots(np.array(all_nodes, np.int64), all_sets, component)
-        found = frozen(_recursive_rows(sets, order, pivots).repartition("region").mapInArrow(_joined_recursively(PAIRS), _PAIR))
+        local = FEW_BYTES if few else LOCAL
+
+        def joined(sent, sets=sets, few=few, local=local, limit=limit):
+            rows = _recursive_rows(sets, sent, local)
+            return (rows if few else rows.repartition("part")).mapInArrow(_joined_recursively(limit), _PAIR)
+
+        found = _with_sent(sc, (order, pivots, None), joined)
         pairs.append(found.filter("kind = 0").select("a", "b"))
         h, m = _collected_crowd(found)
         if not len(h):
             return pairs, links
+        sets = _with_sent(sc, (order, Order(h, m)), lambda sent, sets=sets: _still_crowded(sets, sent))
         if len(size_of) < MAX_CROWDED:
             size_of |= dict(zip(h.tolist(), m.tolist(), strict=True))
         ranked = found.filter("kind = 2").groupBy("a").agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "a").limit(MAX_PIVOTS)
@@ -407,24 +592,19 @@ def _recursive_join(sets: DataFrame, crowded: np.ndarray, sizes: np.ndarray) ->
         new_nodes, new_sets, held = [], [], 0
         for r in ranked.collect():
             own = drawn[r["a"]]
-            if new_nodes and (held + len(own) > MAX_PIVOT_SHINGLES or len(Pivots(np.array(new_nodes), new_sets).links(own))):
+            if new_nodes and (held + len(own) > MAX_PIVOT_SHINGLES or len(Pivots(np.array(new_nodes), new_sets).links(own)[0])):
                 continue  # it is linked with a pivot of this step already
             new_nodes.append(r["a"])
             new_sets.append(own)
             held += len(own)
-        reached = frozen(_pivot_links(sets, Pivots(np.array(new_nodes, np.int64), new_sets)))
-        number = F.element_at(F.array(*[F.lit(int(x)) for x in new_nodes]), F.col("pivot") + 1)
-        links.append(reached.select(F.col("node").alias("a"), number.alias("b")).filter("a != b"))
-        # pivots of this step, and those of earlier ones, that reach the same document
-        offset = len(all_nodes)
         all_nodes += new_nodes
         all_sets += new_sets
-        every = reached.select("node", (F.col("pivot") + offset).alias("pivot"))
-        older = _pivot_links(sets, Pivots(np.array(all_nodes[:offset], np.int64), all_sets[:offset])) if offset else None
-        every = every if older is None else every.unionByName(older)
-        least = every.groupBy("node").agg(F.min("pivot").alias("least"))
-        merged += [(r["least"], r["pivot"]) for r in every.join(least, "node").filter("least != pivot").select("least", "pivot").distinct().collect()]
+        reached = _with_sent(sc, Pivots(np.array(all_nodes, np.int64), all_sets), lambda sent, sets=sets: _pivot_links(sets, sent))
+        links.append(reached.select("a", "b").filter("a != b"))
+        number = {x: k for k, x in enumerate(all_nodes)}
+        merged += [(number[r["a"]], number[r["b"]]) for r in reached.filter("kind = 1").select("a", "b").distinct().collect()]
         component = _merged(len(all_nodes), merged)
+        limit *= 2  # pivots have taken the close ones; what is left is far apart and few
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -476,9 +656,26 @@ def _sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return _each_node_once(chosen.mapInArrow(run, "node bigint, shingles binary"))
 
 
+def _roots(batches):
+    """node, root of a bounded number of links (u, v), in one task."""
+    nodes = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not nodes:
+        return
+    ends = np.concatenate([np.concatenate(x) for x in nodes])
+    node, at = np.unique(ends, return_inverse=True)
+    pairs, i = [], 0
+    for u, _ in nodes:
+        k = len(u)
+        pairs += zip(at[i : i + k].tolist(), at[i + k : i + 2 * k].tolist(), strict=True)
+        i += 2 * k
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[_merged(len(node), pairs)])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b): the smallest node of its component, by alternating stars."""
     edges = frozen(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_roots, "node bigint, root bigint")
     while True:
         # large star: a node's larger neighbours are hung to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -495,48 +692,49 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, crowd: int) -> tuple[DataFrame, DataFrame]:
     """row (a hash of the row), id, node, n for each row; node, component, row (of the row that stands for the component)."""
     rows = df.select(F.col(id_col).alias("id"), utf8(text_col).alias("raw")).withColumn("row", F.xxhash64("id", "raw"))
     salt = 0
     while True:
-        told = frozen(_described(rows, salt))
-        nodes = frozen(told.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.min("name").alias("name"), F.max("name").alias("other"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
+        every = frozen(_described(rows, salt))
+        told = every.filter("kind = 0").drop("kind")
+        nodes = told.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.min("name").alias("name"), F.max("name").alias("other"), F.max("n").alias("n"), F.max_by("bitmap", "row").alias("bitmap"))
+        nodes = frozen(nodes)
         if nodes.filter("name != other").isEmpty():
             break
-        salt += 1  # two sequences of words had the same number
+        salt += 2  # two sequences of words had the same number
     filled = nodes.filter("n > 0").select("node", F.col("first.row").alias("row"), "n", "bitmap")
-
-    def named(batches):
-        for batch in batches:
-            raws = batch.column("raw").to_pylist()
-            for begin, some in chunks(raws):
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes_of(Sets.names(_WordsOnly(some)), salt)), pa.array(some, pa.binary())], ["node", "raw"])
-
-    texts = rows.select("raw").mapInArrow(named, "node bigint, raw binary")
-    while True:
-        found = frozen(_replicated(texts).repartition("region").mapInArrow(_joined(crowd), _PAIR))
-        if found.filter("kind = 1").count() <= MAX_CROWDED:
+    late = every.filter("kind = 1").groupBy("node").agg(F.sum("n").cast("bigint").alias("n")).filter(F.col("n") > crowd).orderBy(F.desc("n"), "node").limit(MAX_CROWDED).toPandas()
+    late = Order(late["node"].to_numpy().astype(np.int64).view(np.uint64), late["n"].to_numpy().astype(np.int64))
+    texts = rows.select("raw")
+    phases, pairs, links = Phases([late], []), [], []
+    for limit in (crowd, 4 * crowd):
+        while True:
+            found = frozen(_replicated(texts, phases, salt).repartition("part").mapInArrow(_joined(limit), _PAIR))
+            if found.filter("kind = 1").count() <= MAX_CROWDED:
+                break
+            limit *= 2
+        pairs.append(found.filter("kind = 0").select("a", "b"))
+        hot, sizes = _collected_crowd(found)
+        if not len(hot):
             break
-        crowd *= 2
-    pairs = found.filter("kind = 0").select("a", "b").distinct()
-    links = []
-    hot, sizes = _collected_crowd(found)
-    possible = frozen(_possible(pairs, filled))
-    wanted = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-    links.append(_verified(possible, frozen(_sets_of(rows, filled.join(wanted, "node").select("row", "node")))))
+        late = late.with_more(hot, sizes)
+        phases = Phases([*phases.orders, late], [*phases.crowds, Order(hot, sizes)])
     if len(hot):
-        sets = frozen(_crowded_sets(texts, Order(hot, sizes)))
-        more, direct = _recursive_join(sets, hot, sizes)
-        every = more[0]
-        for p in more[1:]:
-            every = every.unionByName(p)
-        links.append(_verified(_possible(every.distinct(), filled), sets))
-        links += direct
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    roots = components(every)
+        more, links = _recursive_join(frozen(_crowded_sets(texts, phases, salt)), dict(zip(late.crowded.tolist(), late.sizes.tolist(), strict=True)))
+        pairs += more
+    possible = frozen(_possible(_all(pairs).distinct(), filled))
+    wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links.append(_verified(possible, _sets_of(rows, filled.join(wanted, "node").select("row", "node"))))
+    roots = components(_all(links))
     part = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct(F.col("first.none"), F.col("first.id"), F.col("first.row")).alias("first"))
     part = frozen(part)
     stands = part.groupBy("root").agg(F.min("first").alias("stands"))
@@ -557,13 +755,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
-class _WordsOnly:
-    """The part of Sets that names() needs."""
-
-    def __init__(self, raws: list[bytes]):
-        self.words = split_words(raws, _TABLE)
-
-
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row of df for each component, that with the smallest id, with all its columns; rows with empty sets all stay."""
     told, by_node = _classes(df, id_col, text_col, crowd)

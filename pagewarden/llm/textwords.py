@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
-_BASE, _SPAN = np.uint64(0x9E3779B97F4A7C15), 1 << 12
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = np.frombuffer(bytes(range(65, 91)), np.uint8)
 #: The six ASCII white-space characters.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -15,15 +16,6 @@ PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 CHUNK = 1 << 20
 
 
-def _powers() -> np.ndarray:
-    out = np.full(_SPAN, _BASE, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_POWERS = _powers()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -79,17 +71,28 @@ def split_words(texts: list[bytes], table: np.ndarray, fold=None) -> Words:
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for spans in ascending order that don't overlap."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    """64-bit hashes of data[start:end], eight bytes at a time; spans of over 256 bytes one by one."""
     size = end - start
-    firsts = np.cumsum(size) - size
-    rel = np.arange(firsts[-1] + size[-1]) - np.repeat(firsts, size)
-    values = data[rel + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)
-    values *= _POWERS[rel & (_SPAN - 1)]
-    if size.max() > _SPAN:
-        values = mix(values + (rel // _SPAN).astype(np.uint64))
-    return mix(np.add.reduceat(values, firsts) + size.astype(np.uint64))
+    out = mix(size.astype(np.uint64) + _BASE)
+    if not len(start):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    left, at, which = size.astype(np.int64), start.astype(np.int64), np.arange(len(start))
+    long = np.flatnonzero(size > 256)
+    if len(long):
+        for k in long.tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        keep = size <= 256
+        left, at, which = left[keep], at[keep], which[keep]
+    while len(which):
+        value = eight[at]
+        part = left < 8
+        value[part] &= (np.uint64(1) << (left[part].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[which] = mix(out[which] ^ value)
+        more = left > 8
+        left, at, which = left[more] - 8, at[more] + 8, which[more]
+    return out
 
 
 def windows(codes: np.ndarray, text: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

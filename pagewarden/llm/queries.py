@@ -11,7 +11,7 @@ URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/":
 BLOCKED_HOSTS = ["spam-farm.example.org/", "ads-track.example.com/", "cheap-pills.example.com/", "ads-track.example.net/", "cheap-pills.example.org/"]
 SHARD_DIMENSIONS = ["lang", "source", "size"]
 TOKEN_LIMIT = 4096
-#: In the audit, a replica's record has a flipped bit where crc32 of the page's id is a multiple of this.
+#: In the audit, a replica's record has a flipped bit where the page's id is a multiple of this.
 DAMAGE_EVERY = 97
 
 
@@ -79,7 +79,7 @@ def op10_warc_audit(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages")
     sound = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    hit = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit(""))) % DAMAGE_EVERY == 0
+    hit = F.coalesce(F.col("page_id") % DAMAGE_EVERY == 0, F.lit(False))
     # the last byte of the record, a line end, with its lowest bit flipped
     harmed = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit(b"\x0b"))
     primary = pages.select("page_id", sound.alias("record"))
@@ -95,10 +95,12 @@ def op8_toxicity_kneser_ney(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_bpe_tree, op3_token_counts, op4_quality_additive, op5_exact_dedup, op6_template_decontamination, op7_url_cascade, op8_toxicity_kneser_ney, op9_jaccard_join, op10_warc_audit)}
 
+_CRLF = "chr(13) || chr(10)"
+#: A page's WARC record without its last byte.
 _WARC = (
-    "encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)"
-    " || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)"
-    " || coalesce(html, '') || chr(13) || chr(10) || chr(13)"
+    f"encode('WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || {_CRLF}"
+    f" || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF} || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF}"
+    f" || coalesce(html, '') || {_CRLF} || chr(13))"
 )
 
 ORACLE_SQL = {
@@ -106,6 +108,24 @@ ORACLE_SQL = {
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+        c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = w.doc_id""",
+    "op10_warc_audit": f"""
+        WITH b AS (SELECT page_id, {_WARC} AS body FROM pages),
+        h AS (SELECT page_id, octet_length(body) + 1 AS length, sha256(body || '\\x0A'::BLOB) AS record_sha256,
+            sha256(body || CASE WHEN page_id % {DAMAGE_EVERY} = 0 THEN '\\x0B'::BLOB ELSE '\\x0A'::BLOB END) AS replica_sha256 FROM b),
+        o AS (SELECT *, row_number() OVER (ORDER BY page_id, record_sha256) - 1 AS rank FROM h),
+        g AS (SELECT *, rank // 4096 AS segment, (rank % 4096)::INT AS leaf FROM o)
+        SELECT page_id, segment, leaf, (sum(length) OVER w - length)::BIGINT AS "start", (sum(length) OVER w)::BIGINT AS "end", record_sha256, replica_sha256, record_sha256 <> replica_sha256 AS damaged
+        FROM g WINDOW w AS (PARTITION BY segment ORDER BY leaf)""",
     "op7_url_cascade": rf"""
         WITH rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES.items())}),
         listed(rule) AS (VALUES {", ".join(f"('{r}')" for r in BLOCKED_HOSTS)}),

@@ -169,3 +169,21 @@ def test_registered_queries_run(spark, name):
     from pagewarden.plans.queries import QUERIES
 
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_commands(spark, tmp_path, capsys):
+    from pagewarden.cli import main
+
+    (tmp_path / "in.json").write_text('{"url": "http://127.0.0.1/", "html": "<form><input type=password></form>", "label": 1}\n{"url": "https://plain.test/", "html": "<p>hi", "label": 0}\n')
+    assert main(["evaluate", "--input", str(tmp_path / "in.json"), "--out-dir", str(tmp_path / "e")]) == 0
+    assert main(["gate", str(tmp_path / "e" / "eval-results.json")]) == 0
+    assert main(["score", "--input", str(tmp_path / "in.json"), "--out", str(tmp_path / "s")]) == 0
+    assert spark.read.json(str(tmp_path / "s")).count() == 2
+    (tmp_path / "ranks").write_text("1,first.com\n2,second.org\n")
+    assert main(["bloom", "--input", str(tmp_path / "ranks"), "--out", str(tmp_path / "f.bloom")]) == 0
+    assert '"entries": 2' in capsys.readouterr().out and (tmp_path / "f.bloom").read_bytes()[:4] == b"TBLM"
+    assert files.read_membership(spark, str(tmp_path / "f.bloom")).bits > 0
+    (tmp_path / "feed").write_text("# comment\nhttps://a.test/\n")
+    assert main(["collect", "--store", str(tmp_path / "st"), "--feed", str(tmp_path / "feed"), "--kind", "benign", "--day", "2026-01-01"]) == 0
+    assert "1 new URLs" in capsys.readouterr().out
+    assert main(["manifest", "--store", str(tmp_path / "st")]) == 0

@@ -20,7 +20,7 @@ from pagewarden.llm.textwords import PUNCTUATION, WHITE, byte_table, chunks, low
 #: Words of a window, and the share of an item's windows that make a document contaminated.
 WINDOW, MIN_SHARE = 5, 0.75
 #: Words in a template window that aren't placeholders.
-MIN_LITERAL = 3
+MIN_LITERAL = 2
 #: Windows of the benchmark up to which its hashes (8 bytes each) go to all tasks ahead of the join.
 MAX_SENT = 4_000_000
 #: Names of units.

@@ -150,6 +150,21 @@ def lead_and_next(verdict_col: Column, n: int) -> Column:
     return F.struct(F.get(verdict_col["reasons"], F.lit(0)).alias("lead"), F.slice(verdict_col["reasons"], 2, n).alias("next"))
 
 
+def lead_text(verdict_col: Column, fallback: str = "No strong signals found.") -> Column:
+    """The words of the heaviest reason, or the fallback if there is none."""
+    return F.coalesce(F.get(verdict_col["reasons"], F.lit(0))["humanText"], F.lit(fallback))
+
+
+def is_navigation(frame_id: Column, url: Column) -> Column:
+    """Whether an event is a navigation to score: of the main frame, to an http(s) address."""
+    return F.coalesce((frame_id == 0) & url.rlike("^https?://"), F.lit(False))
+
+
+def frame_is_scored(is_top: Column, has_password: Column) -> Column:
+    """The top frame always is; others only with a password field."""
+    return F.coalesce(is_top, F.lit(False)) | F.coalesce(has_password, F.lit(False))
+
+
 def ui_action(verdict_col: Column, proceeded: Column, dismissed: Column) -> Column:
     """What a page's visitor is shown: none, banner, interstitial or proceeded_banner."""
     level = verdict_col["level"]

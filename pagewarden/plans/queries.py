@@ -13,7 +13,7 @@ from pagewarden.functions.urls import feed_url, with_url_parts
 from pagewarden.operators import collection, metrics
 from pagewarden.operators.features import FEATURES, URL_FEATURES, extract_page, extract_url, vector
 from pagewarden.operators.rules import RULES, fired_codes
-from pagewarden.operators.verdicts import Settings, badge, lead_and_next, score_pages, score_urls, top_reasons, ui_action
+from pagewarden.operators.verdicts import Settings, badge, is_navigation, lead_and_next, level_of, merge, score_pages, score_urls, top_reasons, ui_action
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -313,6 +313,46 @@ def temporal_split(spark, sf_dir):
     return events.groupBy(collection.temporal_split(F.col("ts"), start).alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_S_LEVEL = lambda x: f"CASE WHEN {x} >= 0.75 THEN 'HIGH' WHEN {x} >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END"
+_STAGES = f"""t AS (SELECT doc_id, CASE WHEN doc_id % 13 > 0 THEN (n_chars % 100) / 100.0::DOUBLE END AS a, CASE WHEN doc_id % 7 > 0 THEN (doc_id * 37 % 100) / 100.0::DOUBLE END AS b FROM documents),
+    v AS (SELECT *, {_S_LEVEL('a')} AS la, {_S_LEVEL('b')} AS lb FROM t),
+    m AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL OR la = 'HIGH' THEN a WHEN b < 0.15 AND la = 'MEDIUM' THEN b WHEN lb = 'HIGH' OR lb = la OR la = 'LOW' THEN b ELSE a END AS score FROM v)"""
+
+
+@_query(f"WITH {_STAGES} SELECT doc_id, score, CASE WHEN score IS NOT NULL THEN {_S_LEVEL('score')} END AS level, CASE WHEN score >= 0.75 AND doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'proceeded_banner' ELSE 'interstitial' END WHEN score >= 0.35 AND doc_id % 5 <> 0 THEN 'banner' ELSE 'none' END AS action FROM m")
+def merge_verdicts(spark, sf_dir):
+    """Made-up verdicts of two stages, merged, and what a visitor is shown."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    made = lambda score: F.when(score.isNotNull(), F.struct(level_of(score).alias("level"), score.alias("score")))
+    first, second = F.when(k % 13 > 0, (n % 100) / 100.0), F.when(k % 7 > 0, (k * 37 % 100) / 100.0)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", made(first).alias("a"), made(second).alias("b"))
+    out = docs.withColumn("v", merge(F.col("a"), F.col("b")))
+    return out.select("doc_id", "v.score", "v.level", ui_action(F.col("v"), k % 3 == 0, k % 5 == 0).alias("action"))
+
+
+@_query("SELECT url, 'feed' AS source, 1 AS label, '2026-01-0' || (1 + page_id % 5) AS first_seen FROM pages WHERE page_id % 4 <> 0 ORDER BY first_seen, url LIMIT 40")
+def crawl_pending(spark, sf_dir):
+    """The first forty URLs that a crawl of a quarter of the pages has left (a limit of the planner)."""
+    p = _urls(spark, sf_dir)
+    raw = p.select("url", F.lit("feed").alias("source"), F.lit(1).alias("label"), F.concat(F.lit("2026-01-0"), (1 + F.col("page_id") % 5).cast("string")).alias("first_seen"))
+    return collection.pending(raw, p.filter("page_id % 4 = 0").select("url"), 40)
+
+
+@_query("WITH r AS (SELECT url, page_id % 2 AS o, '2026-01-0' || (1 + page_id % 5) AS d FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT url, 1 - page_id % 2, '2026-02-0' || (1 + page_id % 5) FROM pages WHERE page_id % 6 = 1) SELECT url, max_by(d, {'o': o, 'd': d}) AS first_seen FROM r GROUP BY url")
+def first_seen_lookup(spark, sf_dir):
+    """When URLs of two lists were first seen; the second list's entry counts where both have one."""
+    p = _urls(spark, sf_dir)
+    day = lambda m: F.concat(F.lit(f"2026-{m}-0"), (1 + F.col("page_id") % 5).cast("string")).alias("first_seen")
+    rows = p.filter("page_id % 3 > 0").select("url", (F.col("page_id") % 2).alias("o"), day("01")).unionByName(p.filter("page_id % 6 = 1").select("url", (1 - F.col("page_id") % 2).alias("o"), day("02")))
+    return collection.first_seen_by_url(rows.filter("o = 0").drop("o"), rows.filter("o = 1").drop("o"))
+
+
+@_query("SELECT page_id, page_id % 3 = 0 AND regexp_matches(url, '^https?://') AS navigation FROM pages")
+def navigation_filter(spark, sf_dir):
+    """Events that are navigations, with made-up frames."""
+    return _urls(spark, sf_dir).select("page_id", is_navigation((F.col("page_id") % 3).cast("int"), F.col("url")).alias("navigation"))
+
+
 # A score that says little, but has many ties and different values, of labelled documents.
 _LS = "ls AS (SELECT toxic AS label, round((n_chars % 1000) / 1000.0, 2)::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
 

@@ -39,6 +39,12 @@ def is_message(kind: str) -> bool:
     return kind in MESSAGES
 
 
+def valid_messages(messages: DataFrame, type_col: str = "type") -> tuple[DataFrame, DataFrame]:
+    """(messages of a known type, the rest with the error that they are answered with)"""
+    known = F.coalesce(F.col(type_col).isin(MESSAGES), F.lit(False))
+    return messages.filter(known), messages.filter(~known).withColumn("error", F.lit("UNKNOWN_MESSAGE"))
+
+
 def _row(tab_id: int, ts: int, event: str, tab: dict | None, badge: str | None) -> dict:
     tab = tab or {}
     level = lambda k: (tab.get(k) or {}).get("level")

@@ -187,3 +187,10 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["collect", "--store", str(tmp_path / "st"), "--feed", str(tmp_path / "feed"), "--kind", "benign", "--day", "2026-01-01"]) == 0
     assert "1 new URLs" in capsys.readouterr().out
     assert main(["manifest", "--store", str(tmp_path / "st")]) == 0
+
+
+def test_messages(spark):
+    from pagewarden.streaming.tabs import valid_messages
+
+    good, bad = valid_messages(spark.createDataFrame([("DISMISS",), ("nonsense",), (None,)], "type string"))
+    assert good.count() == 1 and [r["error"] for r in bad.collect()] == ["UNKNOWN_MESSAGE"] * 2

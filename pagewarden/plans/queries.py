@@ -14,6 +14,7 @@ from pagewarden.operators import collection, metrics
 from pagewarden.operators.features import FEATURES, URL_FEATURES, extract_page, extract_url, vector
 from pagewarden.operators.rules import RULES, fired_codes
 from pagewarden.operators.verdicts import Settings, badge, is_navigation, lead_and_next, level_of, merge, score_pages, score_urls, top_reasons, ui_action
+from pagewarden.session import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -172,7 +173,7 @@ def bloom_membership(spark, sf_dir):
 @_query("""SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::DOUBLE AS num_anchors, 0::DOUBLE AS external_anchor_ratio, 0::DOUBLE AS anchor_null_ratio, 0::DOUBLE AS num_forms, 0::DOUBLE AS num_iframes FROM pages""")
 def page_anchor_counts(spark, sf_dir):
     """Anchors of pages."""
-    out = extract_page(_table(spark, sf_dir, "pages"))
+    out = extract_page(spread(_table(spark, sf_dir, "pages")))
     return out.select("page_id", *[F.col(c).cast("double").alias(c) for c in ("num_anchors", "external_anchor_ratio", "anchor_null_ratio", "num_forms", "num_iframes")])
 
 
@@ -183,7 +184,7 @@ _LANGUAGES = ", ".join(f"('{k}', '{v}')" for k, v in LANGUAGE_OF_TLD.items())
     SELECT page_id, coalesce(lang <> '' AND lang <> e.language, false)::INT::DOUBLE AS lang_mismatch_tld FROM l LEFT JOIN (VALUES {_LANGUAGES}) e(tld, language) ON e.tld = suffix""")
 def page_language(spark, sf_dir):
     """Pages whose language isn't that of their country."""
-    return extract_page(_table(spark, sf_dir, "pages")).select("page_id", F.col("lang_mismatch_tld").cast("double").alias("lang_mismatch_tld"))
+    return extract_page(spread(_table(spark, sf_dir, "pages"))).select("page_id", F.col("lang_mismatch_tld").cast("double").alias("lang_mismatch_tld"))
 
 
 def _s_terms(terms):
@@ -196,7 +197,7 @@ def _s_terms(terms):
 def document_terms(spark, sf_dir):
     """Terms of urgency, credentials and money in documents."""
     count = lambda terms: text_functions.term_count(F.col("text"), terms)
-    return _table(spark, sf_dir, "documents").select("doc_id", count(URGENCY_TERMS).alias("urgency"), count(CREDENTIAL_TERMS).alias("credential"), count(FINANCIAL_TERMS).alias("financial"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", count(URGENCY_TERMS).alias("urgency"), count(CREDENTIAL_TERMS).alias("credential"), count(FINANCIAL_TERMS).alias("financial"))
 
 
 @_query(f"WITH {_U}, {_F} {_FIRED}")
@@ -250,7 +251,7 @@ def allowlist_short_circuit(spark, sf_dir):
 @_query()
 def page_scores(spark, sf_dir):
     """Both stages and their merge, for every page."""
-    out = score_pages(_table(spark, sf_dir, "pages"))
+    out = score_pages(spread(_table(spark, sf_dir, "pages")))
     v = F.col("final")
     shown = ui_action(v, F.lit(False), F.lit(False))
     return out.select("page_id", F.col("stage1.score").alias("stage1"), F.col("stage2.score").alias("stage2"), v["score"].alias("score"), v["level"].alias("level"), F.size(v["reasons"]).alias("n_reasons"), shown.alias("action"), badge(v["level"])["text"].alias("badge"), lead_and_next(v, 3)["lead"]["humanText"].alias("lead"))
@@ -259,7 +260,7 @@ def page_scores(spark, sf_dir):
 @_query()
 def page_vectors(spark, sf_dir):
     """The whole feature vector of every page."""
-    return vector(extract_page(_table(spark, sf_dir, "pages"))).select("page_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    return vector(extract_page(spread(_table(spark, sf_dir, "pages")))).select("page_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
 
 
 _NORMAL = rf"lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '{_PATTERN}', 2)) || CASE WHEN regexp_extract(url, '{_PATTERN}', 4) = '' THEN '/' ELSE regexp_extract(url, '{_PATTERN}', 4) END || CASE WHEN regexp_extract(url, '{_PATTERN}', 5) = '?' THEN '' ELSE regexp_extract(url, '{_PATTERN}', 5) END"
@@ -417,5 +418,5 @@ def tab_replay(spark, sf_dir):
 
 def entry(spark, sf_dir):
     """The flagship: every page scored by both stages, summed up by level."""
-    scored = score_pages(_table(spark, sf_dir, "pages"))
+    scored = score_pages(spread(_table(spark, sf_dir, "pages")))
     return scored.groupBy("final.level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final.score"), 6).alias("mean_score"))

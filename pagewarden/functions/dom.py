@@ -267,7 +267,7 @@ SUMMARY = ", ".join([f"{c} int" for c in _INTS] + [f"{c} string" for c in _TEXTS
 
 
 def summarize(html: str, url: str, etld1: str | None, rules: SuffixRules) -> dict:
-    """The summary of one page as a dict; etld1 is the registrable domain of the page's own URL."""
+    """The summary of one page as a dict, its body's text in lower case; etld1 is the registrable domain of the page's own URL."""
     out: dict = dict.fromkeys(_INTS, 0) | dict.fromkeys(_TEXTS, "")
     tree = Tree(html)
     base, own = whatwg.parse(url), True
@@ -328,7 +328,7 @@ def summarize(html: str, url: str, etld1: str | None, rules: SuffixRules) -> dic
         footers += [t for t in tree.body.walk() if isinstance(t, str) and ("©" in t or re.search("copyright", t, re.I))]
         body = tree.body.text()
         raw = body.encode("utf-16-le", "surrogatepass")
-        out["body_text"] = raw[: 2 * MAX_TEXT].decode("utf-16-le", "ignore") if len(raw) > 2 * MAX_TEXT else body
+        out["body_text"] = (raw[: 2 * MAX_TEXT].decode("utf-16-le", "ignore") if len(raw) > 2 * MAX_TEXT else body).lower()
     out["footer_text"], out["lang"] = " ".join(footers), tree.html.attrs.get("lang", "")
     for out["nodes"], _ in enumerate(tree.html.walk(), 1):  # noqa: B007
         if out["nodes"] >= MAX_NODES:

@@ -30,9 +30,12 @@ def url_keyword_count(url: Column, keywords: list[str] = URL_KEYWORDS) -> Column
     return _sum([low.contains(k) for k in keywords])
 
 
-def term_count(text: Column, terms: list[str]) -> Column:
-    """Number of different terms in a text, in any case, with no letter or digit (a-z, 0-9) on either side."""
-    low = F.lower(text)
+def term_count(text: Column, terms: list[str], lowered: bool = False) -> Column:
+    """Number of different terms in a text, in any case, with no letter or digit (a-z, 0-9) on either side.
+
+    lowered says that the text is in lower case already, which spares a copy of it for each term.
+    """
+    low = text if lowered else F.lower(text)
     # the plain search decides most of them without a pattern
     return _sum([low.contains(t) & low.rlike(f"(?:^|[^a-z0-9]){re.escape(t)}(?:[^a-z0-9]|$)") for t in terms])
 

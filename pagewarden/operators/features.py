@@ -107,7 +107,7 @@ def page_features(dom: str = "dom", parts: str = "parts", brands: list[Brand] =
 
     language = F.lower(F.substring_index(d("lang"), "-", 1))
     expected = F.try_element_at(map_of(LANGUAGE_OF_TLD), F.substring_index(p("suffix"), ".", -1))
-    low = F.lower(d("body_text"))
+    low = d("body_text")
     return {
         "num_forms": d("forms"),
         "has_password_input": flag(password),
@@ -129,9 +129,9 @@ def page_features(dom: str = "dom", parts: str = "parts", brands: list[Brand] =
         "form_added_after_load": flag(late_form) if late_form is not None else F.lit(0),
         "password_field_in_iframe": flag(password & sub_frame) if sub_frame is not None else F.lit(0),
         "num_onsubmit_handlers": d("onsubmit"),
-        "urgency_term_count": text.term_count(low, URGENCY_TERMS),
-        "credential_term_count": text.term_count(low, CREDENTIAL_TERMS),
-        "financial_term_count": text.term_count(low, FINANCIAL_TERMS),
+        "urgency_term_count": text.term_count(low, URGENCY_TERMS, lowered=True),
+        "credential_term_count": text.term_count(low, CREDENTIAL_TERMS, lowered=True),
+        "financial_term_count": text.term_count(low, FINANCIAL_TERMS, lowered=True),
         "visible_text_len": utf16_length(low),
         "text_to_html_ratio": ratio(utf16_length(low), d("html_len")),
         "lang_mismatch_tld": flag((language != "") & expected.isNotNull() & (language != expected)),

@@ -14,9 +14,11 @@ is fitted on a bounded sample of labelled rows, each scored by models that haven
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.llm.common import frozen, held_out, utf8
@@ -25,7 +27,7 @@ from pagewarden.llm.textwords import PUNCTUATION, WHITE, byte_table, chunks, mix
 
 #: Labelled rows on which the logistic curve is fitted.
 SAMPLE_ROWS = 20_000
-#: Grams that a model keeps; if the rows have more, the rarest are left to the shared model.
+#: Grams (40 bytes each) up to which they go to the driver and the texts; with more, the texts' words go to them.
 MAX_GRAMS = 4_000_000
 #: Labels (about 24 bytes each) up to which they go to the texts rather than the texts to them.
 MAX_SENT_LABELS = 2_000_000
@@ -187,15 +189,52 @@ def gram_counts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     return counts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n20", "n21")])
 
 
-def _collected(counts: DataFrame, max_grams: int):
-    """The grams of one model, at most max_grams, as arrays on the driver."""
-    rows = frozen(counts.withColumn("n", F.col("n00") + F.col("n01") + F.col("n20") + F.col("n21")))
-    least, held = 1, rows.count()
-    while held > max_grams:
-        least *= 2
-        held = rows.filter(F.col("n") >= least).count()
-    pdf = rows.filter(F.col("n") >= least).drop("n").toPandas()
-    return pdf["gram"].to_numpy().astype(np.uint64), pdf[["n00", "n01", "n20", "n21"]].to_numpy()
+def _tail(gram: str, n: int):
+    """The gram's last n bytes."""
+    return F.col(gram).bitwiseAND(F.lit((1 << (8 * n)) - 1))
+
+
+def ratio_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """KneserNeyPair's two tables (gram, ratio and context, ratio) from gram, ordinary, toxic, for any number of grams.
+
+    All sums are over the bytes that follow or precede a context, 256 rows at most.
+    """
+    context = F.shiftright("gram", 8)
+    longest = sum(((F.shiftright("gram", 8 * (j + 1)) > 0).cast("int") for j in range(_CONTEXT)), F.lit(0))
+    grams = frozen(counts.filter("ordinary + toxic > 0").select("gram", "ordinary", "toxic", context.alias("context"), longest.alias("longest")))
+    left, after = None, []
+    for n in range(_CONTEXT, 0, -1):
+        own = grams.filter(F.col("longest") == n).select("gram")
+        seen = own if left is None else left.select("gram").unionByName(own).distinct()
+        left = frozen(seen.groupBy(_tail("gram", n).alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("times")))
+        after.append(left)
+    uniform = F.lit(1 / 256)
+    parts, below = [grams.filter("longest = 0").withColumn("shared", uniform)], None
+    group = Window.partitionBy(context)
+    for n, rows in enumerate(reversed(after)):  # contexts of n bytes
+        rows = rows.select("gram", "times", F.sum("times").over(group).alias("total"), F.count(F.lit(1)).over(group).alias("types"))
+        if below is None:
+            rows = rows.withColumn("lower", uniform)
+        else:
+            rows = rows.withColumn("tail", _tail("gram", n)).join(below.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), "tail")
+        p = F.greatest(F.col("times") - _DISCOUNT, F.lit(0.0)) / F.col("total") + F.lit(_DISCOUNT) * F.col("types") / F.col("total") * F.col("lower")
+        below = frozen(rows.select("gram", p.alias("p")))
+        own = grams.filter(F.col("longest") == n + 1).withColumn("tail", _tail("gram", n + 1))
+        parts.append(own.join(below.select(F.col("gram").alias("tail"), F.col("p").alias("shared")), "tail").select(*grams.columns, "shared"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+
+    def rate(c, over):
+        n, types = (F.sum(c), F.count(F.when(F.col(c) > 0, 1))) if over is None else (F.sum(c).over(over), F.count(F.when(F.col(c) > 0, 1)).over(over))
+        return F.when(n > 0, F.lit(_DISCOUNT) * types / F.greatest(n, F.lit(1))).otherwise(F.lit(1.0)), F.greatest(n, F.lit(1))
+
+    def p(c):
+        share, n = rate(c, Window.partitionBy("context"))
+        return F.greatest(F.col(c) - _DISCOUNT, F.lit(0.0)) / n + share * F.col("shared")
+
+    contexts = grams.groupBy("context").agg(F.log(rate("toxic", None)[0] / rate("ordinary", None)[0]).cast("float").alias("ratio"))
+    return frozen(rows.select("gram", F.log(p("toxic") / p("ordinary")).cast("float").alias("ratio"))), frozen(contexts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -224,6 +263,42 @@ def _scored(docs: DataFrame, model: KneserNeyPair, id_col: str, text_col: str, k
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}{kinds}, mean_ratio double, peak_ratio double")
 
 
+def _words(batches):
+    """The different words of each text and how often it has them."""
+    for batch in batches:
+        for begin, some in chunks(batch.column("raw").to_pylist()):
+            w = split_words(some, _TABLE)
+            n = Counter((t, w.folded[a:b].tobytes()) for t, a, b in zip(w.text.tolist(), w.start.tolist(), w.end.tolist(), strict=True))
+            at = pa.array([begin + t for t, _ in n], pa.int64())
+            cols = [pa.array([word for _, word in n], pa.binary()), pa.array(n.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), *cols], ["id", "hash", "word", "n"])
+
+
+def _spelt(batches):
+    """The grams of each word."""
+    for batch in batches:
+        for begin, some in chunks(batch.column("word").to_pylist()):
+            gram, text, _, _ = grams_of(some)
+            for i in range(0, len(gram), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(begin + text[part])), pa.array(gram[part].astype(np.int64))], ["word", "gram"])
+
+
+def _joined(docs: DataFrame, grams: DataFrame, contexts: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """What _scored gives, with the tables of the models joined to the grams of the texts' different words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("id"), *keep, F.xxhash64(utf8(text_col)).alias("hash"), utf8(text_col).alias("raw"))
+    words = docs.select("id", "hash", "raw").mapInArrow(_words, f"id {kind}, hash bigint, word binary, n bigint")
+    spelt = words.select("word").distinct().mapInArrow(_spelt, "word binary, gram bigint").withColumn("context", F.shiftright("gram", 8))
+    spelt = spelt.join(grams.withColumnRenamed("ratio", "own"), "gram", "left").join(contexts.withColumnRenamed("ratio", "backed"), "context", "left")
+    ratios = spelt.groupBy("word").agg(F.sum(F.coalesce("own", "backed", F.lit(0.0)).cast("double")).alias("ratio"))
+    # equal rows count each word as many times more, which leaves means and maxima as they are
+    found = words.join(ratios, "word").groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    found = found.agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean_ratio"), F.max("ratio").alias("peak_ratio"))
+    rows = docs.drop("raw").join(found, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
+    return rows.select("id", *keep, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_ratio", "peak_ratio")])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, max_grams: int = MAX_GRAMS, keep_text_hash: bool = False) -> DataFrame:
     """One row for each row of docs: the id, held_out, score (0 to 1), predicted, mean_ratio, peak_ratio.
 
@@ -234,7 +309,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     """
     labelled = frozen(training_labels(labels, label_col, id_col))
     hashed = {"text_hash": F.xxhash64(utf8(text_col))} if keep_text_hash else {}
-    gram, n = _collected(gram_counts(docs, labelled, id_col, text_col), max_grams)
+    counts = frozen(gram_counts(docs, labelled, id_col, text_col))
     drawn = frozen(sample(docs.select(id_col).join(labelled, id_col), sample_rows, id_col).dropDuplicates([id_col]))
     size = drawn.agg(F.count(F.lit(1)), F.sum("label")).first()
     rows, positive = size[0], size[1] or 0
@@ -244,14 +319,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
         flat = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.lit(share).alias("score"), *[c.alias(k) for k, c in hashed.items()])
         return flat.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("mean_ratio", F.lit(0.0)).withColumn("peak_ratio", F.lit(0.0))
     drawn = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
-    model = lambda keep: KneserNeyPair(gram[keep.any(1)], keep[:, 0][keep.any(1)], keep[:, 1][keep.any(1)])
-    seen = []
-    for fold, other in ((0, n[:, 2:]), (2, n[:, :2])):  # each fold by the counts of the other
-        seen.append(_scored(drawn.filter(F.col("fold") == fold), model(other), id_col, text_col, ["label"]).toPandas())
+    if few := counts.count() <= max_grams:
+        known = counts.toPandas()
+
+    def judged(rows, folds, keep):
+        """rows by the models of these folds' counts."""
+        if few:
+            n = [sum(known[f"n{f}{c}"].to_numpy() for f in folds) for c in (0, 1)]
+            has = n[0] + n[1] > 0
+            return _scored(rows, KneserNeyPair(known["gram"].to_numpy().astype(np.uint64)[has], n[0][has], n[1][has]), id_col, text_col, keep)
+        n = [sum((F.col(f"n{f}{c}") for f in folds), F.lit(0)) for c in (0, 1)]
+        return _joined(rows, *ratio_tables(counts.select("gram", n[0].alias("ordinary"), n[1].alias("toxic"))), id_col, text_col, keep)
+
+    # each fold by the counts of the other
+    seen = [judged(drawn.filter(F.col("fold") == fold), [other], ["label"]).toPandas() for fold, other in ((0, 2), (2, 0))]
     x = np.concatenate([p[["mean_ratio", "peak_ratio"]].to_numpy() for p in seen])
     y = np.concatenate([p["label"].to_numpy() for p in seen])
     w = _logistic(x, y)
-    both = _scored(docs.withColumns(hashed) if hashed else docs, model(n[:, :2] + n[:, 2:]), id_col, text_col, [*hashed])
+    both = judged(docs.withColumns(hashed) if hashed else docs, [0, 2], [*hashed])
     z = F.lit(float(w[0])) * F.col("mean_ratio") + F.lit(float(w[1])) * F.col("peak_ratio") + F.lit(float(w[2]))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
     both = both.withColumn("score", score)

@@ -223,6 +223,16 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_keeps_all_grams(spark):
+    """More grams than go to the driver give the same scores, down to the words seen once."""
+    make = lambda rng, y: " ".join(rng.choice(["the", "house", "river", "élan"]) + rng.choice("abcdefgh") * rng.randint(0, 3) if not (y and rng.random() < 0.1) else "gru" + "".join(rng.choice("mfx") for _ in range(4)) for _ in range(rng.randint(0, 30)))
+    docs, labels = labelled(spark, make, 200)
+    rows = lambda most: sorted(((str(r["doc_id"]), r["score"], r["mean_ratio"], r["peak_ratio"]) for r in toxicity.toxicity(docs, labels, max_grams=most).collect()))
+    many, few = rows(0), rows(10**6)
+    assert [r[0] for r in many] == [r[0] for r in few] and len(many) == docs.count()
+    assert np.allclose([r[1:] for r in many], [r[1:] for r in few], rtol=0, atol=1e-5)
+
+
 def test_shared_backoff_sums_to_one():
     """The shared model's probabilities of all bytes after a context add up to no more than 1."""
     gram, _, _, _ = toxicity.grams_of([b"abc abd xbc", b"bcd"])

@@ -7,9 +7,10 @@ smooth whatever is rare in either. Counts come from every labelled row that isn'
 classes back off, the shared model cancels out of the ratio of the likelihoods, so a byte's log-ratio is
 known from two tables: one of the grams that a class has seen, one of the contexts.
 
-A document is judged by two length-normalised log-ratios: the mean over all its words, and that of its
-most telling expression, normalised by its number of words. A logistic curve turns them into a score; it
-is fitted on a bounded sample of labelled rows, each scored by models that haven't seen its fold.
+A document is judged by the mean log-ratio of its words, by that of its most telling expression, and by the
+shares of its words whose log-ratio is above some bars, so a few toxic-leaning expressions count although
+most words are ordinary, and more than a single one does. A logistic curve turns them into a score; it is
+fitted on a bounded sample of labelled rows, each scored by models that haven't seen its fold.
 """
 
 from __future__ import annotations
@@ -32,9 +33,13 @@ MAX_GRAMS = 4_000_000
 #: Labels (about 24 bytes each) up to which they go to the texts rather than the texts to them.
 MAX_SENT_LABELS = 2_000_000
 THRESHOLD = 0.7
+#: Log-ratios above which words lean to the toxic side, and what is added to their shares ahead of the logarithm.
+BARS, SHARE_FLOOR = (1.0, 2.0, 3.0, 4.0), 0.005
 _CONTEXT, _START, _END, _DISCOUNT = 5, 2, 3, 0.75
 _TABLE = byte_table(WHITE + PUNCTUATION)
 _CONTEXT_BITS = np.uint64(8)
+#: A document's evidence.
+_EVIDENCE = ["mean_ratio", "peak_ratio", *(f"leaning_{k}" for k in range(len(BARS)))]
 
 
 def grams_of(raws: list[bytes]):
@@ -139,8 +144,8 @@ class KneserNeyPair:
         return out
 
     def evidence(self, raws: list[bytes]) -> np.ndarray:
-        """For each text: mean log-ratio of its words, and the largest of one word."""
-        out = np.zeros((len(raws), 2))
+        """For each text: mean log-ratio of its words, the largest of one word, and the share of words above each of BARS."""
+        out = np.zeros((len(raws), len(_EVIDENCE)))
         for begin, some in chunks(raws):
             gram, _, word, w = grams_of(some)
             ratio, found = self.grams(gram)
@@ -153,6 +158,8 @@ class KneserNeyPair:
             has = np.flatnonzero(n)
             out[begin + has, 0] = np.bincount(w.text, by_word, len(some))[has] / n[has]
             out[begin + has, 1] = np.maximum.reduceat(by_word, (np.cumsum(n) - n)[has])
+            for k, bar in enumerate(BARS):
+                out[begin + has, 2 + k] = np.bincount(w.text, by_word > bar, len(some))[has] / n[has]
         return out
 
 
@@ -238,15 +245,18 @@ def ratio_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Weights of the columns of x and a constant, by Newton steps on the penalised likelihood."""
+    """Weights of the columns of x and a constant, by Newton steps on the penalised likelihood, halved until it grows."""
     x = np.column_stack([x, np.ones(len(x))])
     w, ridge = np.zeros(x.shape[1]), np.diag([penalty] * (x.shape[1] - 1) + [1e-6])
+    loss = lambda w: (np.logaddexp(0, x @ w) - y * (x @ w)).sum() + w @ ridge @ w / 2
     for _ in range(50):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w += np.clip(step, -5, 5)
+        while np.abs(step).max() >= 1e-6 and loss(w + step) > loss(w):
+            step = step / 2
         if np.abs(step).max() < 1e-6:
             break
+        w += step
     return w
 
 
@@ -256,11 +266,11 @@ def _scored(docs: DataFrame, model: KneserNeyPair, id_col: str, text_col: str, k
     def run(batches):
         for batch in batches:
             e = given.value.evidence(batch.column("raw").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["id", *keep]), pa.array(e[:, 0]), pa.array(e[:, 1])], ["id", *keep, "mean_ratio", "peak_ratio"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["id", *keep]), *(pa.array(x) for x in e.T)], ["id", *keep, *_EVIDENCE])
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(F.col(id_col).alias("id"), *keep, utf8(text_col).alias("raw"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}{kinds}, mean_ratio double, peak_ratio double")
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}{kinds}, {', '.join(f'{c} double' for c in _EVIDENCE)}")
 
 
 def _words(batches):
@@ -294,9 +304,9 @@ def _joined(docs: DataFrame, grams: DataFrame, contexts: DataFrame, id_col: str,
     ratios = spelt.groupBy("word").agg(F.sum(F.coalesce("own", "backed", F.lit(0.0)).cast("double")).alias("ratio"))
     # equal rows count each word as many times more, which leaves means and maxima as they are
     found = words.join(ratios, "word").groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
-    found = found.agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean_ratio"), F.max("ratio").alias("peak_ratio"))
+    found = found.agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean_ratio"), F.max("ratio").alias("peak_ratio"), *[(F.sum(F.when(F.col("ratio") > bar, F.col("n")).otherwise(F.lit(0))) / F.sum("n")).alias(c) for c, bar in zip(_EVIDENCE[2:], BARS, strict=True)])
     rows = docs.drop("raw").join(found, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
-    return rows.select("id", *keep, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_ratio", "peak_ratio")])
+    return rows.select("id", *keep, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _EVIDENCE])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, max_grams: int = MAX_GRAMS, keep_text_hash: bool = False) -> DataFrame:
@@ -333,11 +343,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
 
     # each fold by the counts of the other
     seen = [judged(drawn.filter(F.col("fold") == fold), [other], ["label"]).toPandas() for fold, other in ((0, 2), (2, 0))]
-    x = np.concatenate([p[["mean_ratio", "peak_ratio"]].to_numpy() for p in seen])
+    x = np.concatenate([p[_EVIDENCE].to_numpy() for p in seen])
+    x[:, 2:] = np.log(x[:, 2:] + SHARE_FLOOR)
     y = np.concatenate([p["label"].to_numpy() for p in seen])
     w = _logistic(x, y)
     both = judged(docs.withColumns(hashed) if hashed else docs, [0, 2], [*hashed])
-    z = F.lit(float(w[0])) * F.col("mean_ratio") + F.lit(float(w[1])) * F.col("peak_ratio") + F.lit(float(w[2]))
+    z = F.lit(float(w[-1]))
+    for k, c in enumerate(_EVIDENCE):
+        z = z + F.lit(float(w[k])) * (F.col(c) if k < 2 else F.log(F.col(c) + SHARE_FLOOR))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
     both = both.withColumn("score", score)
     return both.select(out_id, held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_ratio", "peak_ratio", *hashed)

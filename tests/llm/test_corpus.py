@@ -233,6 +233,23 @@ def test_toxicity_keeps_all_grams(spark):
     assert np.allclose([r[1:] for r in many], [r[1:] for r in few], rtol=0, atol=1e-5)
 
 
+def test_toxicity_counts_repeated_expressions(spark):
+    """Toxic texts repeat expressions that ordinary ones have once at most, among noise that peaks as high."""
+    word = lambda r: "".join(r.choice(["en", "ou", "ch", "re", "an", "le", "ié"]) for _ in range(r.randint(1, 5)))
+
+    def make(r, y):
+        words = [word(r) for _ in range(r.randint(60, 240))]
+        for _ in range(max(3, len(words) // 30) if y else int(r.random() < 0.2)):
+            words[r.randrange(len(words))] = "réeux" + word(r)
+        return " ".join(words)
+
+    docs, labels = labelled(spark, make)
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out AND toxic IS NOT NULL").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"]]
+    assert sum(toxic) > 0.95 * len(toxic)
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) < 0.02 * len(rows)
+
+
 def test_shared_backoff_sums_to_one():
     """The shared model's probabilities of all bytes after a context add up to no more than 1."""
     gram, _, _, _ = toxicity.grams_of([b"abc abd xbc", b"bcd"])

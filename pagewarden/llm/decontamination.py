@@ -9,6 +9,8 @@ for the same value of the document. An item is in a document if enough of the it
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,11 @@ MAX_SENT = 4_000_000
 UNITS = "mm cm m km in ft yd mi mile miles inch inches foot feet yard yards metre metres meter meters kilometre kilometres kilometer kilometers mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl l litre litres liter liters gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur kb mb gb tb hz khz mhz ghz w kw mw v kv j kj mph kph degree degrees".split()
 _TABLE = byte_table(WHITE + PUNCTUATION)
 _NUMBER, _NAME, _UNIT = (np.uint64(0xA5A5_0000_0000_0001 + k) for k in range(3))
+#: Numbers with separators or decimals; "1,2,3" stays a list. Within them separators become bytes that don't split words.
+_JOINED = re.compile(rb"(?<![0-9a-z.,])(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+[.,]\d+)(?![0-9a-z]|[.,]\d)")
+_INNER = bytes.maketrans(b".,", b"\x1e\x1f")
+#: The kind of a sentence's opening word with a capital, where it is taken as a name.
+_OPENER = 4
 _STOP = np.isin(np.arange(256), list(b".!?:;\n"))
 _UNIT_HASHES = np.sort(split_words([" ".join(UNITS).encode()], _TABLE).hash)
 
@@ -44,46 +51,46 @@ def _capital(w, words: np.ndarray) -> np.ndarray:
     return (w.raw[at] != w.folded[at]) | (wide & (w.raw[at + wide] != w.folded[at + wide]))
 
 
+def _folded(text: bytes) -> bytes:
+    return _JOINED.sub(lambda m: m[0].translate(_INNER), lowered(text))
+
+
 def canonical(texts: list[bytes]):
-    """The words of texts, and for each whether it is a number, a name or a unit.
+    """The words of texts, for each whether it is a number, a name or a unit, and whether it may be a name, too.
 
-    A number is a word of digits. A unit stands behind a number. A name starts with a capital letter
-    and doesn't start a sentence or a text.
+    A number is a word of digits, with separators or decimals as they may be. A unit stands behind a
+    number. A name starts with a capital letter and doesn't start a sentence or a text; a capital that
+    does may be one.
     """
-    w = split_words(texts, _TABLE, lowered)
-    digits = np.concatenate([[0], np.cumsum((w.raw >= 48) & (w.raw <= 57))])
+    w = split_words(texts, _TABLE, _folded)
+    digits = np.concatenate([[0], np.cumsum((w.raw >= 48) & (w.raw <= 57) | ((w.raw == 44) | (w.raw == 46)) & (w.folded != 32))])
     stops = np.concatenate([[0], np.cumsum(_STOP[w.raw])])
     number = digits[w.end] - digits[w.start] == w.end - w.start
     first = np.ones(len(w.start), bool)
     first[1:] = w.text[1:] != w.text[:-1]
     opens = first.copy()
     opens[1:] |= stops[w.start[1:]] > stops[w.end[:-1]]
-    name = _capital(w, np.arange(len(w.start))) & ~opens
+    capital = _capital(w, np.arange(len(w.start)))
+    name = capital & ~opens
     unit = np.zeros(len(w.start), bool)
     unit[1:] = number[:-1] & ~first[1:] & _in(w.hash[1:], _UNIT_HASHES)
     kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0)))
-    return w, kind
+    return w, kind, capital & opens & (kind == 0)
 
 
 def _template(w, kind):
-    return np.where(kind == 1, _NUMBER, np.where(kind == 2, _NAME, np.where(kind == 3, _UNIT, w.hash)))
+    return np.where(kind == 1, _NUMBER, np.where((kind == 2) | (kind == _OPENER), _NAME, np.where(kind == 3, _UNIT, w.hash)))
 
 
-def window_rows(texts: list[bytes], width: int, wanted=None, as_item: bool = False):
+def window_rows(texts: list[bytes], width: int, wanted=None):
     """(text, first word, hash, whether it has placeholders, the values of its slots) of each window.
 
-    wanted keeps the windows with those hashes. An item's first word, if it has a capital, is taken as a
-    name, too: in a document it needn't start a sentence.
+    wanted keeps the windows with those hashes. Windows with words that open a sentence with a capital
+    come twice: with these as words and as names.
     """
     for begin, some in chunks(texts):
-        w, kind = canonical(some)
-        forms = [kind]
-        if as_item and len(w.start):
-            other = kind.copy()
-            heads = (np.cumsum(w.counts) - w.counts)[w.counts > 0]
-            other[heads[_capital(w, heads) & (kind[heads] == 0)]] = 2
-            if (other != kind).any():
-                forms.append(other)
+        w, kind, maybe = canonical(some)
+        forms = [kind, np.where(maybe, _OPENER, kind)]
         starts = np.cumsum(w.counts) - w.counts
         h, text, at = windows(w.hash, w.text, w.counts, width)
         keep = slice(None) if wanted is None else wanted(h)
@@ -92,11 +99,14 @@ def window_rows(texts: list[bytes], width: int, wanted=None, as_item: bool = Fal
         for kinds in forms:
             if not kinds.any():
                 continue
+            openers = np.concatenate([[0], np.cumsum(kinds == _OPENER)])
             h, text, at = windows(_template(w, kinds), w.text, w.counts, width)
             slots = np.concatenate([[0], np.cumsum(kinds > 0)])
             size = np.minimum(width, w.counts[text])
             n = slots[at + size] - slots[at]
             keep = (n > 0) & (size - n >= MIN_LITERAL)
+            if kinds is not kind:
+                keep &= openers[at + size] > openers[at]
             if wanted is not None:
                 keep &= wanted(h)
             for i in np.flatnonzero(keep).tolist():
@@ -104,7 +114,7 @@ def window_rows(texts: list[bytes], width: int, wanted=None, as_item: bool = Fal
                 yield begin + int(text[i]), int(at[i] - starts[text[i]]), int(h[i].view(np.int64)), True, [f"{kinds[k]} {w.folded[w.start[k] : w.end[k]].tobytes().decode(errors='replace')}" for k in words]
 
 
-def _windows(df: DataFrame, keys: list[str], width: int, wanted, as_item: bool, extra: str = "") -> DataFrame:
+def _windows(df: DataFrame, keys: list[str], width: int, wanted) -> DataFrame:
     """keys, at, hash, template, slots (and n_windows for items) of the windows of the column raw."""
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -118,7 +128,7 @@ def _windows(df: DataFrame, keys: list[str], width: int, wanted, as_item: bool,
                 cols = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.bool_()), (4, pa.list_(pa.string())))]
                 return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *cols], [*keys, "at", "hash", "template", "slots"])
 
-            for row in window_rows(raws, width, wanted, as_item):
+            for row in window_rows(raws, width, wanted):
                 rows.append(row)
                 if len(rows) == 20_000:
                     yield packed()
@@ -153,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     come once, others with the same id each for themselves. Columns of other names are not read.
     """
     items = benchmark.select(F.col(item_col), utf8("text").alias("raw"))
-    rows = frozen(_windows(items, [item_col], window, None, True))
+    rows = frozen(_windows(items, [item_col], window, None))
     whole = rows.filter("NOT template").groupBy(item_col).agg(F.sort_array(F.collect_list(F.struct("at", "hash"))).alias("all"), F.max("at").alias("last"))
     one = whole.groupBy("all").agg(F.min(item_col).alias(item_col), (F.first("last") + 1).alias("n_windows")).drop("all")
     rows = frozen(rows.join(one, item_col).select(F.col(item_col), "n_windows", F.col("at").alias("item_at"), "hash", "template", F.col("slots").alias("item_slots")).dropDuplicates([item_col, "item_at", "hash", "template"]))
@@ -165,15 +175,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     key = [id_col, "text_hash"]
     source = docs.select(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), utf8(text_col).alias("raw"))
     # equal rows give equal windows; the matches are counted by position, so they count once
-    hits = _windows(source, key, window, wanted, False).join(rows, ["hash", "template"])
+    hits = _windows(source, key, window, wanted).join(rows, ["hash", "template"])
     hits = frozen(hits.select(*key, item_col, "n_windows", "item_at", "template", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots"))
     pair = [*[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], F.col(item_col) == F.col("__item"), F.col("shift") == F.col("__shift")]
     filled = hits.filter("template").select(*key, item_col, "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    torn = filled.groupBy(*key, item_col, "shift", "s.item_slots").agg((F.min("s.slots") != F.max("s.slots")).alias("torn")).filter("torn")
-    torn = torn.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(item_col).alias("__item"), F.col("shift").alias("__shift"))
+    # an opening word may be no name: if it stands for several values, only the windows with it fall out
+    opener, value = F.col("s.item_slots").startswith(f"{_OPENER} "), F.substring("s.slots", 3, 1 << 30)
+    filled = filled.select(*key, item_col, "shift", F.regexp_replace("s.item_slots", f"^{_OPENER} ", "2 ").alias("slot"), opener.alias("opener"), value.alias("value"))
+    sure = F.when(~F.col("opener"), F.col("value"))
+    torn = filled.groupBy(*key, item_col, "shift", "slot").agg((F.min(sure) != F.max(sure)).alias("all"), F.min("value").alias("least"), F.max("value").alias("most")).filter("least != most")
+    torn = torn.groupBy(*key, item_col, "shift").agg(F.coalesce(F.max("all"), F.lit(False)).alias("__all"), F.transform(F.collect_set("slot"), lambda x: F.regexp_replace(x, "^2 ", f"{_OPENER} ")).alias("__slots"))
+    torn = torn.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(item_col).alias("__item"), F.col("shift").alias("__shift"), "__all", "__slots")
     cond = pair[0]
     for p in pair[1:]:
         cond = cond & p
+    cond = cond & (F.col("__all") | F.arrays_overlap("item_slots", "__slots"))
     sound = hits.filter("NOT template").unionByName(hits.filter("template").join(torn, cond, "left_anti"))
     found = sound.groupBy(*key, item_col, "n_windows", "item_at").agg(F.min("template").alias("template"))
     found = found.groupBy(*key, item_col, "n_windows").agg(F.count(F.lit(1)).alias("n_found"), F.count(F.when(~F.col("template"), 1)).alias("n_exact"))

@@ -120,6 +120,14 @@ def test_decontamination(spark):
     assert decontamination.contamination(d.limit(0), b).count() == 0 and decontamination.contamination(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_openers_and_numbers(spark):
+    """Names that open sentences and numbers with separators are slots like others."""
+    item = spark.createDataFrame([(1, "Tom has 3 apples in a box. Ann has 5 pears in a bag. Joe buys all of them for 1,250 coins. How much did each of the three get for 4.5 percent of them?")], "item_id bigint, text string")
+    texts = ["Sue has 8 apples in a box. Bob has 2 pears in a bag. Kim buys all of them for 950 coins. How much did each of the three get for 40 percent of them?", "The sky is blue today and 7 birds sing. Nobody knows for whom the 3 bells toll in a town by the sea."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r["doc_id"] for r in decontamination.contamination(docs, item).collect()] == [0]
+
+
 def brute(rows):
     sets = []
     for _, t in rows:

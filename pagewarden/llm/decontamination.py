@@ -4,7 +4,8 @@ Texts are brought into a canonical form twice: as their plain words, and as a te
 names and the units behind numbers are typed placeholders. Windows of words of either form are hashed and
 joined with those of the benchmark's items. A window that matches as a template counts only if its slots
 are filled consistently: along one alignment of document and item, each value of the item always stands
-for the same value of the document. An item is in a document if enough of the item's windows are.
+for the same value of the document. An item is in a document if enough of the item's windows are, or a
+long run of them along one alignment.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.llm.common import frozen, utf8
@@ -21,6 +22,8 @@ from pagewarden.llm.textwords import PUNCTUATION, WHITE, byte_table, chunks, low
 
 #: Words of a window, and the share of an item's windows that make a document contaminated.
 WINDOW, MIN_SHARE = 5, 0.75
+#: Words of an item in a row that make a document contaminated, whatever their share.
+MIN_RUN = 30
 #: Words in a template window that aren't placeholders.
 MIN_LITERAL = 2
 #: Windows of the benchmark up to which its hashes (8 bytes each) go to all tasks ahead of the join.
@@ -154,7 +157,7 @@ class _Wanted:
         return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, min_share: float = MIN_SHARE, max_sent: int = MAX_SENT) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, min_share: float = MIN_SHARE, max_sent: int = MAX_SENT, min_run: int = MIN_RUN) -> DataFrame:
     """One row for each document and item that is in it: the document's id and text_hash, the item's id,
     n_windows, n_found, n_exact, share, reworded (whether slots had to be filled differently).
 
@@ -193,7 +196,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sound = hits.filter("NOT template").unionByName(hits.filter("template").join(torn, cond, "left_anti"))
     found = sound.groupBy(*key, item_col, "n_windows", "item_at").agg(F.min("template").alias("template"))
     found = found.groupBy(*key, item_col, "n_windows").agg(F.count(F.lit(1)).alias("n_found"), F.count(F.when(~F.col("template"), 1)).alias("n_exact"))
-    found = found.withColumn("share", F.col("n_found") / F.col("n_windows")).filter(F.col("share") >= min_share)
+    line = [*key, item_col, "shift"]
+    runs = sound.select(*line, "item_at").distinct().withColumn("run", F.col("item_at") - F.row_number().over(Window.partitionBy(*line).orderBy("item_at")))
+    runs = runs.groupBy(*line, "run").agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") >= max(min_run - window + 1, 1))
+    runs = runs.groupBy(*[F.col(k).alias(f"__{k}") for k in key], F.col(item_col).alias("__item")).agg(F.max("length").alias("longest"))
+    found = found.join(runs, pair[0] & pair[1] & pair[2], "left").withColumn("share", F.col("n_found") / F.col("n_windows"))
+    found = found.filter((F.col("share") >= min_share) | F.col("longest").isNotNull()).drop("longest", *[f"__{k}" for k in key], "__item")
     return found.withColumn("reworded", F.col("n_exact") < F.col("n_found"))
 
 

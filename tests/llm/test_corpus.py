@@ -128,6 +128,16 @@ def test_decontamination_of_openers_and_numbers(spark):
     assert [r["doc_id"] for r in decontamination.contamination(docs, item).collect()] == [0]
 
 
+def test_decontamination_of_partial_copies(spark):
+    """A long run of an item's words counts whatever its share; a short or scattered one doesn't."""
+    words = [f"w{k}" for k in range(100)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    texts = ["before " + " ".join(words[20:60]) + " after", " ".join(words[20:45]), " ".join(" ".join(words[k : k + 12]) + " x" for k in range(0, 60, 15))]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id bigint, text string")
+    got = decontamination.contamination(docs, item).collect()
+    assert {(r["doc_id"], r["n_found"], r["n_exact"], r["n_windows"]) for r in got} == {(0, 36, 36, 96), (None, 36, 36, 96)}
+
+
 def brute(rows):
     sets = []
     for _, t in rows:

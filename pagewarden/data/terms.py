@@ -32,29 +32,26 @@ SHORTENERS = (
     " po.st spoti.fi apple.co wapo.st nyti.ms cnb.cx reut.rs"
 ).split()
 
-# Risk of a public suffix, as 'risk: suffixes'; any other has 0.
-_RISKS = """
-0: com org net edu gov mil int nz au uk co.uk co.nz net.nz org.nz govt.nz ac.nz ca de fr jp nl se no dk fi ie ch at be es it us
-0.05: io app dev
-0.1: co ai
-0.2: info
-0.25: biz cloud
-0.3: store shop live life world ru cn
-0.35: online site today
-0.4: website space wiki
-0.5: science best casa homes spa uno cc to
-0.6: icu xyz buzz link rest fit country cricket party accountant ren mom lol surf bar beauty makeup skin ws
-0.65: review gdn men faith
-0.7: top monster quest click work stream racing bid kim date su
-0.75: cyou sbs cfd win
-0.8: mov loan download pw
-0.9: zip tk ml ga cf gq
-"""
-TLD_RISK = {suffix: float(line.split(":")[0]) for line in _RISKS.strip().splitlines() for suffix in line.split(":")[1].split()}
+# Risk of a public suffix; any other has 0.
+TLD_RISK = {
+    "com": 0.0, "org": 0.0, "net": 0.0, "edu": 0.0, "gov": 0.0, "mil": 0.0, "int": 0.0, "nz": 0.0, "au": 0.0, "uk": 0.0, "co.uk": 0.0, "co.nz": 0.0, "net.nz": 0.0,
+    "org.nz": 0.0, "govt.nz": 0.0, "ac.nz": 0.0, "ca": 0.0, "de": 0.0, "fr": 0.0, "jp": 0.0, "nl": 0.0, "se": 0.0, "no": 0.0, "dk": 0.0, "fi": 0.0, "ie": 0.0, "ch": 0.0,
+    "at": 0.0, "be": 0.0, "es": 0.0, "it": 0.0, "us": 0.0, "io": 0.05, "co": 0.1, "app": 0.05, "dev": 0.05, "ai": 0.1, "info": 0.2, "biz": 0.25, "online": 0.35,
+    "site": 0.35, "website": 0.4, "space": 0.4, "store": 0.3, "shop": 0.3, "cloud": 0.25, "live": 0.3, "life": 0.3, "world": 0.3, "today": 0.35, "icu": 0.6, "xyz": 0.6,
+    "top": 0.7, "zip": 0.9, "mov": 0.8, "cyou": 0.75, "sbs": 0.75, "cfd": 0.75, "monster": 0.7, "quest": 0.7, "buzz": 0.6, "click": 0.7, "link": 0.6, "work": 0.7,
+    "rest": 0.6, "fit": 0.6, "loan": 0.8, "download": 0.8, "stream": 0.7, "racing": 0.7, "win": 0.75, "bid": 0.7, "review": 0.65, "country": 0.6, "kim": 0.7,
+    "cricket": 0.6, "science": 0.5, "party": 0.6, "gdn": 0.65, "men": 0.65, "date": 0.7, "faith": 0.65, "accountant": 0.6, "ren": 0.6, "mom": 0.6, "lol": 0.6,
+    "surf": 0.6, "bar": 0.6, "beauty": 0.6, "best": 0.5, "casa": 0.5, "homes": 0.5, "makeup": 0.6, "skin": 0.6, "spa": 0.5, "uno": 0.5, "wiki": 0.4, "tk": 0.9, "ml": 0.9,
+    "ga": 0.9, "cf": 0.9, "gq": 0.9, "pw": 0.8, "cc": 0.5, "to": 0.5, "ws": 0.6, "su": 0.7, "ru": 0.3, "cn": 0.3,
+}
 
-# The main language of a country's pages, as 'language: country suffixes'.
-_LANGUAGES = "en: nz au uk ie us ca za in sg; de: de at; fr: fr; nl: be nl; es: es mx ar cl co; it: it; pt: pt br; ja: jp; zh: cn tw hk; ko: kr; ru: ru; pl: pl; cs: cz; hu: hu; ro: ro; el: gr; tr: tr; sv: se; no: no; da: dk; fi: fi; th: th; vi: vn; id: id; he: il; ar: sa ae eg"
-LANGUAGE_OF_TLD = {tld: part.split(":")[0].strip() for part in _LANGUAGES.split(";") for tld in part.split(":")[1].split()}
+# The main language of a country's pages, by the country's suffix.
+LANGUAGE_OF_TLD = {
+    "nz": "en", "au": "en", "uk": "en", "ie": "en", "us": "en", "ca": "en", "za": "en", "in": "en", "sg": "en", "de": "de", "at": "de", "fr": "fr", "be": "nl",
+    "nl": "nl", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "it": "it", "pt": "pt", "br": "pt", "jp": "ja", "cn": "zh", "tw": "zh", "hk": "zh",
+    "kr": "ko", "ru": "ru", "pl": "pl", "cz": "cs", "hu": "hu", "ro": "ro", "gr": "el", "tr": "tr", "se": "sv", "no": "no", "dk": "da", "fi": "fi", "th": "th",
+    "vn": "vi", "id": "id", "il": "he", "sa": "ar", "ae": "ar", "eg": "ar",
+}
 
 # Public suffixes of more than one label, and those run by private parties. A parameter wherever hosts are split.
 PUBLIC_SUFFIXES = "co.nz net.nz org.nz govt.nz ac.nz geek.nz school.nz com.au net.au org.au edu.au gov.au co.uk org.uk ac.uk gov.uk co.jp com.br com.cn com.mx com.sg co.in co.kr co.za com.tr com.tw com.hk".split()

@@ -287,7 +287,7 @@ def summarize(html: str, url: str, etld1: str | None, rules: SuffixRules) -> dic
     for e in elements:
         if e.tag == "base" and "href" in e.attrs and own:
             base, own = whatwg.parse(e.attrs["href"], base) or base, False
-    footers, icon, passwords = [], None, []
+    footers, icon, passwords, untitled = [], None, [], True
     for e in elements:
         a = e.attrs
         if e.tag == "form":
@@ -311,7 +311,8 @@ def summarize(html: str, url: str, etld1: str | None, rules: SuffixRules) -> dic
             icon = a.get("href", "")
         elif e.tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
             out["meta_refresh"] = 1
-        elif e.tag == "title" and not out["title"]:
+        elif e.tag == "title" and untitled:
+            untitled = False
             out["title"] = " ".join("".join(k for k in e.kids if isinstance(k, str)).split())
         out["onsubmit"] += "onsubmit" in a
         if e.tag == "footer" or "footer" in a.get("class", "").lower() or "footer" in a.get("id", "").lower():

@@ -13,19 +13,38 @@ from pagewarden.data.terms import LANGUAGE_OF_TLD, PRIVATE_SUFFIXES, PUBLIC_SUFF
 
 @dataclass(frozen=True)
 class SuffixRules:
-    """Suffixes of more than one label. Any other last label is a suffix by itself; in strict mode only if it is listed."""
+    """Suffixes of more than one label, as rules of a public suffix list: plain names, *.name, and !name for exceptions.
+
+    Any other last label is a suffix by itself; in strict mode only if it is listed in top.
+    """
 
     public: frozenset[str] = frozenset(PUBLIC_SUFFIXES)
     private: frozenset[str] = frozenset(PRIVATE_SUFFIXES)
     top: frozenset[str] = field(default=frozenset(t.split(".")[-1] for t in [*TLD_RISK, *LANGUAGE_OF_TLD, *PUBLIC_SUFFIXES]))
 
-    def suffixes(self, with_private: bool = True) -> list[str]:
-        return sorted(self.public | self.private if with_private else self.public)
+    @classmethod
+    def from_list(cls, text: str) -> SuffixRules:
+        """The rules of a public suffix list: one in a line, // before comments, private ones behind the mark of their section."""
+        rules: dict[bool, set[str]] = {False: set(), True: set()}
+        private = False
+        for line in text.splitlines():
+            rule = line.strip().split(" ")[0].lower()
+            if line.startswith("//"):
+                private = (private or "===BEGIN PRIVATE" in line) and "===END PRIVATE" not in line
+            elif rule:
+                rules[private].add(rule if rule.isascii() else ".".join(x if x.isascii() else x.encode("idna").decode() for x in rule.split(".")))
+        return cls(frozenset(r for r in rules[False] if "." in r), frozenset(rules[True]), frozenset(r.lstrip("!*.").split(".")[-1] for r in rules[False]))
+
+    def rules(self, with_private: bool = True) -> frozenset[str]:
+        return self.public | self.private if with_private else self.public
 
     def suffix_of(self, host: str, with_private: bool = True) -> str:
-        known = self.public | self.private if with_private else self.public
-        labels = host.split(".")
-        return next((s for k in range(len(labels)) if (s := ".".join(labels[k:])) in known), labels[-1])
+        known, labels = self.rules(with_private), host.split(".")
+        tails = [".".join(labels[k:]) for k in range(len(labels))]
+        for tail, rest in zip(tails, [*tails[1:], ""], strict=True):
+            if "!" + tail in known:
+                return rest
+        return next((t for t, rest in zip(tails, [*tails[1:], ""], strict=True) if t in known or (rest and "*." + rest in known)), labels[-1])
 
     def registrable(self, host: str, with_private: bool = True, strict: bool = False) -> str | None:
         """The suffix with one more label; None if the host has no more, or (strict) if its top label isn't listed."""
@@ -56,12 +75,22 @@ def ip_host(host: Column) -> Column:
 
 
 def suffix(host: Column, rules: SuffixRules = DEFAULT_RULES, with_private: bool = True) -> Column:
-    """The public suffix of a host name: the longest listed one, else the last label."""
-    listed = rules.suffixes(with_private)
-    out = F.substring_index(host, ".", -1)
-    for n in sorted({s.count(".") + 1 for s in listed}):
-        tail = F.substring_index(host, ".", -n)
-        out = F.when(tail.isin([s for s in listed if s.count(".") + 1 == n]), tail).otherwise(out)
+    """The public suffix of a host name: the longest one that a rule names, else the last label."""
+    tail = lambda n: F.substring_index(host, ".", -n)
+    plain: dict[int, list[str]] = {}
+    wild: dict[int, list[str]] = {}
+    kept: dict[int, list[str]] = {}
+    for r in sorted(rules.rules(with_private)):
+        group, name = (kept, r[1:]) if r[0] == "!" else (wild, r[2:]) if r[:2] == "*." else (plain, r)
+        group.setdefault(r.count(".") + 1, []).append(name)
+    out = tail(1)
+    for n in sorted({*plain, *wild} - {1}):
+        fits = [tail(n).isin(plain[n])] if n in plain else []
+        if n in wild:
+            fits.append(tail(n - 1).isin(wild[n]) & (tail(n) != tail(n - 1)))
+        out = F.when(fits[0] | fits[-1], tail(n)).otherwise(out)
+    for n, names in sorted(kept.items()):
+        out = F.when(tail(n).isin(names), tail(n - 1)).otherwise(out)
     return out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +17,22 @@ MAGIC, VERSION, SEED, PRIME, SECOND = b"TBLM", 1, 0x811C9DC5, 0x01000193, 0x9E37
 _HEAD = struct.Struct("<HIBI")
 
 
+#: Bits of a filter that is built, and of one that is a constant of the plan; larger ones are joined.
+MAX_BITS, MAX_CONSTANT_BITS = 1 << 27, 1 << 23
+
+
+def _hashed(text: Column, seeds: list[int], finish) -> Column:
+    """finish() of the 32-bit FNV-1a of a text's UTF-8 bytes from each seed, as an array<bigint>, in one walk over the bytes."""
+    # one character for each byte, so that each step reads one code
+    codes = F.filter(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
+    step = lambda h, c: F.transform(h, lambda x: (x.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    first = F.array(*[F.lit(s & 0xFFFFFFFF).cast("bigint") for s in seeds])
+    return F.when(text.isNotNull(), F.aggregate(codes, first, step, finish))
+
+
 def fnv1a(text: Column, seed: int = SEED) -> Column:
     """32-bit FNV-1a of a text's UTF-8 bytes, as a bigint."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    count = F.length(hexed) / 2
-    step = lambda h, i: ((h.bitwiseXOR(F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))) * F.lit(PRIME)).bitwiseAND(F.lit(0xFFFFFFFF))
-    steps = F.when(count >= 1, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(text.isNotNull(), F.aggregate(steps, F.lit(seed & 0xFFFFFFFF).cast("bigint"), step))
+    return _hashed(text, [seed], lambda h: F.get(h, F.lit(0)))
 
 
 def best_bits(n: int, rate: float) -> int:
@@ -33,9 +45,13 @@ def best_hashes(bits: int, n: int) -> int:
 
 def positions(text: Column, bits: int, hashes: int, seed: int = SEED) -> Column:
     """The bits of a text in a filter, as array<bigint>."""
-    a, b = fnv1a(text, seed), fnv1a(text, seed ^ SECOND).bitwiseOR(F.lit(1).cast("bigint"))
-    pair = F.struct(a.alias("a"), b.alias("b"))
-    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (pair["a"] + i * pair["b"]) % F.lit(bits)))
+    at = lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (F.get(h, F.lit(0)) + i * F.get(h, F.lit(1)).bitwiseOR(F.lit(1).cast("bigint"))) % F.lit(bits))
+    return _hashed(text, [seed, seed ^ SECOND], at)
+
+
+def _holds(word: Column, position: Column) -> Column:
+    """Whether a word of 64 bits has the bit of a position; a null word has none."""
+    return F.coalesce(F.getbit(word, position.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1, F.lit(False))
 
 
 @dataclass
@@ -49,25 +65,41 @@ class Membership:
 
     @classmethod
     def build(cls, items: DataFrame, col: str = "domain", rate: float = 0.01, seed: int = SEED) -> Membership:
-        """The filter of a column's values (nulls are left out). Its size goes with their number; rows for the bytes that have bits come to the driver."""
+        """The filter of a column's values (nulls are left out). Its words of 64 bits come to the driver, of MAX_BITS at most."""
         rows = items.select(F.col(col).alias("v")).filter("v IS NOT NULL")
         n = max(1, rows.count())
         bits = best_bits(n, rate)
+        if bits > MAX_BITS:
+            raise ValueError(f"a filter of {n} values has {bits} bits, over {MAX_BITS}; join them as a table instead")
         hashes = best_hashes(bits, n)
         at = rows.select(F.explode(positions(F.col("v"), bits, hashes, seed)).alias("p"))
-        filled = at.groupBy(F.expr("p div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(p % 8 as int))")).alias("set")).collect()
-        data = bytearray((bits + 7) // 8)
-        for r in filled:
-            data[r["byte"]] = r["set"]
-        return cls(bits, hashes, seed, bytes(data))
+        filled = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("set")).toPandas()
+        words = np.zeros((bits + 63) // 64, "<i8")
+        words[filled["word"].to_numpy(np.int64)] = filled["set"].to_numpy(np.int64)
+        return cls(bits, hashes, seed, words.tobytes()[: (bits + 7) // 8])
+
+    @property
+    def words(self) -> np.ndarray:
+        return np.frombuffer(self.data + bytes(-len(self.data) % 8), "<i8")
 
     def contains(self, text: Column) -> Column:
-        """Whether a text may be in the filter; false for null. The filter is one constant of the plan."""
-        data = F.lit(self.data)
-        bit = lambda p: F.conv(F.hex(F.substring(data, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        hit = F.forall(positions(text, self.bits, self.hashes, self.seed), lambda p: F.getbit(bit(p), p.bitwiseAND(F.lit(7).cast("bigint")).cast("int")) == 1)
+        """Whether a text may be in the filter; false for null. The filter is one constant of the plan, so of MAX_CONSTANT_BITS at most."""
+        if self.bits > MAX_CONSTANT_BITS:
+            raise ValueError(f"{self.bits} bits are too many for a constant; use marked()")
+        words = F.from_json(F.lit(json.dumps(self.words.tolist())), "array<bigint>")
+        hit = F.forall(positions(text, self.bits, self.hashes, self.seed), lambda p: _holds(F.get(words, F.shiftright(p, 6).cast("int")), p))
         return F.coalesce(hit, F.lit(False))
 
+    def marked(self, df: DataFrame, col: str, to: str, constant_bits: int = MAX_CONSTANT_BITS) -> DataFrame:
+        """df with a column that says what contains() does, for a filter of any size: beyond a constant's, its words are joined."""
+        if self.bits <= min(constant_bits, MAX_CONSTANT_BITS):
+            return df.withColumn(to, self.contains(F.col(col)))
+        spark = df.sparkSession
+        words = spark.createDataFrame(pd.DataFrame({"__word": np.flatnonzero(self.words), "__set": self.words[self.words != 0]}), "__word bigint, __set bigint")
+        at = df.select(F.col(col).alias("__v")).filter("__v IS NOT NULL").distinct().withColumn("__p", F.explode(positions(F.col("__v"), self.bits, self.hashes, self.seed)))
+        found = at.withColumn("__word", F.shiftright("__p", 6)).join(words, "__word", "left").groupBy("__v").agg(F.bool_and(_holds(F.col("__set"), F.col("__p"))).alias(to))
+        return df.join(found, df[col] == F.col("__v"), "left").drop("__v").withColumn(to, F.coalesce(to, F.lit(False)))
+
     def to_bytes(self) -> bytes:
         return MAGIC + _HEAD.pack(VERSION, self.bits, self.hashes, self.seed) + self.data
 

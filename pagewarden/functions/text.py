@@ -40,13 +40,34 @@ def term_count(text: Column, terms: list[str], lowered: bool = False) -> Column:
     return _sum([low.contains(t) & low.rlike(f"(?:^|[^a-z0-9]){re.escape(t)}(?:[^a-z0-9]|$)") for t in terms])
 
 
+def word_list(words: list[str]) -> Column:
+    """A constant array of words without spaces, as one literal."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def among(name: str, words: list[str]) -> Column:
+    """Whether a column, by its SQL name, is one of some words; they become a hash set of the plan."""
+    return F.expr(f"{name} IN ({', '.join(map(repr, words))})")
+
+
+def term_counts(name: str, terms: list[str]) -> Column:
+    """term_count() of a column by its SQL name, with its text in lower case already, as one piece of SQL."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    flags = [f"int(contains({name}, {quoted(t)}) AND {name} RLIKE {quoted(f'(?:^|[^a-z0-9]){re.escape(t)}(?:[^a-z0-9]|$)')})" for t in terms]
+    while len(flags) > 1:
+        flags = [f"({flags[i]} + {flags[i + 1]})" if i + 1 < len(flags) else flags[i] for i in range(0, len(flags), 2)]
+    return F.expr(f"coalesce({flags[0]}, 0)")
+
+
 def has_brand(text: Column, brands: list[Brand]) -> Column:
     """Whether any brand is in a text, after folding: as all of it, as one of its words, or (from five letters) anywhere."""
     folded = fold(text)
     tokens = sorted({b.folded for b in brands})
     long = [re.escape(t) for t in tokens if len(t) >= 5]
-    words = F.split(folded, "[^a-z0-9]+")
-    found = F.arrays_overlap(words, F.array(*[F.lit(t) for t in tokens])) | folded.isin(tokens)
+    split = [t for t in tokens if re.search("[^a-z0-9]", t)]  # these are no word of any text
+    found = F.arrays_overlap(F.split(folded, "[^a-z0-9]+"), word_list(tokens))
+    if split:
+        found = found | F.array_contains(word_list(split), folded)
     if long:
         found = found | folded.rlike("|".join(long))
     return F.coalesce(found, F.lit(False))
@@ -72,8 +93,8 @@ def first_brand(text: Column, brands: list[Brand]) -> Column:
     return F.when(has_brand(text, brands), F.get(F.filter(brand_table(brands), present), F.lit(0)))
 
 
-def lookalike(etld1: Column, suffix: Column, brands: list[Brand]) -> Column:
-    """How near a registrable domain comes to a brand's name: 0 for a brand's own domain, up to LIKENESS, else 1.
+def lookalike(etld1: str, suffix: str, brands: list[Brand]) -> Column:
+    """How near a registrable domain (its SQL name, and that of its suffix) comes to a brand's name: 0 for a brand's own domain, up to LIKENESS, else 1.
 
     The parts of the domain in front of its suffix are compared, as they are, with the folded names that
     start with the same folded letter. A part that equals such a name gives 0 on any domain.
@@ -102,6 +123,7 @@ def lookalike(etld1: Column, suffix: Column, brands: list[Brand]) -> Column:
         found = [nearest(v) for v in values]
         return pd.Series([found[c] if c >= 0 else None for c in codes], dtype=float)
 
-    n = F.length(etld1) - F.length(suffix) - 1
-    name = F.when(etld1.isin(own), None).otherwise(F.when(n > 0, F.substring(etld1, F.lit(1), n)).otherwise(etld1))
-    return F.when(etld1.isNull(), 1.0).when(etld1.isin(own), 0.0).otherwise(F.coalesce(udf(name), F.lit(1.0)))
+    listed, domain = among(etld1, own), F.col(etld1)
+    n = F.length(domain) - F.length(F.coalesce(F.col(suffix), F.lit(""))) - 1
+    name = F.when(listed, None).otherwise(F.when(n > 0, F.substring(domain, F.lit(1), n)).otherwise(domain))
+    return F.when(domain.isNull(), 1.0).when(listed, 0.0).otherwise(F.coalesce(udf(name), F.lit(1.0)))

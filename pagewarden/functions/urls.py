@@ -32,25 +32,27 @@ def _slow(urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["scheme", "host", "port", "path", "search"])
 
 
-def common_shape(url: Column) -> Column:
-    return F.coalesce(url.rlike(_COMMON) & ~url.rlike(_DOTS) & ~url.rlike(_BLANK), F.lit(False))
+def _groups(url: Column) -> Column:
+    """The groups of a URL of the common shape as an array, taken in one match; null for any other."""
+    # a URL that doesn't match stays as it is, and without control characters it is one piece then
+    found = F.split(F.regexp_replace(url, _COMMON, "\x01".join(f"${k}" for k in range(1, 6))), "\x01")
+    return F.when(~url.rlike(_BLANK) & (F.size(found) == 5) & ~url.rlike(_DOTS), found)
 
 
-def pieces(url: Column, general: bool = True) -> Column:
-    """struct(scheme, host, port, path, search) of an http(s) URL, null otherwise; host in lower case without trailing dots."""
-    simple = common_shape(url)
-    get = lambda k: F.regexp_extract(url, _COMMON, k)
-    scheme, port = F.lower(get(1)), get(3)
+def _common(groups: Column) -> Column:
+    """struct(scheme, host, port, path, search) from the groups."""
+    get = lambda k: F.get(groups, F.lit(k))
+    scheme, port = F.lower(get(0)), get(2)
     port = F.when(((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(port)
-    search = F.when(get(5) == "?", "").otherwise(get(5))
-    fast = F.struct(scheme.alias("scheme"), F.lower(get(2)).alias("host"), port.alias("port"), F.when(get(4) == "", "/").otherwise(get(4)).alias("path"), search.alias("search"))
-    out = F.when(simple, fast)
-    if general:
-        # a null struct comes back from Python as a struct of nulls
-        # marked as it is to stay out of the inputs of other Python functions, into which it would be copied many times
-        slow = F.pandas_udf(_slow, _PIECES).asNondeterministic()(F.when(~simple, url))
-        out = F.when(simple, fast).otherwise(F.when(slow["host"].isNotNull(), slow))
-    return out
+    search = F.when(get(4) == "?", "").otherwise(get(4))
+    return F.struct(scheme.alias("scheme"), F.lower(get(1)).alias("host"), port.alias("port"), F.when(get(3) == "", "/").otherwise(get(3)).alias("path"), search.alias("search"))
+
+
+def _parsed(url: Column, groups: Column) -> Column:
+    """The same for URLs without groups, or null; a null struct comes back from Python as a struct of nulls."""
+    # marked as it is to stay out of the inputs of other Python functions, into which it would be copied many times
+    slow = F.pandas_udf(_slow, _PIECES).asNondeterministic()(F.when(groups.isNull(), url))
+    return F.when(slow["host"].isNotNull(), slow)
 
 
 def with_url_parts(df, url_col: str = "url", to: str = "parts", rules: SuffixRules = DEFAULT_RULES, general: bool = True):
@@ -60,7 +62,9 @@ def with_url_parts(df, url_col: str = "url", to: str = "parts", rules: SuffixRul
     addresses have no suffix and are their own etld1; a host that is only a suffix has none.
     """
     t = f"__{to}"
-    df = df.withColumn(t, pieces(F.col(url_col), general))
+    df = df.withColumn(f"{t}g", _groups(F.col(url_col)))
+    groups = F.col(f"{t}g")
+    df = df.withColumn(t, F.when(groups.isNotNull(), _common(groups)).otherwise(_parsed(F.col(url_col), groups)) if general else F.when(groups.isNotNull(), _common(groups)))
     host = F.regexp_replace(F.col(f"{t}.host"), r"\.+$", "")
     df = df.withColumn(f"{t}h", F.when(host != "", host))
     host = F.col(f"{t}h")
@@ -69,7 +73,7 @@ def with_url_parts(df, url_col: str = "url", to: str = "parts", rules: SuffixRul
     n = F.length(host) - F.length(f"{t}e") - 1
     labels = F.when(~F.col(f"{t}ip") & (n > 0), F.split(F.substring(host, F.lit(1), n), r"\.")).otherwise(F.array().cast("array<string>"))
     parts = F.struct(*[F.col(f"{t}.{c}").alias(c) if c != "host" else host.alias(c) for c in ("scheme", "host", "port", "path", "search")], F.col(f"{t}s").alias("suffix"), F.col(f"{t}e").alias("etld1"), labels.alias("labels"), F.col(f"{t}ip").alias("is_ip"), host.contains("xn--").alias("is_punycode"))
-    return df.withColumn(to, F.when(host.isNotNull(), parts)).drop(t, f"{t}h", f"{t}ip", f"{t}s", f"{t}e")
+    return df.withColumn(to, F.when(host.isNotNull(), parts)).drop(t, f"{t}g", f"{t}h", f"{t}ip", f"{t}s", f"{t}e")
 
 
 def feed_url(raw: Column, keep_port: bool = True) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.data.brands import BRANDS, Brand
-from pagewarden.data.terms import CREDENTIAL_TERMS, FINANCIAL_TERMS, LANGUAGE_OF_TLD, SHORTENERS, TLD_RISK, URGENCY_TERMS
+from pagewarden.data.terms import CREDENTIAL_TERMS, FINANCIAL_TERMS, LANGUAGE_OF_TLD, SHORTENERS, TLD_RISK, URGENCY_TERMS, URL_KEYWORDS
 from pagewarden.functions import text
 from pagewarden.functions.dom import page_summary
 from pagewarden.functions.hosts import DEFAULT_RULES, SuffixRules
@@ -50,8 +52,9 @@ def segments(col: Column, sep: str) -> Column:
     return F.filter(F.split(col, sep), lambda x: x != "")
 
 
-def map_of(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+def map_of(table: dict, kind: str) -> Column:
+    """A constant map from strings, as one literal."""
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")
 
 
 def url_features(parts: str = "parts", url: str = "url", brands: list[Brand] = BRANDS, popular: Membership | None = None) -> dict[str, Column]:
@@ -61,7 +64,7 @@ def url_features(parts: str = "parts", url: str = "url", brands: list[Brand] = B
     query = F.regexp_replace(search, r"^\?", "")
     steps = segments(path, "/")
     hexed = F.size(F.filter(steps, lambda s: s.rlike("^(?i:[0-9a-f]{4,})$")))
-    risk = map_of(TLD_RISK)
+    risk = map_of(TLD_RISK, "double")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return {
         "url_len": utf16_length(raw),
@@ -84,9 +87,9 @@ def url_features(parts: str = "parts", url: str = "url", brands: list[Brand] = B
         "nonstandard_port": flag(p("port") != ""),
         "brand_in_subdomain": flag((F.size(p("labels")) > 0) & text.has_brand(F.array_join(p("labels"), "."), brands)),
         "brand_in_path": flag(text.has_brand(path, brands)),
-        "brand_lookalike_host": text.lookalike(p("etld1"), F.coalesce(p("suffix"), F.lit("")), brands),
-        "is_url_shortener": flag(p("etld1").isin(SHORTENERS) | host.isin(SHORTENERS)),
-        "phish_keyword_count": text.url_keyword_count(raw),
+        "brand_lookalike_host": text.lookalike(f"{parts}.etld1", f"{parts}.suffix", brands),
+        "is_url_shortener": flag(text.among(f"{parts}.etld1", SHORTENERS) | text.among(f"{parts}.host", SHORTENERS)),
+        "phish_keyword_count": F.expr(" + ".join(f"int(contains(lower({url}), '{k}'))" for k in URL_KEYWORDS)),
         "in_tranco_50k": flag(popular.contains(F.coalesce(p("etld1"), host))) if popular else F.lit(0),
         "path_depth": F.size(steps),
         "has_file_ext_html_php": flag(path.rlike(r"(?i)\.(?:html?|php|aspx?|jsp)$")),
@@ -106,7 +109,7 @@ def page_features(dom: str = "dom", parts: str = "parts", brands: list[Brand] =
         return flag(brand.isNotNull() & ~F.array_contains(brand["domains"], F.coalesce(p("etld1"), F.lit(""))))
 
     language = F.lower(F.substring_index(d("lang"), "-", 1))
-    expected = F.try_element_at(map_of(LANGUAGE_OF_TLD), F.substring_index(p("suffix"), ".", -1))
+    expected = F.try_element_at(map_of(LANGUAGE_OF_TLD, "string"), F.substring_index(p("suffix"), ".", -1))
     low = d("body_text")
     return {
         "num_forms": d("forms"),
@@ -129,9 +132,9 @@ def page_features(dom: str = "dom", parts: str = "parts", brands: list[Brand] =
         "form_added_after_load": flag(late_form) if late_form is not None else F.lit(0),
         "password_field_in_iframe": flag(password & sub_frame) if sub_frame is not None else F.lit(0),
         "num_onsubmit_handlers": d("onsubmit"),
-        "urgency_term_count": text.term_count(low, URGENCY_TERMS, lowered=True),
-        "credential_term_count": text.term_count(low, CREDENTIAL_TERMS, lowered=True),
-        "financial_term_count": text.term_count(low, FINANCIAL_TERMS, lowered=True),
+        "urgency_term_count": text.term_counts(f"{dom}.body_text", URGENCY_TERMS),
+        "credential_term_count": text.term_counts(f"{dom}.body_text", CREDENTIAL_TERMS),
+        "financial_term_count": text.term_counts(f"{dom}.body_text", FINANCIAL_TERMS),
         "visible_text_len": utf16_length(low),
         "text_to_html_ratio": ratio(utf16_length(low), d("html_len")),
         "lang_mismatch_tld": flag((language != "") & expected.isNotNull() & (language != expected)),
@@ -167,4 +170,5 @@ def extract_page(df: DataFrame, url_col: str = "url", html_col: str = "html", la
 
 def vector(df: DataFrame, to: str = "features") -> DataFrame:
     """df with the features also as one array<float> in the vector's order, zeros for those it lacks."""
-    return df.withColumn(to, F.array(*[F.coalesce(F.col(c), F.lit(0.0).cast("float")) if c in df.columns else F.lit(0.0).cast("float") for c in FEATURES]))
+    known = set(df.columns)
+    return df.withColumn(to, F.expr(f"array({', '.join(f'coalesce({c}, float(0))' if c in known else 'float(0)' for c in FEATURES)})"))

@@ -6,6 +6,9 @@ Running totals are taken in two levels: within ranges of scores, and over the ra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +100,39 @@ def passes_gate(summary: dict, least_recall: float = 0.9, most_fpr: float = 0.1)
     return summary["at_medium"]["recall"] >= least_recall and summary["at_medium"]["fpr"] <= most_fpr
 
 
-def floor_percentile(values: Column, percent: float) -> Column:
-    """The value at index floor(percent / 100 * n), or the last one, of an array in ascending order."""
-    sorted_ = F.array_sort(values)
-    n = F.size(sorted_)
-    return F.when(n > 0, F.get(sorted_, F.least(n - 1, F.floor(F.lit(percent) / 100 * n).cast("int"))))
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row for each group: the keys, n, and for each name the value at an index (from 0, ascending, a function of n).
+
+    Null values are left out. Counts for each different value are ordered within ranges between a group's
+    smallest and largest value, so no list of values is made and no task orders a whole group.
+    """
+    rows = df.select(*keys, F.col(value).alias("__v")).filter("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+
+    def matched(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+        """left with right's other columns, where the named ones are the same, nulls included."""
+        other = right.withColumnsRenamed({c: f"__r_{c}" for c in names})
+        return left.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in names], F.lit(True))).drop(*[f"__r_{c}" for c in names])
+
+    rows = matched(rows, rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__c").alias("n")), keys)
+    share = (F.col("__v") - F.col("__low")) / F.when(F.col("__high") > F.col("__low"), F.col("__high") - F.col("__low"))
+    rows = rows.withColumn("__range", F.coalesce((share * RANGES).cast("int"), F.lit(0))).drop("__low", "__high")
+    below = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES + 1 rows of a group
+    ranges = rows.groupBy(*keys, "__range", "n").agg(F.sum("__c").alias("__in")).withColumn("__before", F.coalesce(F.sum("__in").over(below), F.lit(0)))
+    for name, place in places.items():
+        at = place(F.col("n"))
+        ranges = ranges.withColumn(f"__at_{name}", F.when((at >= F.col("__before")) & (at < F.col("__before") + F.col("__in")), at - F.col("__before")))
+    wanted = ranges.filter(F.coalesce(*[f"__at_{name}" for name in places]).isNotNull()).drop("__in", "__before", "n")
+    some = matched(rows, wanted, [*keys, "__range"]).withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys, "__range").orderBy("__v")))
+    hit = lambda name: (F.col(f"__at_{name}") < F.col("__upto")) & (F.col(f"__at_{name}") >= F.col("__upto") - F.col("__c"))
+    return some.groupBy(*keys, "n").agg(*[F.max(F.when(hit(name), F.col("__v"))).alias(name) for name in places])
+
+
+def floor_index(percent: float) -> Callable[[Column], Column]:
+    """The index floor(percent / 100 * n), or the last one: what a floor percentile is read at."""
+    return lambda n: F.least(n - 1, F.floor(F.lit(percent) / 100 * n))
+
+
+def floor_percentiles(df: DataFrame, keys: list[str], value: str, percent: float) -> DataFrame:
+    """One row for each group: the keys, percentile (at the floor index) and median (of the middle two)."""
+    found = order_statistics(df, keys, value, {"percentile": floor_index(percent), "__a": lambda n: F.floor((n - 1) / 2), "__b": lambda n: F.floor(n / 2)})
+    return found.select(*keys, "percentile", ((F.col("__a") + F.col("__b")) / 2).alias("median"))

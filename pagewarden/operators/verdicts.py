@@ -13,7 +13,7 @@ from pagewarden.functions.hosts import DEFAULT_RULES, SuffixRules
 from pagewarden.functions.membership import Membership
 from pagewarden.functions.urls import with_url_parts
 from pagewarden.operators.features import EXTRACTOR_VERSION, PAGE_FEATURES, URL_FEATURES, extract_page, extract_url, vector
-from pagewarden.operators.rules import REASON, feature, reader, score_rules
+from pagewarden.operators.rules import REASON, feature, over_features, score_rules, text_of
 
 # Levels in ascending order, from rank -1.
 LEVELS = ["UNKNOWN", "LOW", "MEDIUM", "HIGH"]
@@ -61,12 +61,12 @@ def higher(a: Column, b: Column) -> Column:
     return F.when(b.isNull() | (rank(a) >= rank(b)), a).otherwise(b)
 
 
-def override(read: Callable[[str], Column], columns: list[str]) -> Column:
-    """The level that a page has at least, whatever its score; null for most."""
+def override(columns: list[str]) -> Column:
+    """The level that a page has at least, whatever its score, from the features among some columns; null for most."""
     like = feature("brand_lookalike_host", columns, 1.0)
-    password = read("has_password_input") == 1
-    high = ((read("host_is_ip") == 1) & password) | ((read("has_punycode") == 1) & (read("brand_in_subdomain") == 1)) | ((like > 0) & (like < 0.15) & password)
-    return F.when(high, "HIGH").when(read("password_form_action_external") == 1, "MEDIUM")
+    high = over_features("(host_is_ip = 1 AND has_password_input = 1) OR (has_punycode = 1 AND brand_in_subdomain = 1)", columns)
+    near = f"{like} > 0 AND {like} < 0.15D AND {over_features('has_password_input = 1', columns)}"
+    return F.expr(f"CASE WHEN {high} OR ({near}) THEN 'HIGH' WHEN {over_features('password_form_action_external = 1', columns)} THEN 'MEDIUM' END")
 
 
 def _final_level(score: Column, forced: Column, settings: Settings) -> Column:
@@ -80,16 +80,16 @@ def unknown() -> Column:
     return F.struct(F.lit("UNKNOWN").alias("level"), F.lit(0.0).alias("score"), F.array().cast(REASON).alias("reasons"), F.lit("heuristic").alias("engine"), F.lit(EXTRACTOR_VERSION).alias("extractorVersion"))
 
 
-def verdict(columns: list[str], site: Column | None = None, settings: Settings = Settings()) -> Column:
-    """The verdict of one stage from the features there are in `columns`. An override only raises the level."""
-    read = reader(columns)
-    score, reasons = score_rules(read, site)
-    level = _final_level(score, override(read, columns), settings)
+def verdict(columns: list[str], site: str | None = None, settings: Settings = Settings()) -> Column:
+    """The verdict of one stage from the features there are in `columns`; site is SQL for the site's domain. An override only raises the level."""
+    score, reasons = score_rules(columns, site)
+    level = _final_level(score, override(columns), settings)
     made = lambda lv, sc, re: F.struct(lv.alias("level"), sc.alias("score"), re.alias("reasons"), F.lit("heuristic").alias("engine"), F.lit(EXTRACTOR_VERSION).alias("extractorVersion"))
     out = made(level, score, reasons)
     if settings.allowlist and site is not None:
         said = F.array(F.struct(F.lit("ALLOWLISTED").alias("code"), F.lit("You marked this site as safe.").alias("humanText"), F.lit(0.0).alias("weight"))).cast(REASON)
-        out = F.when(F.coalesce(site.isin(list(settings.allowlist)), F.lit(False)), made(F.lit("LOW"), F.lit(0.0), said)).otherwise(out)
+        listed = F.expr(f"coalesce({site} IN ({', '.join(map(text_of, settings.allowlist))}), false)")
+        out = F.when(listed, made(F.lit("LOW"), F.lit(0.0), said)).otherwise(out)
     return out
 
 
@@ -112,18 +112,18 @@ def score_urls(df: DataFrame, url_col: str = "url", settings: Settings = Setting
     """df with the URL features and `verdict`: UNKNOWN for a URL that can't be scored, or if scoring is off."""
     out = extract_url(df, url_col, brands, popular, rules, general, keep_parts=True)
     scorable = F.col("parts").isNotNull() & F.lit(settings.enabled)
-    return out.withColumn("verdict", F.when(scorable, verdict(URL_FEATURES, F.col("parts.etld1"), settings)).otherwise(unknown())).drop("parts")
+    return out.withColumn("verdict", F.when(scorable, verdict(URL_FEATURES, "parts.etld1", settings)).otherwise(unknown())).drop("parts")
 
 
-def score_pages(df: DataFrame, url_col: str = "url", html_col: str = "html", settings: Settings = Settings(), late_form: Column | None = None, sub_frame: Column | None = None, brands: list[Brand] = BRANDS, popular: Membership | None = None, rules: SuffixRules = DEFAULT_RULES, general: bool = True, scorer: Callable[[list[str], Column, Settings], Column] = verdict) -> DataFrame:
+def score_pages(df: DataFrame, url_col: str = "url", html_col: str = "html", settings: Settings = Settings(), late_form: Column | None = None, sub_frame: Column | None = None, brands: list[Brand] = BRANDS, popular: Membership | None = None, rules: SuffixRules = DEFAULT_RULES, general: bool = True, scorer: Callable[[list[str], str, Settings], Column] = verdict) -> DataFrame:
     """df with all features, features (the vector), stage1, stage2, final and error.
 
     stage2 is null for a page without HTML, and final is stage1 then. For a URL that can't be scored all
-    are null and error says so. scorer makes a verdict from named feature columns; another engine can
-    take its place.
+    are null and error says so. scorer makes a verdict from named feature columns and SQL for the site's
+    domain; another engine can take its place.
     """
     out = extract_page(df, url_col, html_col, late_form, sub_frame, brands, popular, rules, general, keep_parts=True)
-    site, scorable = F.col("parts.etld1"), F.col("parts").isNotNull()
+    site, scorable = "parts.etld1", F.col("parts").isNotNull()
     out = vector(out)
     out = out.withColumn("features", F.when(scorable, F.col("features")))
     out = out.withColumn("stage1", F.when(scorable, scorer(URL_FEATURES, site, settings)))

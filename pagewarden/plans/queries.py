@@ -14,7 +14,9 @@ from pagewarden.operators import collection, metrics
 from pagewarden.operators.features import FEATURES, URL_FEATURES, extract_page, extract_url, vector
 from pagewarden.operators.rules import RULES, fired_codes
 from pagewarden.operators.verdicts import Settings, badge, is_navigation, lead_and_next, level_of, merge, score_pages, score_urls, top_reasons, ui_action
+from pagewarden.plans import planted
 from pagewarden.session import spread
+from pagewarden.sources.files import read_brands, read_suffixes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,8 +40,13 @@ def _urls(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", "url")
 
 
+def _given(spark):
+    """The tables that the session names: spark.pagewarden.brands and spark.pagewarden.suffixes, files that Spark can read."""
+    return {"brands": read_brands(spark, spark.conf.get("spark.pagewarden.brands", None)), "rules": read_suffixes(spark, spark.conf.get("spark.pagewarden.suffixes", None))}
+
+
 def _parts(spark, sf_dir):
-    return with_url_parts(_urls(spark, sf_dir))
+    return with_url_parts(_urls(spark, sf_dir), rules=_given(spark)["rules"])
 
 
 # -- what the SQL side knows of a URL
@@ -105,7 +112,7 @@ def scorable_filter(spark, sf_dir):
 
 def _features(*names):
     def run(spark, sf_dir):
-        return extract_url(_urls(spark, sf_dir)).select("page_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
+        return extract_url(_urls(spark, sf_dir), **_given(spark)).select("page_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
 
     return run
 
@@ -131,13 +138,20 @@ _feature_query("brand_presence", ["brand_in_subdomain", "brand_in_path"], "Brand
 @_query(f"WITH {_U}, {_F} SELECT page_id, round(CAST(entropy AS FLOAT)::DOUBLE, 5) AS host_entropy FROM f")
 def host_entropy(spark, sf_dir):
     """Entropy of host names."""
-    return extract_url(_urls(spark, sf_dir)).select("page_id", F.round(F.col("host_entropy").cast("double"), 5).alias("host_entropy"))
+    return extract_url(_urls(spark, sf_dir), **_given(spark)).select("page_id", F.round(F.col("host_entropy").cast("double"), 5).alias("host_entropy"))
 
 
-@_query()
+_OWN_DOMAINS = _quoted(sorted({d for b in BRANDS for d in b.domains}))
+# SQL's distance lets edits stand within a swap, which the domains of the table don't come near to.
+_S_LIKENESS = f"""d AS (SELECT DISTINCT etld1, left(etld1, length(etld1) - length(suffix) - 1) AS name FROM u), g AS (SELECT etld1, unnest(regexp_split_to_array(name, '[-_]')) AS part FROM d),
+    n AS (SELECT etld1, min(damerau_levenshtein(part, token) / greatest(length(part), length(token))) AS best FROM g JOIN (VALUES {", ".join(f"('{t}')" for t in _TOKENS)}) b(token)
+        ON left({_S_FOLD("part")}, 1) = left(token, 1) AND abs(length(part) - length(token)) / greatest(length(part), length(token)) <= 0.4 WHERE part <> '' AND NOT regexp_matches(part, '^[0-9]+$') GROUP BY etld1)"""
+
+
+@_query(f"WITH {_U}, {_S_LIKENESS} SELECT page_id, CASE WHEN etld1 IN ({_OWN_DOMAINS}) THEN 0 WHEN best < 0.4 THEN best::FLOAT::DOUBLE ELSE 1 END AS brand_lookalike_host FROM u LEFT JOIN n USING (etld1)")
 def brand_lookalike(spark, sf_dir):
-    """Likeness of registrable domains to brands; the distance is out of SQL's reach."""
-    return extract_url(_urls(spark, sf_dir)).select("page_id", F.col("brand_lookalike_host").cast("double").alias("brand_lookalike_host"))
+    """Likeness of registrable domains to brands."""
+    return extract_url(_urls(spark, sf_dir), **_given(spark)).select("page_id", F.col("brand_lookalike_host").cast("double").alias("brand_lookalike_host"))
 
 
 @_query(f"WITH {_U} SELECT page_id, {_S_FOLD('host')} AS folded FROM u")
@@ -162,18 +176,24 @@ def bloom_bit_positions(spark, sf_dir):
     return hosts.select(F.explode(positions(F.col("host"), 9586, 7)).alias("bit")).distinct()
 
 
-@_query()
+_S_FILTER = f"""l AS (SELECT DISTINCT host FROM u WHERE scheme = 'https'), z AS (SELECT count(*) AS n, ceil(-count(*) * ln(0.01) / (ln(2) * ln(2)))::BIGINT AS m FROM l), c AS (SELECT m, greatest(1, round(m / n * ln(2)))::BIGINT AS k FROM z),
+    h AS (SELECT host, ({_S_FNV('host', 0x811C9DC5)})::BIGINT AS a, (({_S_FNV('host', 0x811C9DC5 ^ 0x9E3779B9)})::BIGINT | 1) AS b FROM (SELECT DISTINCT host FROM u)),
+    p AS (SELECT host, (a + i * b) % m AS bit FROM h, c, range(32) t(i) WHERE i < k), f AS (SELECT DISTINCT bit FROM p SEMI JOIN l USING (host)),
+    r AS (SELECT host, bool_and(f.bit IS NOT NULL) AS listed FROM p LEFT JOIN f USING (bit) GROUP BY host)"""
+
+
+@_query(f"WITH {_U}, {_S_FILTER} SELECT page_id, host, listed FROM u JOIN r USING (host)")
 def bloom_membership(spark, sf_dir):
     """Hosts of https pages as a filter, asked for all hosts."""
     parts = _parts(spark, sf_dir).filter("parts IS NOT NULL").select("page_id", F.col("parts.host").alias("host"), F.col("parts.scheme").alias("scheme"))
     listed = Membership.build(parts.filter("scheme = 'https'").select(F.col("host").alias("domain")).distinct())
-    return parts.select("page_id", "host", listed.contains(F.col("host")).alias("listed"))
+    return listed.marked(parts.select("page_id", "host"), "host", "listed")
 
 
 @_query("""SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::DOUBLE AS num_anchors, 0::DOUBLE AS external_anchor_ratio, 0::DOUBLE AS anchor_null_ratio, 0::DOUBLE AS num_forms, 0::DOUBLE AS num_iframes FROM pages""")
 def page_anchor_counts(spark, sf_dir):
     """Anchors of pages."""
-    out = extract_page(spread(_table(spark, sf_dir, "pages")))
+    out = extract_page(spread(_table(spark, sf_dir, "pages")), **_given(spark))
     return out.select("page_id", *[F.col(c).cast("double").alias(c) for c in ("num_anchors", "external_anchor_ratio", "anchor_null_ratio", "num_forms", "num_iframes")])
 
 
@@ -184,7 +204,7 @@ _LANGUAGES = ", ".join(f"('{k}', '{v}')" for k, v in LANGUAGE_OF_TLD.items())
     SELECT page_id, coalesce(lang <> '' AND lang <> e.language, false)::INT::DOUBLE AS lang_mismatch_tld FROM l LEFT JOIN (VALUES {_LANGUAGES}) e(tld, language) ON e.tld = suffix""")
 def page_language(spark, sf_dir):
     """Pages whose language isn't that of their country."""
-    return extract_page(spread(_table(spark, sf_dir, "pages"))).select("page_id", F.col("lang_mismatch_tld").cast("double").alias("lang_mismatch_tld"))
+    return extract_page(spread(_table(spark, sf_dir, "pages")), **_given(spark)).select("page_id", F.col("lang_mismatch_tld").cast("double").alias("lang_mismatch_tld"))
 
 
 def _s_terms(terms):
@@ -203,7 +223,7 @@ def document_terms(spark, sf_dir):
 @_query(f"WITH {_U}, {_F} {_FIRED}")
 def rule_fired_long(spark, sf_dir):
     """One row for each rule that fires on a URL."""
-    return fired_codes(extract_url(_urls(spark, sf_dir)).select("page_id", *URL_FEATURES)).select("page_id", "code", "weight", "ord")
+    return fired_codes(extract_url(_urls(spark, sf_dir), **_given(spark)).select("page_id", *URL_FEATURES)).select("page_id", "code", "weight", "ord")
 
 
 @_query(f"WITH {_U}, {_F} SELECT code, count(*) AS n FROM ({_FIRED}) GROUP BY code")
@@ -213,7 +233,7 @@ def rule_histogram(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return score_urls(_urls(spark, sf_dir)).filter("url_len IS NOT NULL")  # a URL that can't be scored has no features
+    return score_urls(_urls(spark, sf_dir), **_given(spark)).filter("url_len IS NOT NULL")  # a URL that can't be scored has no features
 
 
 @_query(f"WITH {_U}, {_F}, {_SCORED} SELECT page_id, round(score, 9) AS score, {_LEVEL} AS level FROM s")
@@ -244,14 +264,14 @@ def top_hosts_by_score(spark, sf_dir):
 @_query(f"WITH {_U}, {_F}, {_SCORED} SELECT page_id, etld1 = 'example.org' AS allowlisted, CASE WHEN etld1 = 'example.org' THEN 0 ELSE round(score, 9) END AS score, CASE WHEN etld1 = 'example.org' THEN 'LOW' ELSE {_LEVEL} END AS level FROM s")
 def allowlist_short_circuit(spark, sf_dir):
     """Scores with one domain allowed."""
-    out = with_url_parts(score_urls(_urls(spark, sf_dir), settings=Settings(allowlist=("example.org",))))
+    out = with_url_parts(score_urls(_urls(spark, sf_dir), settings=Settings(allowlist=("example.org",)), **_given(spark)))
     return out.filter("parts IS NOT NULL").select("page_id", (F.col("parts.etld1") == "example.org").alias("allowlisted"), F.round("verdict.score", 9).alias("score"), "verdict.level")
 
 
 @_query()
 def page_scores(spark, sf_dir):
     """Both stages and their merge, for every page."""
-    out = score_pages(spread(_table(spark, sf_dir, "pages")))
+    out = score_pages(spread(_table(spark, sf_dir, "pages")), **_given(spark))
     v = F.col("final")
     shown = ui_action(v, F.lit(False), F.lit(False))
     return out.select("page_id", F.col("stage1.score").alias("stage1"), F.col("stage2.score").alias("stage2"), v["score"].alias("score"), v["level"].alias("level"), F.size(v["reasons"]).alias("n_reasons"), shown.alias("action"), badge(v["level"])["text"].alias("badge"), lead_and_next(v, 3)["lead"]["humanText"].alias("lead"))
@@ -260,7 +280,37 @@ def page_scores(spark, sf_dir):
 @_query()
 def page_vectors(spark, sf_dir):
     """The whole feature vector of every page."""
-    return vector(extract_page(spread(_table(spark, sf_dir, "pages")))).select("page_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    return vector(extract_page(spread(_table(spark, sf_dir, "pages")), **_given(spark))).select("page_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
+@_query(planted.PARTS_SQL)
+def planted_url_parts(spark, sf_dir):
+    """Planted URLs taken apart: addresses, ports, user names, private suffixes, other letters."""
+    p = with_url_parts(planted.planted_pages(_table(spark, sf_dir, "pages"))).filter("parts IS NOT NULL")
+    return p.select("page_id", *[f"parts.{c}" for c in ("scheme", "host", "port", "path", "search", "suffix", "etld1")], F.array_join("parts.labels", ".").alias("labels"), "parts.is_ip", "parts.is_punycode")
+
+
+@_query(planted.VECTORS_SQL)
+def planted_vectors(spark, sf_dir):
+    """All features of planted pages: forms, passwords, frames, scripts, terms, brands."""
+    out = extract_page(planted.planted_pages(spread(_table(spark, sf_dir, "pages"))), **planted.flags()).filter("url_len IS NOT NULL")
+    return out.select("page_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURES])
+
+
+@_query(planted.RULES_SQL)
+def planted_rules(spark, sf_dir):
+    """The rules that fire on planted pages; each one does on some."""
+    out = extract_page(planted.planted_pages(spread(_table(spark, sf_dir, "pages"))), **planted.flags()).filter("url_len IS NOT NULL")
+    return fired_codes(out.select("page_id", *FEATURES)).select("page_id", "code", "weight", "ord")
+
+
+@_query(planted.VERDICTS_SQL)
+def planted_verdicts(spark, sf_dir):
+    """Both stages of planted pages, their merge and what is shown, overrides included."""
+    v = F.col("final")
+    out = score_pages(planted.planted_pages(spread(_table(spark, sf_dir, "pages"))), **planted.flags()).filter("error IS NULL")
+    score = lambda c: F.round(F.col(f"{c}.score"), 9)
+    return out.select("page_id", score("stage1").alias("stage1"), score("stage2").alias("stage2"), score("final").alias("score"), v["level"].alias("level"), ui_action(v, F.lit(False), F.lit(False)).alias("action"))
 
 
 _NORMAL = rf"lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '{_PATTERN}', 2)) || CASE WHEN regexp_extract(url, '{_PATTERN}', 4) = '' THEN '/' ELSE regexp_extract(url, '{_PATTERN}', 4) END || CASE WHEN regexp_extract(url, '{_PATTERN}', 5) = '?' THEN '' ELSE regexp_extract(url, '{_PATTERN}', 5) END"
@@ -392,8 +442,8 @@ def ranking_metrics(spark, sf_dir):
 @_query("SELECT event_type, list_sort(list(value))[least(count(*) - 1, floor(0.95 * count(*))::BIGINT) + 1] AS p95, round(median(value), 9) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def percentile_floor(spark, sf_dir):
     """Floor-index percentiles of events' values, by type."""
-    events = _table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    return events.groupBy("event_type").agg(metrics.floor_percentile(F.collect_list("value"), 95).alias("p95"), F.round(F.median("value"), 9).alias("median"))
+    out = metrics.floor_percentiles(_table(spark, sf_dir, "events"), ["event_type"], "value", 95)
+    return out.select("event_type", F.col("percentile").alias("p95"), F.round("median", 9).alias("median"))
 
 
 @_query("SELECT user_id AS tab_id, max_by(event_type, {'ts': ts, 'id': event_id}) AS last_type, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
@@ -413,10 +463,10 @@ def tab_replay(spark, sf_dir):
     url = F.concat(F.lit("https://example.com/"), (F.col("event_id") % 3).cast("string"))
     score = F.coalesce(F.abs("value") % 1, F.lit(0.0))
     level = F.when(score >= 0.75, "HIGH").when(score >= 0.35, "MEDIUM").otherwise("LOW")
-    return replay(e.select(F.col("user_id").cast("bigint").alias("tab_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), kind.alias("type"), F.lit(0).alias("frame_id"), url.alias("url"), level.alias("level"), score.alias("score"), F.lit(None).cast("bigint").alias("requested_tab")))
+    return replay(e.select(F.col("user_id").cast("bigint").alias("tab_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), kind.alias("type"), F.lit(0).alias("frame_id"), url.alias("url"), level.alias("level"), score.alias("score"), F.lit(None).cast("bigint").alias("requested_tab"), F.col("event_id").alias("seq")))
 
 
 def entry(spark, sf_dir):
     """The flagship: every page scored by both stages, summed up by level."""
-    scored = score_pages(spread(_table(spark, sf_dir, "pages")))
+    scored = score_pages(spread(_table(spark, sf_dir, "pages")), **_given(spark))
     return scored.groupBy("final.level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final.score"), 6).alias("mean_score"))

@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewarden.data.brands import BRANDS, Brand, brands_from_json
+from pagewarden.functions.hosts import DEFAULT_RULES, SuffixRules, registrable, suffix
 from pagewarden.functions.membership import Membership
 from pagewarden.operators.collection import EVAL, popular_domains
-from pagewarden.functions.hosts import DEFAULT_RULES, SuffixRules, registrable, suffix
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_brands(spark: SparkSession, path: str | None) -> list[Brand]:
+    """The brand table of a JSON file (see brands_from_json), or the one built in if there is no path."""
+    return brands_from_json(_whole(spark, path)) if path else BRANDS
+
+
+def read_suffixes(spark: SparkSession, path: str | None) -> SuffixRules:
+    """The rules of a public suffix list's file, or those built in if there is no path."""
+    return SuffixRules.from_list(_whole(spark, path)) if path else DEFAULT_RULES
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

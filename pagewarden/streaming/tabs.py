@@ -1,7 +1,7 @@
 """The state of browser tabs as a keyed state machine over events, in a stream or over a table.
 
 Events: tab_id, ts (milliseconds), type, and what the type needs (see EVENT). A tab's events are applied
-in order of time. A timer is armed by a finished navigation and ends the wait for the page's own score;
+in order of time, then of a column seq if there is one. A timer is armed by a finished navigation and ends the wait for the page's own score;
 a new navigation or that score disarms it. What the machine does is in advance(); the stream keeps its
 state in the state store, and replay() runs the same over a table, one group for each tab.
 """
@@ -45,6 +45,11 @@ def valid_messages(messages: DataFrame, type_col: str = "type") -> tuple[DataFra
     return messages.filter(known), messages.filter(~known).withColumn("error", F.lit("UNKNOWN_MESSAGE"))
 
 
+def _in_order(event: dict) -> tuple:
+    """By time, then by seq where events have one, then by all they say: events of one time never depend on how they arrive."""
+    return event["ts"], event.get("seq") or 0, str(sorted((k, str(v)) for k, v in event.items()))
+
+
 def _row(tab_id: int, ts: int, event: str, tab: dict | None, badge: str | None) -> dict:
     tab = tab or {}
     level = lambda k: (tab.get(k) or {}).get("level")
@@ -69,7 +74,7 @@ def advance(tab_id: int, state: dict, events: list[dict], until: int | None = No
                 tab["final"] = tab["stage1"] or {"level": "UNKNOWN", "score": 0.0}
                 out.append(_row(tab_id, at, "timeout", tab, tab["final"]["level"]))
 
-    for e in sorted(events, key=lambda e: e["ts"]):
+    for e in sorted(events, key=_in_order):
         fire(e["ts"])
         kind, ts = e["type"], e["ts"]
         web = bool(e.get("url")) and e["url"].startswith(("http://", "https://"))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,8 +32,15 @@ def test_metrics(spark):
 
 
 def test_floor_percentile(spark):
-    df = spark.range(1, 11).agg(F.collect_list("id").alias("v"))
-    assert df.select(metrics.floor_percentile(F.col("v"), 95), metrics.floor_percentile(F.col("v"), 50)).first()[:] == (10, 6)
+    df = spark.createDataFrame([("a", float(k)) for k in range(1, 11)] + [("b", 3.0)] * 5 + [("b", 1.0), ("b", None), ("c", None), (None, 7.0), (None, 8.0)], "g string, v double")
+    assert {tuple(r) for r in metrics.floor_percentiles(df, ["g"], "v", 95).collect()} == {("a", 10.0, 5.5), ("b", 3.0, 3.0), (None, 8.0, 7.5)}
+    assert {r["percentile"] for r in metrics.floor_percentiles(df, ["g"], "v", 50).collect()} == {6.0, 3.0, 8.0}
+    rng = random.Random(4)
+    many = [(rng.choice("xy"), rng.choice([rng.gauss(0, 1), 5.0, 1e9, -3.0])) for _ in range(900)]
+    for r in metrics.floor_percentiles(spark.createDataFrame(many, "g string, v double"), ["g"], "v", 90).collect():
+        own = sorted(v for g, v in many if g == r["g"])
+        assert r["percentile"] == own[min(len(own) - 1, int(0.9 * len(own)))] and r["median"] == (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
+    assert metrics.floor_percentiles(df.limit(0), ["g"], "v", 50).count() == 0
 
 
 def test_store(spark, tmp_path):
@@ -93,9 +101,13 @@ def test_evaluation(spark):
     assert summary["n"] == 2 and summary["roc_auc"] == 1.0 and metrics.passes_gate(summary)
     assert [r["url"] for r in bad.collect()] == ["nothing"]
     lines = [tuple(r) for r in good.collect()]
-    assert "ROC-AUC | 1.000" in markdown("T", summary, lines, [("nothing", "x")]) and json.loads(results_json("T", summary, lines, []))["summary"]["n"] == 2
-    joined = joined_scores(rows.unionByName(spark.createDataFrame([("http://lost.test/", 0, "")], rows.schema)), score_records(rows)).collect()
+    report = markdown("T", summary, lines, [("nothing", "x")])
+    assert "| nothing | x |" in report and "| 2 | 1 | 1 | 1.0000 |" in report and json.loads(results_json("T", summary, lines, []))["summary"]["n"] == 2
+    records = score_records(rows).withColumn("line", F.lit(1))
+    worse = records.withColumn("final", F.col("final").withField("level", F.lit("LOW"))).withColumn("line", F.when(F.col("url").contains("127"), 2).otherwise(0))
+    joined = joined_scores(rows.unionByName(spark.createDataFrame([("http://lost.test/", 0, "")], rows.schema)), records.unionByName(worse), ["line"]).collect()
     assert {r["url"]: r["error"] for r in joined}["http://lost.test/"] == "no score"
+    assert {r["url"]: r["level"] for r in joined}["http://127.0.0.1/"] == "LOW"  # the later of two records
 
 
 def events(spark, rows):

@@ -9,7 +9,7 @@ from pagewarden.functions.dom import Tree, summarize
 from pagewarden.functions.hosts import DEFAULT_RULES
 from pagewarden.functions.text import first_brand, has_brand, term_count
 from pagewarden.operators.features import FEATURES, entropy, extract_page, extract_url, vector
-from pagewarden.operators.rules import RULES, noisy_or_of
+from pagewarden.operators.rules import RULES, Rule, noisy_or_of, score_rules
 from pagewarden.operators.verdicts import Settings, badge, credential_field, higher, merge, score_pages, score_urls, ui_action
 
 LOGIN = '<html lang="en"><head><title>Sign in</title></head><body><form action="{action}"><input type="password"></form><footer>&copy; Firm</footer></body></html>'
@@ -91,26 +91,33 @@ def test_single_precision_boundaries(spark):
 def test_every_rule_can_fire(spark):
     """Each rule is off on a harmless vector, and its condition turns it on."""
     calm = {n: 0.0 for n in FEATURES} | {"is_https": 1.0, "in_tranco_50k": 1.0, "brand_lookalike_host": 1.0}
-    loud = {"URL_BRAND_LOOKALIKE": ("brand_lookalike_host", 0.2), "URL_BRAND_LOOKALIKE_WEAK": ("brand_lookalike_host", 0.35), "URL_NOT_TRANCO": ("in_tranco_50k", 0.0), "URL_NO_HTTPS": ("is_https", 0.0)}
+    loud = {"URL_BRAND_LOOKALIKE": 0.2, "URL_BRAND_LOOKALIKE_WEAK": 0.35, "URL_NOT_TRANCO": 0.0, "URL_NO_HTTPS": 0.0, "URL_LONG_HOST": 100.0}
     rows = [calm]
     for r in RULES:
-        name, value = loud.get(r.code, (None, None))
-        row = dict(calm)
-        if name is None:
-            probe: list[str] = []
-            r.test(lambda n, probe=probe: probe.append(n) or F.col(n))
-            name, value = probe[0], 100.0 if r.code in ("URL_LONG_HOST",) else 5.0 if "COUNT" in r.code or probe[0].startswith(("num_", "phish", "urgency", "credential", "financial", "host_entropy")) else 1.0
-        row[name] = value
+        name = r.test.split()[0]
+        row = calm | {name: loud.get(r.code, 5.0 if name.startswith(("num_", "phish", "urgency", "credential", "financial", "host_entropy")) else 1.0)}
         if r.code == "URL_NOT_TRANCO":
             row["brand_lookalike_host"] = 0.0
         rows.append(row)
     df = spark.createDataFrame([tuple(x[n] for n in FEATURES) for x in rows], ", ".join(f"{n} double" for n in FEATURES))
-    out = df.select(*[r.test(lambda n: F.col(n).cast("float").cast("double")).alias(r.code) for r in RULES]).collect()
+    out = df.select(*[r.fires(FEATURES).alias(r.code) for r in RULES]).collect()
     assert not any(out[0])
     for k, r in enumerate(RULES):
         assert out[k + 1][r.code], r.code
 
 
+def test_own_rules(spark):
+    """A rule's condition may also be a function of a reader, next to those in SQL."""
+    rules = [Rule("LONG", 0.5, lambda f: f("url_len") > 5, "It's long."), Rule("SECURE", 0.25, "is_https = 1", "On {site}.")]
+    row = spark.createDataFrame([(9.0, 1.0, "a.test")], "url_len double, is_https double, site string")
+    for some in (rules, rules[1:]):
+        score, reasons = score_rules(row.columns, "site", some)
+        got = row.select(score.alias("score"), reasons.alias("reasons")).first()
+        assert got["score"] == 1 - (0.5 if len(some) == 2 else 1) * 0.75
+        assert [r["humanText"] for r in got["reasons"]] == ["It's long.", "On a.test."][-len(some) :]
+    assert row.select(score_rules(row.columns, None, rules)[1].alias("r")).first()["r"][1]["humanText"] == "On this site."
+
+
 def test_noisy_or_rises(spark):
     rng = random.Random(3)
     for _ in range(20):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewarden.functions import whatwg
-from pagewarden.functions.hosts import DEFAULT_RULES, is_ip_host
+from pagewarden.functions.hosts import DEFAULT_RULES, SuffixRules, is_ip_host, suffix
 from pagewarden.functions.homoglyphs import alignment_distance, fold, fold_text
 from pagewarden.functions.membership import Membership, best_bits, best_hashes, fnv1a
 from pagewarden.functions.urls import feed_url, typed_url, with_url_parts
@@ -52,6 +52,17 @@ def test_both_parsers_agree(spark):
             assert p["is_ip"] == is_ip_host(host) and p["etld1"] == DEFAULT_RULES.registrable(host), r
 
 
+def test_suffix_lists(spark):
+    """Rules of a public suffix list: plain, any label, exceptions, and the private section."""
+    text = "// ===BEGIN ICANN DOMAINS===\ncom\nuk\nco.uk\nck\n*.ck\n!www.ck\njp\nkobe.jp\n*.kawasaki.jp\n!city.kawasaki.jp\n公司.cn\n\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\ngithub.io\n*.compute.example.com\n// ===END PRIVATE DOMAINS===\n"
+    rules = SuffixRules.from_list(text)
+    cases = {"a.b.co.uk": "co.uk", "x.y.ck": "y.ck", "www.ck": "ck", "a.www.ck": "ck", "ck": "ck", "b.kobe.jp": "kobe.jp", "c.d.kawasaki.jp": "d.kawasaki.jp", "city.kawasaki.jp": "kawasaki.jp", "kawasaki.jp": "jp", "u.github.io": "github.io", "q.r.compute.example.com": "r.compute.example.com", "compute.example.com": "com", "z.unlisted": "unlisted", "x.xn--55qx5d.cn": "xn--55qx5d.cn"}
+    got = spark.createDataFrame([(h,) for h in cases], "h string").select("h", suffix(F.col("h"), rules), suffix(F.col("h"), rules, with_private=False)).collect()
+    assert {r[0]: r[1] for r in got} == cases == {h: rules.suffix_of(h) for h in cases}
+    assert all(r[2] == rules.suffix_of(r[0], with_private=False) for r in got)
+    assert {"com", "uk", "jp", "cn"} <= rules.top and "io" not in rules.top and rules.registrable("a.www.ck") == "www.ck"
+
+
 def test_relative_references():
     base = whatwg.parse("https://a.example/x/y?z")
     for ref, want in [("p", "https://a.example/x/p"), ("/p", "https://a.example/p"), ("//b.example", "https://b.example/"), ("?q", "https://a.example/x/y?q"), ("", "https://a.example/x/y?z"), ("../../p", "https://a.example/p"), ("\\\\c.example\\p", "https://c.example/p")]:
@@ -75,8 +86,12 @@ def test_folding_and_distance(spark):
 
 
 def test_membership(spark):
-    known = spark.createDataFrame([("",), ("a",), ("foobar",)], "v string").select(fnv1a(F.col("v"))).collect()
-    assert [r[0] for r in known] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
+    known = spark.createDataFrame([("",), ("a",), ("foobar",), (None,)], "v string").select(fnv1a(F.col("v"))).collect()
+    assert [r[0] for r in known] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968, None]
+    h = 0x811C9DC5
+    for b in "bücher\0梦".encode():
+        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+    assert spark.createDataFrame([("bücher\0梦",)], "v string").select(fnv1a(F.col("v"))).first()[0] == h
     assert (best_bits(50_000, 0.01), best_hashes(479_253, 50_000)) == (479_253, 7)
     inside = spark.range(400).select(F.concat(F.lit("in-"), "id").alias("domain"))
     m = Membership.build(inside)
@@ -85,6 +100,8 @@ def test_membership(spark):
     assert inside.filter(~again.contains(F.col("domain"))).isEmpty()
     outside = spark.range(1000).select(F.concat(F.lit("out-"), "id").alias("domain"))
     assert outside.filter(again.contains(F.col("domain"))).count() <= 30
+    joined = again.marked(inside.unionByName(outside).unionByName(spark.createDataFrame([(None,)], "domain string")), "domain", "listed", constant_bits=0)
+    assert joined.count() == 1401 and joined.filter(F.col("listed") != again.contains(F.col("domain"))).isEmpty()
     for raw in (b"TBLM", b"XXXX" + m.to_bytes()[4:], m.to_bytes()[:-1]):
         with pytest.raises(ValueError, match="cut short|not a TBLM"):
             Membership.from_bytes(raw)

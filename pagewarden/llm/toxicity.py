@@ -3,14 +3,17 @@
 A word is a sequence of bytes between a start and an end mark, and a model gives each byte's probability
 from up to five before it. The two classes have interpolated Kneser-Ney models with counts of their own
 for the longest contexts, and one shared model behind them: continuation counts over both classes, which
-smooth whatever is rare in either. Counts come from every labelled row that isn't held out. Where both
-classes back off, the shared model cancels out of the ratio of the likelihoods, so a byte's log-ratio is
-known from two tables: one of the grams that a class has seen, one of the contexts.
-
-A document is judged by the mean log-ratio of its words, by that of its most telling expression, and by the
-shares of its words whose log-ratio is above some bars, so a few toxic-leaning expressions count although
-most words are ordinary, and more than a single one does. A logistic curve turns them into a score; it is
-fitted on a bounded sample of labelled rows, each scored by models that haven't seen its fold.
+smooth whatever is rare in either. Counts come from every labelled row that isn't held out. A class's own
+counts are discounted by more than the shared ones, so what a class has seen two or three times, by chance
+as likely as not, is left to the shared model. Where both classes back off, it cancels out of the ratio of
+the likelihoods, so a byte's log-ratio is known from two tables: one of the grams that a class has seen,
+one of the contexts.
+
+A document is judged by the log-ratio of its likelihoods, divided by its number of words. The ratios of
+ordinary words add up to noise, which would drown a few toxic expressions in a long text; so the sum is
+taken over the words whose own ratio is above a bar, once for each of a few bars, and always divided by the
+number of all words. A logistic curve turns these ratios into a score; it is fitted on a bounded sample of
+labelled rows, each scored by models that haven't seen its fold.
 """
 
 from __future__ import annotations
@@ -33,13 +36,16 @@ MAX_GRAMS = 4_000_000
 #: Labels (about 24 bytes each) up to which they go to the texts rather than the texts to them.
 MAX_SENT_LABELS = 2_000_000
 THRESHOLD = 0.7
-#: Log-ratios above which words lean to the toxic side, and what is added to their shares ahead of the logarithm.
-BARS, SHARE_FLOOR = (1.0, 2.0, 3.0, 4.0), 0.005
-_CONTEXT, _START, _END, _DISCOUNT = 5, 2, 3, 0.75
+#: Log-ratios above which a word's own counts, and what is added to the normalised ratios ahead of the logarithm.
+BARS, RATIO_FLOOR = (1.0, 2.0, 3.0), 0.02
+_CONTEXT, _START, _END = 5, 2, 3
+#: What is taken off the shared model's counts, and off those of a class.
+_DISCOUNT, _CLASS_DISCOUNT = 0.75, 3.0
 _TABLE = byte_table(WHITE + PUNCTUATION)
 _CONTEXT_BITS = np.uint64(8)
-#: A document's evidence.
-_EVIDENCE = ["mean_ratio", "peak_ratio", *(f"leaning_{k}" for k in range(len(BARS)))]
+#: A document's normalised ratios, one for each bar, and with them two that are only told.
+_RATIOS = [f"ratio_above_{k}" for k in range(len(BARS))]
+_EVIDENCE = ["mean_ratio", "peak_ratio", *_RATIOS]
 
 
 def grams_of(raws: list[bytes]):
@@ -106,10 +112,10 @@ class KneserNeyPair:
         shared = self._shared(gram)
         rates, p = [], []
         for c in counts:
-            n, types = np.bincount(at, c, len(context)), np.bincount(at, c > 0, len(context))
-            rate = np.where(n > 0, _DISCOUNT * types / np.maximum(n, 1), 1.0)
+            n = np.bincount(at, c, len(context))
+            rate = np.where(n > 0, np.bincount(at, np.minimum(c, _CLASS_DISCOUNT), len(context)) / np.maximum(n, 1), 1.0)
             rates.append(rate)
-            p.append(np.maximum(c - _DISCOUNT, 0) / np.maximum(n, 1)[at] + rate[at] * shared)
+            p.append(np.maximum(c - _CLASS_DISCOUNT, 0) / np.maximum(n, 1)[at] + rate[at] * shared)
         self.grams = Lookup(gram, np.log(p[1] / p[0]))
         self.contexts = Lookup(context, np.log(rates[1] / rates[0]))
 
@@ -144,7 +150,7 @@ class KneserNeyPair:
         return out
 
     def evidence(self, raws: list[bytes]) -> np.ndarray:
-        """For each text: mean log-ratio of its words, the largest of one word, and the share of words above each of BARS."""
+        """For each text: mean log-ratio of its words, the largest of one word, and the mean with only those above each of BARS."""
         out = np.zeros((len(raws), len(_EVIDENCE)))
         for begin, some in chunks(raws):
             gram, _, word, w = grams_of(some)
@@ -159,7 +165,7 @@ class KneserNeyPair:
             out[begin + has, 0] = np.bincount(w.text, by_word, len(some))[has] / n[has]
             out[begin + has, 1] = np.maximum.reduceat(by_word, (np.cumsum(n) - n)[has])
             for k, bar in enumerate(BARS):
-                out[begin + has, 2 + k] = np.bincount(w.text, by_word > bar, len(some))[has] / n[has]
+                out[begin + has, 2 + k] = np.bincount(w.text, np.where(by_word > bar, by_word, 0), len(some))[has] / n[has]
         return out
 
 
@@ -233,12 +239,13 @@ def ratio_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.unionByName(part)
 
     def rate(c, over):
-        n, types = (F.sum(c), F.count(F.when(F.col(c) > 0, 1))) if over is None else (F.sum(c).over(over), F.count(F.when(F.col(c) > 0, 1)).over(over))
-        return F.when(n > 0, F.lit(_DISCOUNT) * types / F.greatest(n, F.lit(1))).otherwise(F.lit(1.0)), F.greatest(n, F.lit(1))
+        n, left = F.sum(c), F.sum(F.least(F.col(c).cast("double"), F.lit(_CLASS_DISCOUNT)))
+        n, left = (n, left) if over is None else (n.over(over), left.over(over))
+        return F.when(n > 0, left / F.greatest(n, F.lit(1))).otherwise(F.lit(1.0)), F.greatest(n, F.lit(1))
 
     def p(c):
         share, n = rate(c, Window.partitionBy("context"))
-        return F.greatest(F.col(c) - _DISCOUNT, F.lit(0.0)) / n + share * F.col("shared")
+        return F.greatest(F.col(c) - _CLASS_DISCOUNT, F.lit(0.0)) / n + share * F.col("shared")
 
     contexts = grams.groupBy("context").agg(F.log(rate("toxic", None)[0] / rate("ordinary", None)[0]).cast("float").alias("ratio"))
     return frozen(rows.select("gram", F.log(p("toxic") / p("ordinary")).cast("float").alias("ratio"))), frozen(contexts)
@@ -304,7 +311,7 @@ def _joined(docs: DataFrame, grams: DataFrame, contexts: DataFrame, id_col: str,
     ratios = spelt.groupBy("word").agg(F.sum(F.coalesce("own", "backed", F.lit(0.0)).cast("double")).alias("ratio"))
     # equal rows count each word as many times more, which leaves means and maxima as they are
     found = words.join(ratios, "word").groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
-    found = found.agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean_ratio"), F.max("ratio").alias("peak_ratio"), *[(F.sum(F.when(F.col("ratio") > bar, F.col("n")).otherwise(F.lit(0))) / F.sum("n")).alias(c) for c, bar in zip(_EVIDENCE[2:], BARS, strict=True)])
+    found = found.agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean_ratio"), F.max("ratio").alias("peak_ratio"), *[(F.sum(F.when(F.col("ratio") > bar, F.col("n") * F.col("ratio")).otherwise(F.lit(0.0))) / F.sum("n")).alias(c) for c, bar in zip(_EVIDENCE[2:], BARS, strict=True)])
     rows = docs.drop("raw").join(found, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
     return rows.select("id", *keep, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _EVIDENCE])
 
@@ -314,8 +321,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
 
     Labels of held-out rows, null labels and null ids are not learned from. A null text counts as empty;
     a text without words has ratios of 0. Without labelled rows of both classes every score is the
-    (smoothed) share of toxic ones, or 0 if there are no labels. Repeated rows get equal scores.
-    With keep_text_hash there is also text_hash, the xxhash64 of the text's bytes, to tell rows with one id apart.
+    (smoothed) share of toxic ones, or 0 if there are no labels. Repeated rows get equal scores, those with
+    a null id included. An empty table gives an empty result. Very long texts are read whole, one at a time
+    in a few arrays of their length. With keep_text_hash there is also text_hash, the xxhash64 of the text's
+    bytes, to tell rows with one id apart. Columns of docs other than the two named ones are not read, so
+    they may be called like those that come out.
     """
     labelled = frozen(training_labels(labels, label_col, id_col))
     hashed = {"text_hash": F.xxhash64(utf8(text_col))} if keep_text_hash else {}
@@ -343,14 +353,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
 
     # each fold by the counts of the other
     seen = [judged(drawn.filter(F.col("fold") == fold), [other], ["label"]).toPandas() for fold, other in ((0, 2), (2, 0))]
-    x = np.concatenate([p[_EVIDENCE].to_numpy() for p in seen])
-    x[:, 2:] = np.log(x[:, 2:] + SHARE_FLOOR)
+    x = np.log(np.concatenate([p[_RATIOS].to_numpy() for p in seen]) + RATIO_FLOOR)
     y = np.concatenate([p["label"].to_numpy() for p in seen])
     w = _logistic(x, y)
     both = judged(docs.withColumns(hashed) if hashed else docs, [0, 2], [*hashed])
     z = F.lit(float(w[-1]))
-    for k, c in enumerate(_EVIDENCE):
-        z = z + F.lit(float(w[k])) * (F.col(c) if k < 2 else F.log(F.col(c) + SHARE_FLOOR))
+    for k, c in enumerate(_RATIOS):
+        z = z + F.lit(float(w[k])) * F.log(F.col(c) + RATIO_FLOOR)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
     both = both.withColumn("score", score)
     return both.select(out_id, held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_ratio", "peak_ratio", *hashed)

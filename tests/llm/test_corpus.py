@@ -277,6 +277,98 @@ def test_shared_backoff_sums_to_one():
         assert p[np.sort(keys) >> np.uint64(8) == c].sum() <= 1 + 1e-9
 
 
+def plain_kneser_ney(words, order=5, low=0.75, own=3.0):
+    """Log-ratios of words by class-conditional Kneser-Ney models over bytes, with nothing but dictionaries.
+
+    words: (word, class) pairs, as often as they come up. The longest contexts have counts of each class,
+    the shorter ones numbers of different bytes in front, over both classes.
+    """
+    def grams(word):
+        marked = (2, *word, 3)
+        for i in range(1, len(marked)):
+            yield marked[max(0, i - order) : i], marked[i]
+
+    counts: dict = {}
+    for w, c in words:
+        for h, x in grams(w):
+            counts.setdefault(h, {}).setdefault(x, [0, 0])[c] += 1
+    tables: dict = {n: {} for n in range(order)}  # context length -> context -> byte -> number of bytes seen in front
+    seen = {(h, x) for h, row in counts.items() for x in row}
+    for n in range(order, 0, -1):
+        level = {(h, x) for h, x in seen if len(h) == n}
+        for h, x in level:
+            row = tables[n - 1].setdefault(h[1:], {})
+            row[x] = row.get(x, 0) + 1
+        seen |= {(h[1:], x) for h, x in level}
+
+    def shared(h, x):
+        row = tables[len(h)][h]
+        total = sum(row.values())
+        lower = shared(h[1:], x) if h else 1 / 256
+        return max(row[x] - low, 0) / total + low * len(row) / total * lower
+
+    def ratio(word):
+        out = 0.0
+        for h, x in grams(word):
+            row = counts.get(h)
+            if row is None:
+                continue
+            p = []
+            for c in (0, 1):
+                n = sum(v[c] for v in row.values())
+                rate = sum(min(v[c], own) for v in row.values()) / n if n else 1.0
+                # a byte that neither class has seen here has the same lower probability in both, and it cancels
+                p.append(rate if x not in row else (max(row[x][c] - own, 0) / n if n else 0) + rate * shared(h[1:], x))
+            out += np.log(p[1] / p[0])
+        return out
+
+    return ratio
+
+
+def test_models_against_plain_ones():
+    rng = random.Random(3)
+    letters = "abcé"
+    text = lambda: [["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))).encode() for _ in range(rng.randint(0, 40))] for _ in range(20)]
+    rows = [(ws + ([b"grmpf"] * 9 if c else []), c) for c in (0, 1) for ws in text()]
+    want = plain_kneser_ney([(w, c) for ws, c in rows for w in ws])
+    keys = []
+    for c in (0, 1):
+        g, _, _, _ = toxicity.grams_of([b" ".join(ws) for ws, k in rows if k == c])
+        keys.append(g)
+    gram = np.unique(np.concatenate(keys))
+    n = [np.array([np.sum(k == g) for g in gram]) for k in keys]
+    model = toxicity.KneserNeyPair(gram, *n)
+    texts = [[b"grmpf", b"abc", b"zz", "éa".encode()], [b"ab"], [], [b"cab"] * 3 + [b"grm"]]
+    got = model.evidence([b" ".join(t) for t in texts])
+    for t, e in zip(texts, got, strict=True):
+        r = [want(w) for w in t]
+        expected = [sum(r) / len(r), max(r), *(sum(x for x in r if x > bar) / len(r) for bar in toxicity.BARS)] if r else [0.0] * 5
+        assert np.allclose(e, expected, atol=1e-5), (t, e, expected)
+
+
+def test_logistic_on_separable_sets():
+    """Classes that a line parts, by little or by much, are told apart, and with scores beyond the threshold."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(40, 400))
+        y = np.zeros(n)
+        y[: int(rng.integers(4, n // 2))] = 1
+        x = np.log(rng.uniform(0, 0.02, (n, 3)) + y[:, None] * rng.uniform(0.05, 0.5) + 0.02)
+        p = toxicity.sigmoid(np.column_stack([x, np.ones(n)]) @ toxicity._logistic(x, y))
+        assert p[y == 1].min() > 0.7 > 0.5 > p[y == 0].max()
+
+
+@pytest.mark.parametrize("copies", [1, 6])
+def test_toxic_rows_go_at_any_size(spark, copies):
+    import corpus_pipeline
+
+    make = lambda rng, y: " ".join(rng.choice(["the", "river", "élan", "walks"]) + rng.choice("abcdefgh") * rng.randint(0, 3) if not (y and rng.random() < 0.08) else rng.choice(["grumf", "blorg"]) + rng.choice("abcd") for _ in range(60))
+    docs, labels = labelled(spark, make, 200 * copies)
+    kept = corpus_pipeline.toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("toxic IS NOT NULL")
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in kept.groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] > 0.9 * (counts[1, 1] + counts.get((1, 0), 0)) and counts.get((0, 1), 0) < 0.03 * counts[0, 0]
+
+
 def test_quality(spark):
     make = lambda rng, y: " ".join(rng.choice(["the", "river", "runs", "far", "and", "wide."]) for _ in range(50)) if y else rng.choice(["BUY!! " * 40, "x | y | " * 30, "same same " * 30, "$$ %% ## " * 20])
     docs, labels = labelled(spark, make)

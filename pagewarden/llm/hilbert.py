@@ -1,25 +1,22 @@
 """Sharding along a Hilbert curve.
 
-Several columns are quantised, each into equal-weight bins of an exact histogram; the bins of a row are a
-cell of a grid, and the cell's index on the Hilbert curve orders the rows. Runs of that order are the
-shards. Neighbours on the curve are neighbours in the grid, so each shard covers a compact box of the
-columns, and a reader who asks for ranges of several of them at once can leave out most shards.
+Several columns are quantised by the exact share of all rows in front of a value, so the bins of a column
+span the whole grid however few or skewed its values are; the bins of a row are a cell of the grid, and the
+cell's index on the Hilbert curve orders the rows. Runs of that order are the shards. Neighbours on the
+curve are neighbours in the grid, so each shard covers a compact box of the columns, and a reader who asks
+for ranges of several of them at once can leave out most shards.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewarden.llm.common import frozen, long_array, ranked
 
-#: Bins of a column's histogram, at most.
-_FINE = 4096
-
-
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Index on the curve of grid cells (one row each, one column for each dimension), by Skilling's transform."""
     x = cells.astype(np.int64).T.copy()
@@ -47,50 +44,45 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(df: DataFrame, col: str) -> Column:
-    """A long that keeps the column's order: numbers as they are, texts by their first seven bytes, nulls lowest."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, T.StringType):
-        raw = F.rpad(F.substring(F.hex(F.col(col).cast("binary")), 1, 14), 14, "0")
-        return F.coalesce(F.conv(raw, 16, 10).cast("bigint"), F.lit(-1))
-    if isinstance(kind, T.DateType | T.TimestampType):
-        return F.coalesce(F.unix_micros(F.col(col).cast("timestamp")), F.lit(-(1 << 62)))
-    return F.coalesce(F.col(col).cast("bigint"), F.lit(-(1 << 62)))
-
-
-def _cuts(df: DataFrame, col: str, bins: int) -> list[int]:
-    """Lower ends of bins 1, 2, ... of equal weight, from an exact histogram of at most _FINE bins."""
-    low, high = df.agg(F.min(col), F.max(col)).first()
-    if low is None or low == high:
-        return []
-    width = (high - low) // _FINE + 1
-    rows = df.groupBy(F.expr(f"({col} - {low}L) div {width}L").alias("b")).count().collect()  # _FINE rows at most
-    counts = sorted((r["b"], r["count"]) for r in rows)
-    total, seen, cuts = sum(n for _, n in counts), 0, []
-    for b, n in counts:
-        if len(cuts) + 1 < bins and seen * bins >= total * (len(cuts) + 1):
-            cuts.append(low + b * width)
-        seen += n
-    return cuts
+def _steps(df: DataFrame, col: str, bins: int) -> list[tuple]:
+    """(smallest value, bin) of each bin that a column's values fall into, in order; nulls come first, in bin 0.
 
-
-def _below(cuts: Column, value: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c <= value))
+    A value's bin is the share of all rows in front of it, times bins. Values are counted, the counts are
+    summed up along the values' order within ranges and over the ranges, and the first value of each bin
+    comes to the driver, so there are at most `bins` of them whatever the column holds.
+    """
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    pieces = frozen(counts.filter("value IS NOT NULL").repartitionByRange("value").withColumn("piece", F.spark_partition_id()))
+    totals = {r[0]: r[1] for r in pieces.groupBy("piece").agg(F.sum("n")).collect()}  # a number for each range
+    nulls = counts.filter("value IS NULL").agg(F.sum("n")).first()[0] or 0
+    starts, seen = [], nulls
+    for p in range(max(totals, default=-1) + 1):
+        starts.append(seen)
+        seen += totals.get(p, 0)
+    before = F.sum("n").over(Window.partitionBy("piece").orderBy("value")) - F.col("n")
+    at = F.expr(f"cast((ahead * {bins}L) div {max(seen, 1)}L as int)")
+    rows = pieces.withColumn("ahead", F.element_at(long_array(starts or [0]), F.col("piece") + 1) + before)
+    return sorted(((r["value"], r["bin"]) for r in rows.groupBy(at.alias("bin")).agg(F.min("value").alias("value")).collect()), key=lambda r: r[1])
+
+
+def _bin(value: Column, steps: list[tuple], kind: T.DataType) -> Column:
+    """The bin of a value: that of the last step it has reached."""
+    out = F.lit(0)
+    for least, b in steps:
+        out = F.when(value >= F.lit(least).cast(kind), b).otherwise(out)
+    return out
 
 
 def hilbert_order(df: DataFrame, dims: list[str], bits: int, rank: str = "rank") -> tuple[DataFrame, int]:
     """df (slim: it is written to the shared folder) with curve_index and its rows' rank on the curve."""
-    rows = frozen(df.withColumns({f"__d{i}": ordinal(df, c) for i, c in enumerate(dims)}))
-    for i in range(len(dims)):
-        cuts = long_array(_cuts(rows, f"__d{i}", 1 << bits))
-        rows = rows.withColumn(f"__b{i}", _below(cuts, F.col(f"__d{i}")))
+    rows = frozen(df)
+    bins = [_bin(F.col(c), _steps(rows, c, 1 << bits), rows.schema[c].dataType) for c in dims]
 
     @F.pandas_udf("bigint")
     def index(*bins: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([b.to_numpy() for b in bins], 1), bits))
 
-    rows = rows.withColumn("curve_index", index(*[F.col(f"__b{i}") for i in range(len(dims))]))
-    rows = rows.drop(*[f"__{k}{i}" for i in range(len(dims)) for k in "db"])
+    rows = rows.withColumn("curve_index", index(*bins))
     # rows of one cell are spread by a hash, so a cell with a large share of the rows is still cut
     rows = rows.withColumn("__tie", F.xxhash64(*df.columns))
     out, total = ranked(rows, ["curve_index", "__tie", *df.columns], rank)
@@ -103,7 +95,9 @@ def shards(df: DataFrame, dims: list[str], n_shards: int = 8, bits: int = 4, id_
     The law is 'rows': the shards' numbers of rows differ by one at most. size is the text's UTF-8 bytes
     (none for null) plus 1. slot numbers a shard's rows in the order of the curve, without gaps. Nulls
     in a dimension come first. Repeated rows get slots of their own; an empty table gives none, and with
-    fewer rows than shards some shards stay empty.
+    fewer rows than shards some shards stay empty. Only a text's size and checksum are kept, so long texts
+    cost no more than short ones. A dimension `size` is the size made here, and other columns of df that
+    are called like columns made here aren't read.
     """
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     named = {id_col, "size", "text_crc32"}

@@ -36,9 +36,9 @@ def long_array(values) -> F.Column:
     return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<bigint>")
 
 
-def utf8(col: str) -> F.Column:
+def utf8(col: str | F.Column) -> F.Column:
     """The UTF-8 bytes of a text column; a null text counts as empty."""
-    return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
+    return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("binary"), F.lit(b""))
 
 
 def crc32_of_id(col: str = "doc_id") -> F.Column:

@@ -7,10 +7,12 @@ that are similar enough differ in few shingles, so by the triangle inequality th
 lies within a window of either: its place in a set of n is at most n - ceil(0.75 n). Each document is
 replicated to the pivots within that window and to no others, and every linked pair meets in a region.
 
-Regions with few documents are joined as they are: pairs are dropped by their sizes, by their places in
-the region, and by the Hamming distance of two bitmaps of parities, which is never larger than the sets'
-symmetric difference; what is left is compared exactly. Regions with many documents are joined
-recursively: their documents form a smaller join in which the crowded pivots come last in the order. A
+Regions with few documents are joined as they are. Pairs are dropped by their sizes and by their places in
+the region. Since only components are asked for, a region first sends on no more than one pair for each
+document, with one that comes before it; they go through the Hamming distance of two bitmaps of parities,
+which is never larger than the sets' symmetric difference, and what is left is compared exactly. The other
+pairs of a region stay packed in one row, and only those whose documents are in different components then
+are taken out and compared in the same way. Regions with many documents are joined recursively: their documents form a smaller join in which the crowded pivots come last in the order. A
 region that is still crowded holds documents that are mostly made of the same shingles, that is, close to
 each other; then documents become pivots. Distances to them link everything within their reach at once,
 and since only components are asked for, pairs that are already in one component needn't be made; the
@@ -41,6 +43,10 @@ MAX_PIVOTS, MAX_PIVOT_SHINGLES = 64, 500_000
 FEW_BYTES, FEW_LINKS = 48 << 20, 200_000
 _TABLE = byte_table(WHITE)
 _PAIR = "kind int, a bigint, b bigint"
+#: Also a region's documents, and a bit for each pair of them that may link and hasn't been sent on.
+_FOUND = f"{_PAIR}, members binary, open binary"
+#: Bytes of postings that a task joins at once.
+TASK_BYTES = 32 << 20
 #: Shingles in a stretch of a task's documents, and documents of a stretch in which a shingle comes up often.
 STRETCH, OFTEN = 2_000_000, 3
 #: Postings that a task holds before it sends them on.
@@ -289,8 +295,9 @@ def _distinct(a, b):
     return a[order][first], b[order][first]
 
 
-def _parts(df: DataFrame) -> int:
-    return max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _tasks(df: DataFrame, n_bytes: int) -> int:
+    """Tasks that postings of so many bytes are dealt over."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
 
 
 class Phases:
@@ -318,9 +325,9 @@ class Phases:
         return np.concatenate([np.zeros(0, np.uint64), *found]), of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _replicated(docs: DataFrame, phases: Phases, salt: int) -> DataFrame:
-    """part, postings: each set of the phase at the pivots within its window."""
-    sent, parts = docs.sparkSession.sparkContext.broadcast(phases), _parts(docs)
+def _replicated(docs: DataFrame, phases: Phases, salt: int, tasks: int) -> DataFrame:
+    """part, postings: each set of the phase at the pivots within its window, dealt over the tasks by region."""
+    sent, parts = docs.sparkSession.sparkContext.broadcast(phases), 8 * tasks
 
     def run(batches):
         seen: set[int] = set()
@@ -344,13 +351,34 @@ def _replicated(docs: DataFrame, phases: Phases, salt: int) -> DataFrame:
         if held:
             yield from _dealt(held, parts, LOCAL)
 
-    return docs.mapInArrow(run, "part int, postings binary")
+    return docs.mapInArrow(run, "part int, postings binary").repartition(tasks, "part")
+
+
+def _with_rest(rows, members=None, left=None):
+    """Batches of _rows() with the columns of _FOUND, and rows of kind 2 for regions with open pairs."""
+    for batch in rows:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary()), pa.nulls(batch.num_rows, pa.binary())], ["kind", "a", "b", "members", "open"])
+    for i in range(0, len(members or ()), 10_000):
+        some = members[i : i + 10_000]
+        zero = pa.array(np.zeros(len(some), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 2, np.int32)), zero, zero, pa.array(some, pa.binary()), pa.array(left[i : i + 10_000], pa.binary())], ["kind", "a", "b", "members", "open"])
+
+
+def _first_pairs(ok: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs (i, j) in order of i, a row of flags for each region: for each j the first that is set, at most one less than the region's documents."""
+    first = np.zeros_like(ok)
+    for k in np.unique(j).tolist():
+        of = np.flatnonzero(j == k)
+        hit = ok[:, of].argmax(1)
+        first[np.arange(len(ok)), of[hit]] = ok[np.arange(len(ok)), of[hit]]
+    return first
 
 
 def _joined(crowd: int):
-    """Pairs of the regions of a partition (kind 0), and the crowded ones with their sizes (kind 1).
+    """Pairs of the regions of a partition (kind 0), crowded ones with their sizes (kind 1), and regions with open pairs (kind 2).
 
-    Two sets that share the pivot before this one, too, have met there, and needn't meet again.
+    Two sets that share the pivot before this one, too, have met there, and needn't meet again. A region
+    sends on as many pairs as it has documents, less one, at most. If more may link, the others are open.
     """
 
     def run(batches):
@@ -362,22 +390,28 @@ def _joined(crowd: int):
         size = np.diff(np.append(first, len(s)))
         told = np.add.reduceat(np.where(place < 0, n, 0).astype(np.int64), first)
         many = (size > crowd) | (told > 0)
-        yield from _rows(1, s[first[many]], (size + told)[many])
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        yield from _with_rest(_rows(1, s[first[many]], (size + told)[many]))
+        out_a, out_b, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
         for m in np.unique(size[(size > 1) & ~many]).tolist():
             of = first[(size == m) & ~many]
             i, j = np.triu_indices(m, 1)
             for k in range(0, len(of), max(1, 400_000 // len(i))):
                 at = of[k : k + max(1, 400_000 // len(i)), None]
-                x, y = (at + i).ravel(), (at + j).ravel()
+                x, y = at + i, at + j
                 nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
                 ok = (75 * np.maximum(nx, ny) <= 100 * np.minimum(nx, ny)) & linked(np.minimum(nx - place[x], ny - place[y]), nx, ny)
                 ok &= (before[x] != before[y]) | (place[x] == 0) | (place[y] == 0)
-                x, y = x[ok], y[ok]
+                large = ok.sum(1) >= m
+                sent = ok.copy()
+                sent[large] = _first_pairs(ok[large], j)
+                x, y = x[sent], y[sent]
                 a, b = _distinct(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
                 out_a.append(a)
                 out_b.append(b)
-        yield from _rows(0, *_distinct(np.concatenate(out_a), np.concatenate(out_b)))
+                left = np.packbits((ok & ~sent)[large], axis=1)
+                for r, bits in zip(at[large, 0].tolist(), left, strict=True):
+                    rest[node[r : r + m].tobytes(), bits.tobytes()] = None
+        yield from _with_rest(_rows(0, *_distinct(np.concatenate(out_a), np.concatenate(out_b))), [r[0] for r in rest], [r[1] for r in rest])
 
     return run
 
@@ -414,9 +448,9 @@ def _each_node_once(sets: DataFrame) -> DataFrame:
     return sets.repartition("node").mapInArrow(run, "node bigint, shingles binary")
 
 
-def _recursive_rows(sets: DataFrame, sent, local: int) -> DataFrame:
-    """As _replicated(), for sets, with their classes. Sets that are pivots are left out: all their links are known."""
-    parts = _parts(sets)
+def _recursive_rows(sets: DataFrame, sent, local: int, tasks: int) -> DataFrame:
+    """part, postings of sets with their classes. Sets that are pivots are left out: all their links are known."""
+    parts = 8 * tasks
 
     def run(batches):
         order, pivots, _ = sent.value
@@ -569,15 +603,16 @@ def _recursive_join(sets: DataFrame, size_of: dict[int, int]) -> tuple[list[Data
     limit, sc = PAIRS, sets.sparkSession.sparkContext
     while True:
         # sets of a bounded size don't need many tasks
-        few = (sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) <= FEW_BYTES
+        total = sets.agg(F.sum(F.length("shingles").cast("bigint"))).first()[0] or 0
+        few, tasks = total <= FEW_BYTES, _tasks(sets, total // 8 * _LABELLED.itemsize)
         sets = sets.coalesce(1) if few else sets
         order = Order(np.fromiter(size_of.keys(), np.uint64, len(size_of)), np.fromiter(size_of.values(), np.int64, len(size_of)))
         pivots = Pivots(np.array(all_nodes, np.int64), all_sets, component)
         local = FEW_BYTES if few else LOCAL
 
-        def joined(sent, sets=sets, few=few, local=local, limit=limit):
-            rows = _recursive_rows(sets, sent, local)
-            return (rows if few else rows.repartition("part")).mapInArrow(_joined_recursively(limit), _PAIR)
+        def joined(sent, sets=sets, few=few, local=local, limit=limit, tasks=tasks):
+            rows = _recursive_rows(sets, sent, local, tasks)
+            return (rows if few else rows.repartition(tasks, "part")).mapInArrow(_joined_recursively(limit), _PAIR)
 
         found = _with_sent(sc, (order, pivots, None), joined)
         pairs.append(found.filter("kind = 0").select("a", "b"))
@@ -588,15 +623,18 @@ def _recursive_join(sets: DataFrame, size_of: dict[int, int]) -> tuple[list[Data
         if len(size_of) < MAX_CROWDED:
             size_of |= dict(zip(h.tolist(), m.tolist(), strict=True))
         ranked = found.filter("kind = 2").groupBy("a").agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "a").limit(MAX_PIVOTS)
-        drawn = {r["node"]: np.frombuffer(bytes(r["shingles"]), np.uint64) for r in sets.join(F.broadcast(ranked.select(F.col("a").alias("node"))), "node").collect()}
-        new_nodes, new_sets, held = [], [], 0
+        size = {r[0]: r[1] for r in sets.join(F.broadcast(ranked.select(F.col("a").alias("node"))), "node").select("node", F.expr("length(shingles) div 8")).collect()}
+        chosen, held = [], 0
         for r in ranked.collect():
-            own = drawn[r["a"]]
-            if new_nodes and (held + len(own) > MAX_PIVOT_SHINGLES or len(Pivots(np.array(new_nodes), new_sets).links(own)[0])):
-                continue  # it is linked with a pivot of this step already
-            new_nodes.append(r["a"])
-            new_sets.append(own)
-            held += len(own)
+            if not chosen or held + size[r["a"]] <= MAX_PIVOT_SHINGLES:
+                chosen.append(r["a"])
+                held += size[r["a"]]
+        drawn = {r["node"]: np.frombuffer(bytes(r["shingles"]), np.uint64) for r in sets.filter(F.col("node").isin(chosen)).collect()}
+        new_nodes, new_sets = [], []
+        for x in chosen:
+            if not new_nodes or not len(Pivots(np.array(new_nodes), new_sets).links(drawn[x])[0]):  # else it is linked with a pivot of this step
+                new_nodes.append(x)
+                new_sets.append(drawn[x])
         all_nodes += new_nodes
         all_sets += new_sets
         reached = _with_sent(sc, Pivots(np.array(all_nodes, np.int64), all_sets), lambda sent, sets=sets: _pivot_links(sets, sent))
@@ -640,6 +678,41 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(link("x", "y")).select("a", "b")
 
 
+def _across(regions: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The open pairs (a, b) of regions whose documents are in different components, and that their bitmaps don't rule out."""
+    regions = frozen(regions.select("members", "open").distinct().withColumn("region", F.monotonically_increasing_id()))
+
+    def members(batches):
+        for batch in batches:
+            held = [np.frombuffer(x, np.int64) for x in batch.column("members").to_pylist()]
+            size = np.array([len(x) for x in held], np.int64)
+            of = np.repeat(batch.column("region").to_numpy(), size)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(place.astype(np.int32)), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], ["region", "place", "node"])
+
+    def pairs(batches):
+        for batch in batches:
+            out_a, out_b = [], []
+            for held, bits in zip(batch.column("held").to_pylist(), batch.column("open").to_pylist(), strict=True):
+                held.sort(key=lambda r: r["place"])
+                i, j = np.triu_indices(len(held), 1)
+                left = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(i)))
+                for x, y in zip(i[left].tolist(), j[left].tolist(), strict=True):
+                    x, y = held[x], held[y]
+                    if x["root"] != y["root"] and 7 * bitmap_distance(x["bitmap"], y["bitmap"]) <= x["n"] + y["n"]:
+                        out_a.append(min(x["node"], y["node"]))
+                        out_b.append(max(x["node"], y["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    held = regions.select("region", "members").mapInArrow(members, "region bigint, place int, node bigint").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = frozen(held)
+    mixed = held.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("region")
+    # a region has no more documents than a crowd, and few of them are left
+    some = held.join(mixed, "region", "left_semi").join(nodes.select("node", "n", "bitmap"), "node")
+    some = some.groupBy("region").agg(F.collect_list(F.struct("place", "node", "root", "n", "bitmap")).alias("held")).join(regions.select("region", "open"), "region")
+    return some.select("held", "open").mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
 def _sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """node, shingles of the documents in rows (column row)."""
 
@@ -715,14 +788,17 @@ def _classes(df: DataFrame, id_col: str, text_col: str, crowd: int) -> tuple[Dat
     late = every.filter("kind = 1").groupBy("node").agg(F.sum("n").cast("bigint").alias("n")).filter(F.col("n") > crowd).orderBy(F.desc("n"), "node").limit(MAX_CROWDED).toPandas()
     late = Order(late["node"].to_numpy().astype(np.int64).view(np.uint64), late["n"].to_numpy().astype(np.int64))
     texts = rows.select("raw")
-    phases, pairs, links = Phases([late], []), [], []
+    postings = filled.agg(F.sum(F.expr("n - (75 * cast(n AS bigint) + 99) div 100 + 1"))).first()[0] or 0
+    tasks = _tasks(df, postings * _POSTING.itemsize)
+    phases, pairs, regions, links = Phases([late], []), [], [], []
     for limit in (crowd, 4 * crowd):
         while True:
-            found = frozen(_replicated(texts, phases, salt).repartition("part").mapInArrow(_joined(limit), _PAIR))
+            found = frozen(_replicated(texts, phases, salt, tasks).mapInArrow(_joined(limit), _FOUND))
             if found.filter("kind = 1").count() <= MAX_CROWDED:
                 break
             limit *= 2
         pairs.append(found.filter("kind = 0").select("a", "b"))
+        regions.append(found.filter("kind = 2"))
         hot, sizes = _collected_crowd(found)
         if not len(hot):
             break
@@ -731,10 +807,18 @@ def _classes(df: DataFrame, id_col: str, text_col: str, crowd: int) -> tuple[Dat
     if len(hot):
         more, links = _recursive_join(frozen(_crowded_sets(texts, phases, salt)), dict(zip(late.crowded.tolist(), late.sizes.tolist(), strict=True)))
         pairs += more
+
+    def compared(possible):
+        wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return frozen(_verified(possible, _sets_of(rows, filled.join(wanted, "node").select("row", "node"))))
+
     possible = frozen(_possible(_all(pairs).distinct(), filled))
-    wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links.append(_verified(possible, _sets_of(rows, filled.join(wanted, "node").select("row", "node"))))
-    roots = components(_all(links))
+    links.append(compared(possible))
+    roots = frozen(components(_all(links)))
+    rest = frozen(_across(_all(regions), roots, filled).join(possible, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links.append(compared(rest))
+        roots = components(_all(links))
     part = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct(F.col("first.none"), F.col("first.id"), F.col("first.row")).alias("first"))
     part = frozen(part)
     stands = part.groupBy("root").agg(F.min("first").alias("stands"))
@@ -748,7 +832,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words all of them as one; null, empty and blank texts have empty sets, link with nothing and are
     components of their own. Sets link if 100 * shared >= 75 * all. component_id is the smallest id that
     links reach, the own id included; null ids are larger than any other. Repeated rows link with each
-    other. An empty table gives an empty result. Other columns are not read.
+    other. An empty table gives an empty result. A text of any length is taken whole, in a few arrays of its
+    size in one task. Other columns are not read, so they may have any names.
     """
     told, by_node = _classes(df, id_col, text_col, crowd)
     out = told.join(by_node, "node", "left")
@@ -756,9 +841,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """One row of df for each component, that with the smallest id, with all its columns; rows with empty sets all stay."""
+    """One row of df for each component, that with the smallest id, with all its columns; rows with empty sets all stay.
+
+    Rows that are alike in id and text stay or go together. Nulls, long texts and an empty table are taken
+    as jaccard_components() does. Columns may have any names.
+    """
     told, by_node = _classes(df, id_col, text_col, crowd)
-    gone = told.join(by_node, "node").filter((F.col("n") > 0) & (F.col("row") != F.col("stands_row"))).select("row").distinct()
-    row = F.xxhash64(F.col(id_col), utf8(text_col))
-    kept = df.withColumn("__row", row).join(gone.withColumnRenamed("row", "__gone"), F.col("__row") == F.col("__gone"), "left_anti")
-    return kept.drop("__row")
+    gone = told.join(by_node, "node").filter((F.col("n") > 0) & (F.col("row") != F.col("stands_row"))).select(F.col("row").alias("__gone")).distinct()
+    return df.join(gone, F.xxhash64(df[id_col], utf8(df[text_col])) == F.col("__gone"), "left_anti")

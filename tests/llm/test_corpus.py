@@ -28,7 +28,7 @@ def test_curve_is_one_walk_through_the_grid():
 def test_shards(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, k]), rng.choice([None, "", "text é", "x" * 50]), rng.choice(["en", "de", None]), "src0" if k % 3 else f"s{k}", "extra") for k in range(203)] + [(1, "same", "en", "a", "e")] * 4
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, size string").drop("size")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, size string").withColumn("rank", F.lit(3)).withColumn("shard", F.lit("x"))
     placed = hilbert.shards(df, ["lang", "source", "size"]).cache()
     got = placed.collect()
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(k), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t, *_ in rows)
@@ -42,9 +42,40 @@ def test_shards(spark):
     chosen = {r["shard"] for r in hilbert.shards_to_read(m, {"lang": ("de", "de"), "size": (51, 60)}).collect()}
     assert {r["shard"] for r in got if r["lang"] == "de" and 51 <= r["size"] <= 60} <= chosen
     assert hilbert.shards(df.limit(0), ["lang", "source"]).count() == 0
+    assert hilbert.shards(spark.createDataFrame([(k, None, None) for k in range(9)], "doc_id bigint, text string, lang string"), ["lang", "size"]).select("shard").distinct().count() == 8
     assert hilbert.shards(df.limit(3), ["lang"]).count() == 3
 
 
+def test_bins_span_the_grid(spark):
+    """Few values, a hot one, long common prefixes and one huge number: bins go by the share of rows in front."""
+    rows = [("https://example.org/" + "abcd"[k % 4], 1 << 40 if k == 0 else k % 50, "hot" if k % 3 == 0 else f"s{k % 40}") for k in range(400)]
+    df = spark.createDataFrame(rows, "url string, n bigint, source string")
+    assert [b for _, b in hilbert._steps(df, "url", 16)] == [0, 4, 8, 12]
+    for c, i in (("url", 0), ("n", 1), ("source", 2)):
+        for v, b in hilbert._steps(df, c, 16):
+            assert b == sum(r[i] < v for r in rows) * 16 // len(rows)
+    assert len(hilbert._steps(df, "n", 16)) == 16
+    assert hilbert._steps(df.filter("n < 0"), "n", 16) == []
+
+
+def test_filters_leave_shards_out(spark):
+    """Half of a dimension's values are in half of the shards or little more, and two halves at once in fewer."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dims = queries.SHARD_DIMENSIONS
+    placed = hilbert.shards(docs, dims).cache()
+    m = hilbert.manifest(placed, dims).cache()
+    read = lambda box: hilbert.shards_to_read(m, box).count()
+    size = placed.agg(F.expr("percentile(size, 0.5)")).first()[0]
+    langs = sorted(r[0] for r in placed.select("lang").distinct().collect())
+    assert read({"lang": (langs[-1], langs[-1])}) <= 5
+    assert read({"size": (size * 2, 1 << 40)}) <= 6
+    assert read({"lang": (langs[-1], langs[-1]), "size": (size * 2, 1 << 40)}) <= 4
+    for box in ({"lang": (langs[0], langs[0])}, {"size": (0, size)}):
+        (c, (low, high)), *_ = box.items()
+        held = {r[0] for r in placed.filter((F.col(c) >= low) & (F.col(c) <= high)).select("shard").distinct().collect()}
+        assert held <= {r["shard"] for r in hilbert.shards_to_read(m, box).collect()}
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(k % 7, k) for k in range(500)], "a int, b int")
     out, n = common.ranked(df, ["a", "b"], "r")
@@ -199,6 +230,24 @@ def test_jaccard_in_truncated_crowds(spark, monkeypatch):
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_chains_and_clean_neighbours(spark, monkeypatch):
+    """Links that no region's first pairs show: chains whose ends are far apart, next to texts that share a passage only."""
+    rng = random.Random(11)
+    words = [f"c{rng.randint(0, 9999)}" for _ in range(400)]
+    rows = [(k, " ".join(words[5 * k : 5 * k + 70])) for k in rng.sample(range(60), 60)]
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows += [(1000 + k, " ".join([passage, *(f"u{rng.randint(0, 99999)}" for _ in range(rng.randint(5, 20)))])) for k in range(12)]
+    seen = []
+    across = jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda *a: seen.append(out := across(*a)) or out)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, __row int, row int")
+    got = jaccard_join.jaccard_components(df).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows)
+    assert seen[0].count() > 0  # pairs that were left open and are looked at
+    kept = jaccard_join.without_near_duplicates(df)
+    assert kept.columns == df.columns and kept.count() == len({c for _, _, c in brute(rows)})
+
+
 def test_bitmaps_bound_the_difference():
     rng = random.Random(9)
     for _ in range(50):

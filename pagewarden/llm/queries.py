@@ -11,8 +11,8 @@ URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/":
 BLOCKED_HOSTS = ["spam-farm.example.org/", "ads-track.example.com/", "cheap-pills.example.com/", "ads-track.example.net/", "cheap-pills.example.org/"]
 SHARD_DIMENSIONS = ["lang", "source", "size"]
 TOKEN_LIMIT = 4096
-#: In the audit, a replica's record has a flipped bit where the page's id is a multiple of this.
-DAMAGE_EVERY = 97
+#: In the audit, of every so many pages the replica has one record with a flipped bit, lacks one, and has one twice, the second time under another id.
+DAMAGE_EVERY, LOST, ADDED = 97, 13, 29
 
 
 def tokenizer_path(name: str) -> str:
@@ -78,13 +78,13 @@ def op10_warc_audit(spark, sf_dir):
     from pagewarden.llm.warc_audit import audit, warc_record
 
     pages = table(spark, sf_dir, "pages")
-    sound = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    hit = F.coalesce(F.col("page_id") % DAMAGE_EVERY == 0, F.lit(False))
+    primary = pages.select("page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    kind = F.coalesce(F.pmod(F.col("page_id"), F.lit(DAMAGE_EVERY)), F.lit(1))
     # the last byte of the record, a line end, with its lowest bit flipped
     harmed = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit(b"\x0b"))
-    primary = pages.select("page_id", sound.alias("record"))
-    replica = primary.withColumn("record", F.when(hit, harmed).otherwise(F.col("record")))
-    return audit(primary, replica, "page_id")
+    replica = primary.filter(kind != LOST).withColumn("record", F.when(kind == 0, harmed).otherwise(F.col("record")))
+    more = primary.filter(kind == ADDED).withColumn("page_id", -1 - F.col("page_id"))
+    return audit(primary, replica.unionByName(more), "page_id")
 
 
 def op8_toxicity_kneser_ney(spark, sf_dir):
@@ -103,6 +103,16 @@ _WARC = (
     f" || coalesce(html, '') || {_CRLF} || chr(13))"
 )
 
+
+
+def _places(name: str) -> str:
+    """SQL for the places of an archive's records: a border where a hash says so, offsets within a segment."""
+    return f"""{name}_k AS (SELECT page_id, kind, sha, harmed, max(length) AS length, count(*) AS copies, sha256(coalesce(cast(page_id AS varchar), '') || ' ' || sha) AS k FROM {name} GROUP BY ALL),
+        {name}_s AS (SELECT *, (count(*) FILTER (('0x' || k[:8])::BIGINT % 4096 = 0) OVER (ORDER BY page_id NULLS LAST, sha))::BIGINT AS segment FROM {name}_k),
+        {name}_placed AS (SELECT *, (row_number() OVER w - 1)::INT AS leaf, (sum(length * copies) OVER w - length * copies)::BIGINT AS "start", (sum(length * copies) OVER w)::BIGINT AS "end"
+            FROM {name}_s WINDOW w AS (PARTITION BY segment ORDER BY page_id NULLS LAST, sha))"""
+
+
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -119,13 +129,13 @@ ORACLE_SQL = {
         c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = w.doc_id""",
     "op10_warc_audit": f"""
-        WITH b AS (SELECT page_id, {_WARC} AS body FROM pages),
-        h AS (SELECT page_id, octet_length(body) + 1 AS length, sha256(body || '\\x0A'::BLOB) AS record_sha256,
-            sha256(body || CASE WHEN page_id % {DAMAGE_EVERY} = 0 THEN '\\x0B'::BLOB ELSE '\\x0A'::BLOB END) AS replica_sha256 FROM b),
-        o AS (SELECT *, row_number() OVER (ORDER BY page_id, record_sha256) - 1 AS rank FROM h),
-        g AS (SELECT *, rank // 4096 AS segment, (rank % 4096)::INT AS leaf FROM o)
-        SELECT page_id, segment, leaf, (sum(length) OVER w - length)::BIGINT AS "start", (sum(length) OVER w)::BIGINT AS "end", record_sha256, replica_sha256, record_sha256 <> replica_sha256 AS damaged
-        FROM g WINDOW w AS (PARTITION BY segment ORDER BY leaf)""",
+        WITH b AS (SELECT page_id, coalesce((page_id % {DAMAGE_EVERY} + {DAMAGE_EVERY}) % {DAMAGE_EVERY}, 1) AS kind, {_WARC} AS body FROM pages),
+        mine AS (SELECT page_id, kind, octet_length(body) + 1 AS length, sha256(body || '\\x0A'::BLOB) AS sha, sha256(body || '\\x0B'::BLOB) AS harmed FROM b),
+        theirs AS (SELECT page_id, kind, length, CASE WHEN kind = 0 THEN harmed ELSE sha END AS sha, harmed FROM mine WHERE kind <> {LOST} UNION ALL SELECT -1 - page_id, -1, length, sha, harmed FROM mine WHERE kind = {ADDED}),
+        {_places("mine")}, {_places("theirs")}
+        SELECT page_id, copies, segment, leaf, "start", "end", sha AS record_sha256, CASE kind WHEN 0 THEN harmed WHEN {LOST} THEN NULL ELSE sha END AS replica_sha256,
+            CASE kind WHEN 0 THEN 'changed' WHEN {LOST} THEN 'lost' ELSE 'sound' END AS status, kind IN (0, {LOST}) AS damaged FROM mine_placed
+        UNION ALL SELECT page_id, copies, segment, leaf, "start", "end", NULL, sha, 'added', true FROM theirs_placed WHERE kind = -1""",
     "op7_url_cascade": rf"""
         WITH rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES.items())}),
         listed(rule) AS (VALUES {", ".join(f"('{r}')" for r in BLOCKED_HOSTS)}),

@@ -7,7 +7,9 @@ part further if no piece holds them side by side. Within a segment the table is
 that ends at i is the encoding of a shorter prefix, that ends at j, followed by one piece [j:i], and it
 is that one exactly when the last piece of the shorter prefix and the new piece stay as they are when
 only the two are encoded together. So count[i] = count[j] + 1, and every prefix has its exact count.
-Tables of words are kept in a bounded cache; no text is encoded a second time to answer a question.
+A text's table is put together from those of its words, which are kept in a bounded cache, in blocks of
+bounded size; its last entry is the text's count, and a budget is looked up in it. No text is encoded a
+second time to answer a question.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from pagewarden.llm.common import utf8
 
 _SPACE = "▁"
-#: Entries of each cache before it is emptied; of words, those before the last emptying are at hand, too.
-CACHE = 300_000
+#: Entries of each cache before it is emptied (of words, those before the last emptying are at hand, too), and characters of a word that is kept.
+CACHE, KEPT_CHARS = 300_000, 64
+#: Words of a block of a text's table.
+BLOCK_WORDS = 200_000
 
 
 def n_spaces(s: str) -> int:
@@ -38,6 +42,8 @@ class _Cached(dict):
         self.compute, self.older = compute, {}
 
     def __missing__(self, key):
+        if len(key) > KEPT_CHARS:
+            return self.compute(key)
         if len(self) >= CACHE:
             self.older = self.copy()
             self.clear()
@@ -71,8 +77,7 @@ class PrefixCounter:
         self.stable: dict[str, dict[str, bool]] = {}
         self.n_stable = 0
         self.inner = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.parts = _Cached(lambda part: self._table(part)[0][-1])
-        self.counts = _Cached(self._word)
+        self.words = _Cached(self._word)
 
     def _alone(self, joined: str) -> list[str]:
         """The pieces of a short string that isn't at a text's start; a line end before it keeps it apart."""
@@ -86,14 +91,15 @@ class PrefixCounter:
         stays = self.stable.setdefault(last, {})[piece] = self._alone(last + piece) == ([last, piece] if last else [piece])
         return stays
 
-    def _word(self, word: str) -> int:
-        """Tokens of a word behind one space. Two characters that no piece holds side by side part it."""
-        s, inner, parts, total, begin = _SPACE + word, self.inner, self.parts, 0, 0
-        for i in range(1, len(s)):
-            if s[i - 1 : i + 1] not in inner:
-                total += parts[s[begin:i]]
+    def _word(self, word: str) -> bytes:
+        """The table of a word behind one space, without its first entry. Two characters that no piece holds side by side part it."""
+        s, inner, out, begin = _SPACE + word, self.inner, [0], 0
+        for i in range(1, len(s) + 1):
+            if i == len(s) or s[i - 1 : i + 1] not in inner:
+                base = out[-1]
+                out += [base + n for n in self._table(s[begin:i])[0][1:]]
                 begin = i
-        return total + parts[s[begin:]]
+        return np.array(out[1:], np.int32).tobytes()
 
     def segment_table(self, s: str) -> list[int]:
         """Token counts of the prefixes of a segment: entry i is that of s[:i]."""
@@ -140,47 +146,71 @@ class PrefixCounter:
             raise AssertionError(f"no piece ends a prefix of {s!r}")
         return counts, begin
 
-    def _segments(self, text: str):
-        """(segment, whether it is a separate character); the model's leading space is part of the first."""
-        for m in re.finditer(f"{_SPACE}*[^{_SPACE}\n]*|\n", (_SPACE if self.dummy and text else "") + text.replace(" ", _SPACE)):
-            if m[0]:
-                yield m[0]
+    def _pieces(self, text: str):
+        """Lists of tables, as bytes and without their first entries, that follow each other; the first holds the model's leading space."""
+        table = lambda segment: np.array(self.segment_table(segment)[1:], np.int32).tobytes()
+        line_end, held = np.array([1], np.int32).tobytes(), []
+        for k, line in enumerate(text.replace(_SPACE, " ").split("\n")):
+            if k:
+                held.append(line_end)
+            words = line.split(" ")
+            if "" in words[1:] or (not words[0] and not k and self.dummy):  # several spaces in a row
+                for s in re.findall(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+", (_SPACE if self.dummy and not k else "") + line.replace(" ", _SPACE)):
+                    held.append(self.words[s[1:]] if s[0] == _SPACE and len(s) > 1 and s[1] != _SPACE else table(s))
+                    if len(held) >= BLOCK_WORDS:
+                        yield held
+                        held = []
+            else:
+                if k or not self.dummy:
+                    if words[0]:
+                        held.append(table(words[0]))
+                    del words[0]
+                for i in range(0, len(words), BLOCK_WORDS):
+                    held += map(self.words.__getitem__, words[i : i + BLOCK_WORDS])
+                    if len(held) >= BLOCK_WORDS:
+                        yield held
+                        held = []
+            if len(held) >= BLOCK_WORDS:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    def blocks(self, text: str):
+        """The text's table in blocks: arrays whose entries are the counts of the prefixes that end at consecutive characters, from the first."""
+        base, skip = 0, int(self.dummy and bool(text))
+        for held in self._pieces(text) if text else ():
+            out = np.frombuffer(b"".join(held), np.int32).astype(np.int64)
+            size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+            last = out[np.cumsum(size) - 1]
+            ahead = base + np.cumsum(last) - last
+            out += np.repeat(ahead, size)
+            base = int(out[-1])
+            yield out[skip:]
+            skip = 0
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token counts of all prefixes of a text by characters; entry i is that of text[:i]."""
-        out = np.zeros(len(text) + 1, np.int64)
-        at, base = -1 if self.dummy else 0, 0
-        for s in self._segments(text):
-            table = self.segment_table(s) if s != "\n" else [0, 1]
-            for i in range(1, len(s) + 1):
-                if at + i > 0:
-                    out[at + i] = base + table[i]
-            at, base = at + len(s), base + table[-1]
-        return out
+        return np.concatenate([np.zeros(1, np.int64), *self.blocks(text)])
+
+    def answers(self, text: str, budget: int) -> tuple[int, int]:
+        """(tokens of the text, characters of its longest prefix within the budget), both read from its table."""
+        total, fits, at = 0, 0, 0
+        for block in self.blocks(text):
+            if len(block):
+                total = int(block[-1])
+                within = np.flatnonzero(block <= budget)
+                fits = at + int(within[-1]) + 1 if len(within) else fits
+                at += len(block)
+        return total, fits
 
     def count(self, text: str) -> int:
-        """The last entry of prefix_counts(), from the cached tables of words."""
-        if not text:
-            return 0
-        total, counts = 0, self.counts
-        for k, line in enumerate(text.replace(_SPACE, " ").split("\n")):
-            if k:
-                total += 1
-            words = line.split(" ")
-            if "" in words:
-                for s in re.findall(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+", (_SPACE if self.dummy and not k else "") + line.replace(" ", _SPACE)):
-                    total += counts[s[1:]] if s[0] == _SPACE and len(s) > 1 and s[1] != _SPACE else self.segment_table(s)[-1]
-                continue
-            if k or not self.dummy:
-                total += self.segment_table(words[0])[-1]
-                del words[0]
-            total += sum(map(counts.__getitem__, words))
-        return total
+        """The last entry of the text's table."""
+        return self.answers(text, 0)[0]
 
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of at most budget tokens, read from the table of prefixes."""
-        fits = np.flatnonzero(self.prefix_counts(text) <= budget)
-        return text[: fits[-1]] if len(fits) else ""
+        return text[: self.answers(text, budget)[1]]
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -194,21 +224,24 @@ def counter(model_path: str) -> PrefixCounter:
 
 
 def token_counts(df: DataFrame, model_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
+    """One row for each input row: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), prefix_chars.
 
-    A null text counts as empty, with no tokens. Texts of any length are read whole; strings that name
-    special tokens are ordinary text. Repeated rows give repeated results, an empty table none.
+    All are read from the table of the text's prefixes: n_tokens is its last entry, prefix_chars the number
+    of characters of the longest prefix of at most `limit` tokens. A null text counts as empty, with no
+    tokens. Texts of any length are read whole, their tables in blocks; words of more than KEPT_CHARS
+    characters aren't kept. Strings that name special tokens are ordinary text. Repeated rows give repeated
+    results, an empty table none. Other columns are not read, whatever their names.
     """
 
     def run(batches):
         own = counter(model_path)
         for batch in batches:
-            n = [own.count(t.decode()) for t in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            n = [own.answers(t.decode(), limit) for t in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array([x[k] for x in n], pa.int64()) for k in (0, 1))], ["id", "n_bytes", "n_tokens", "prefix_chars"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), utf8(text_col).alias("raw")).withColumn("n_bytes", F.length("raw").cast("bigint"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, prefix_chars bigint").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "prefix_chars")
 
 
 def prefix_tables(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:

@@ -70,13 +70,29 @@ def test_every_prefix_has_its_count(counter):
             assert counts[i] == len(counter.sp.encode(t[:i]))
 
 
+def test_tables_in_blocks(counter, monkeypatch):
+    """Blocks of any size give the same table; long words and long texts without spaces aren't kept."""
+    texts = [t * 3 for t in ODD + noise(6, 40)] + ["x" * 5000, "日本" * 3000, "ab" * 40 + " " + "cd" * 40, " \n " * 50]
+    whole = [counter.prefix_counts(t) for t in texts]
+    for size in (1, 3):
+        monkeypatch.setattr(token_counts, "BLOCK_WORDS", size)
+        assert all(np.array_equal(counter.prefix_counts(t), w) for t, w in zip(texts, whole, strict=True))
+    assert all(len(w) <= token_counts.KEPT_CHARS for w in counter.words)
+    for t, w in zip(texts, whole, strict=True):
+        assert len(w) == len(t) + 1 and w[-1] == len(counter.sp.encode(t))
+        for budget in (0, 1, 7, 40):
+            assert counter.answers(t, budget) == (w[-1], int(np.flatnonzero(w <= budget)[-1]))
+
+
 def test_token_counts_of_tables(spark, counter):
     rows = [(k, t) for k, t in enumerate(ODD + noise(5, 20))] + [(None, None), (1, "a b"), (1, "a b")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, n_tokens int")
     got = token_counts.token_counts(df, PIECES, 5).collect()
     want = [(k, len((t or "").encode()), len(counter.sp.encode(t or ""))) for k, t in rows]
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got), key=str) == sorted(want, key=str)
     assert all(r["over_limit"] == (r["n_tokens"] > 5) for r in got)
+    fits = {str(r["doc_id"]): r["prefix_chars"] for r in got if r["doc_id"] != 1}
+    assert all(fits[str(k)] == max(i for i in range(len(t or "") + 1) if len(counter.sp.encode((t or "")[:i])) <= 5) for k, t in rows if k != 1)
     assert token_counts.token_counts(df.limit(0), PIECES, 5).count() == 0
     tables = token_counts.prefix_tables(df.filter("text IS NOT NULL"), PIECES)
     for r in token_counts.truncate_to_budget(tables.select("doc_id", "text", "prefix_tokens"), 4).collect():

@@ -2,7 +2,7 @@
 
 Texts up to a leaf's length are encoded as they are. A longer text is cut into leaves that are dealt
 over the tasks and encoded apart from each other, whatever the cut goes through; the leaves' tokens are
-then put together pairwise, as a tree. At each join the words around it are split anew over a window
+then put together pairwise, as a tree, whose branches are joined in tasks of their own. At each join the words around it are split anew over a window
 that doubles until both sides agree: on the left it starts at a word start that the cut can't have moved,
 on the right it has reached a word start that the right side has, too, and from there on both split
 alike. A word that goes through the join is put together from the tokens of its two parts in the same
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Characters of a leaf; longer texts are cut.
-LEAF_CHARS = 65_536
+#: Characters of a leaf (longer texts are cut), and leaves of a branch that one task joins.
+LEAF_CHARS, BRANCH_LEAVES = 32_768, 32
 #: The split pattern looks no further ahead than this many characters.
 _REACH = 3
 #: Fixed value: how byte-level BPE splits text into words before it merges.
@@ -232,7 +232,7 @@ def _digests(own: Coder, ids: list[int]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(own.decoded_bytes(ids)).hexdigest()
 
 
-def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, leaf_chars: int, outputs: list[tuple[str, str]], finish) -> DataFrame:
+def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, leaf_chars: int, outputs: list[tuple[str, str]], finish, branch_leaves: int = BRANCH_LEAVES) -> DataFrame:
     """finish(coder, ids) gives the values of the output columns for a row's tokens."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -270,30 +270,40 @@ def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, leaf_chars: i
                 made = [own.leaf(t) if s < 0 else Segment("", np.array([s], np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for t, s in zip(piece.column("text").to_pylist(), piece.column("special").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array([_packed(getattr(m, f), f != "ids") for m in made], pa.binary()) for f in ("ids", "starts", "firsts"))], [*piece.schema.names, "ids", "starts", "firsts"])
 
+    def segments(pdf: pd.DataFrame) -> list[Segment]:
+        return [Segment(t, _unpacked(i, False).astype(np.int32), _unpacked(s, True), _unpacked(f, True)) for t, i, s, f in zip(pdf["text"], pdf["ids"], pdf["starts"], pdf["firsts"], strict=True)]
+
+    def branch(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.drop_duplicates("leaf").sort_values("leaf")  # rows alike in id and text come with the same leaves
+        one = coder(path).tree(segments(first))
+        packed = {f: [_packed(getattr(one, f), f != "ids")] for f in ("ids", "starts", "firsts")}
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "mark": [pdf["mark"].iloc[0]], "part": [pdf["part"].iloc[0]], "leaf": [first["leaf"].iloc[0]], "copies": [len(pdf) // len(first)], "text": [one.text]} | packed)
+
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = coder(path)
-        copies = int(((pdf["part"] == pdf["part"].min()) & (pdf["leaf"] == 0)).sum())
-        pdf = pdf.drop_duplicates(["part", "leaf"]).sort_values(["part", "leaf"])
+        own, copies = coder(path), int(pdf["copies"].iloc[0])
         ids: list[int] = []
-        for _, part in pdf.groupby("part", sort=True):
-            ids += own.tree([Segment(t, _unpacked(i, False).astype(np.int32), _unpacked(s, True), _unpacked(f, True)) for t, i, s, f in zip(part["text"], part["ids"], part["starts"], part["firsts"], strict=True)]).ids.tolist()
+        for _, part in pdf.sort_values(["part", "leaf"]).groupby("part", sort=True):
+            ids += own.tree(segments(part)).ids.tolist()
         done = finish(own, ids)
         return pd.DataFrame({"id": [pdf["id"].iloc[0]] * copies} | {n: [done[k]] * copies for k, (n, _) in enumerate(outputs)})
 
-    piece = f"id {kind}, mark string, part int, leaf int, special int, text string"
+    piece, tokens = f"id {kind}, mark string, part int, leaf int", "ids binary, starts binary, firsts binary"
     few = rows.filter(F.length("text") <= leaf_chars).mapInArrow(short, schema)
-    many = rows.filter(F.length("text") > leaf_chars).mapInArrow(cut, piece).repartition("id", "mark", "part", "leaf")
-    many = many.mapInArrow(leaves, f"{piece}, ids binary, starts binary, firsts binary").groupBy("id", "mark").applyInPandas(whole, schema)
+    many = rows.filter(F.length("text") > leaf_chars).mapInArrow(cut, f"{piece}, special int, text string").repartition("id", "mark", "part", "leaf")
+    many = many.mapInArrow(leaves, f"{piece}, special int, text string, {tokens}").drop("special")
+    many = many.groupBy("id", "mark", "part", F.expr(f"leaf div {branch_leaves}")).applyInPandas(branch, f"{piece}, copies int, text string, {tokens}")
+    many = many.groupBy("id", "mark").applyInPandas(whole, schema)
     return few.unionAll(many).withColumnRenamed("id", id_col)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, branch_leaves: int = BRANCH_LEAVES) -> DataFrame:
     """One row for each input row: the id and ids: array<int>, the tokens of the whole text.
 
     A null text counts as empty and has no tokens. Null ids and repeated rows stay as they are, an empty
-    table gives none. Only the two named columns are read.
+    table gives none. A very long text is encoded and joined in many tasks, and its tokens come together in
+    one at last, as the row that they are. Only the two named columns are read, whatever others are called.
     """
-    return _encoded(df, path, id_col, text_col, leaf_chars, [("ids", "array<int>")], lambda own, ids: (ids,))
+    return _encoded(df, path, id_col, text_col, leaf_chars, [("ids", "array<int>")], lambda own, ids: (ids,), branch_leaves)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

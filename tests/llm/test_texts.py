@@ -50,10 +50,12 @@ def test_fast_path_agrees_on_all_it_takes(coder):
 
 
 def test_encoding_of_tables(spark, coder):
-    rows = [(k, t, "x") for k, t in enumerate(ODD + noise(3, 30))] + [(None, None, "x"), (3, "a", "x"), (3, "a", "x"), (5, "word " * 200, "y"), (5, "word " * 200, "y")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
+    rows = [(k, t, "x") for k, t in enumerate(ODD + noise(3, 30))] + [(None, None, "x"), (3, "a", "x"), (3, "a", "x"), (5, "word " * 200, "y"), (5, "word " * 200, "y"), (None, "x" * 90, "x"), (None, "x" * 90, "x"), (6, "ab<|endoftext|>" * 40, "z")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, ids string, leaf int")
     want = sorted(((k, tuple(coder.tok.encode(t or "", add_special_tokens=False).ids)) for k, t, _ in rows), key=str)
     got = bpe.encode(df, BPE, leaf_chars=40)
+    deep = bpe.encode(df, BPE, leaf_chars=7, branch_leaves=3)
+    assert sorted(((r["doc_id"], tuple(r["ids"])) for r in deep.collect()), key=str) == want
     assert sorted(((r["doc_id"], tuple(r["ids"])) for r in got.collect()), key=str) == want
     assert {r["text"] for r in bpe.decode(got, BPE).collect()} == {t or "" for _, t, _ in rows}
     digests = bpe.encode_digests(df, BPE, leaf_chars=40).collect()

@@ -36,6 +36,24 @@ def long_array(values) -> F.Column:
     return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<bigint>")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them as long as df has columns called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df, with all their columns, whose id and xxhash64 of the text's bytes aren't a row of gone (id, hash)."""
+    key, mark = unused(df, "__id", "__hash")
+    gone = gone.toDF(key, mark)
+    return df.join(gone, df[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(utf8(df[text_col])) == F.col(mark)), "left_anti")
+
+
 def utf8(col: str | F.Column) -> F.Column:
     """The UTF-8 bytes of a text column; a null text counts as empty."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("binary"), F.lit(b""))
@@ -72,3 +90,23 @@ def ranked(df: DataFrame, keys: list[str], rank: str) -> tuple[DataFrame, int]:
         total += counts.get(p, 0)
     start = F.element_at(long_array(starts or [0]), F.col("__piece") + 1)
     return pieces.withColumn(rank, start + F.col("__place")).drop("__piece", "__place"), total
+
+
+#: Keys that more than one in so many rows hold: there are no more of them than that.
+HOT_SHARE = 2000
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows (left) with the columns of their group; groups has one row for each key, and how many rows hold it.
+
+    Groups of more than one in HOT_SHARE of all rows, HOT_SHARE at most, go to all tasks, so that no task
+    gets all rows of a large group; the others are dealt out by the key.
+    """
+    others = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(weight) * HOT_SHARE > total).select(F.col(key).alias("__hot"), F.struct(*others).alias("__of_hot"))
+    rest = groups.select(F.col(key).alias("__key"), F.lit(0).alias("__zero"), F.struct(*others).alias("__of"))
+    # rows of hot groups have theirs already: a number keeps them apart from the other join's keys
+    number = F.when(F.col("__hot").isNull(), 0).otherwise((1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).cast("int"))
+    out = rows.join(F.broadcast(hot), rows[key] == F.col("__hot"), "left").withColumn("__salt", number)
+    out = out.join(rest, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col("__of_hot")[c], F.col("__of")[c]).alias(c) for c in others])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import frozen, utf8
+from pagewarden.llm.common import frozen, utf8, without_rows
 from pagewarden.llm.textwords import PUNCTUATION, WHITE, byte_table, chunks, lowered, split_words, windows
 
 #: Words of a window, and the share of an item's windows that make a document contaminated.
@@ -163,7 +163,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A text with fewer words than a window is one window. Null and empty texts and items match nothing.
     Items of equal words count as the one with the smallest id. Documents that are equal in id and text
-    come once, others with the same id each for themselves. Columns of other names are not read.
+    come once, others with the same id each for themselves. A long text is read whole, in a few arrays of
+    its length. An empty table on either side gives an empty result. Columns of other names are not read.
     """
     items = benchmark.select(F.col(item_col), utf8("text").alias("raw"))
     rows = frozen(_windows(items, [item_col], window, None))
@@ -176,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = docs.sparkSession.sparkContext.broadcast(_Wanted(hashes))
         wanted = lambda h: sent.value(h)
     key = [id_col, "text_hash"]
-    source = docs.select(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), utf8(text_col).alias("raw"))
+    source = docs.select(F.col(id_col), F.xxhash64(utf8(text_col)).alias("text_hash"), utf8(text_col).alias("raw"))
     # equal rows give equal windows; the matches are counted by position, so they count once
     hits = _windows(source, key, window, wanted).join(rows, ["hash", "template"])
     hits = frozen(hits.select(*key, item_col, "n_windows", "item_at", "template", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots"))
@@ -206,7 +207,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs that no item is in, with all their columns."""
-    bad = contamination(docs, benchmark, id_col, text_col, item_col).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs that no item is in, with all their columns, whatever their names.
+
+    Rows with null or empty texts stay, and so do all if the benchmark is empty. Rows alike in id and text
+    stay or go together.
+    """
+    bad = contamination(docs, benchmark, id_col, text_col, item_col).select(id_col, "text_hash").distinct()
+    return without_rows(docs, bad, id_col, text_col)

@@ -14,9 +14,11 @@ import struct
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.llm.common import frozen, joined_by_group, unused, utf8, without_rows
+
 #: Bytes that a task's trie may hold before subtrees are moved out.
 TRIE_BYTES = 64 << 20
 _NODE_BYTES = 250
@@ -212,26 +214,52 @@ def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_b
     return local.repartition("n_bytes", "content_hash").mapInArrow(_owners(trie_bytes), "text_sha256 string, keep_id bigint, group_size bigint")
 
 
+def _digests(batches):
+    """The digest of each row's normalised text, and a hash of its text as it is."""
+    for batch in batches:
+        raws = batch.column("raw").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_hash"), pa.array([hashlib.sha256(squeeze(r)).hexdigest() for r in raws], pa.string())], ["id", "row_hash", "text_sha256"])
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, trie_bytes: int) -> DataFrame:
+    """One row for each input row: id, row_hash (of the text as it is), text_sha256, keep_id, group_size, kept."""
+    kind = df.schema[id_col].dataType.simpleString()
+    raw = utf8(text_col)
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(raw).alias("row_hash"), raw.alias("raw")).mapInArrow(_digests, f"id {kind}, row_hash bigint, text_sha256 string")
+    rows = frozen(rows.withColumn("row", F.monotonically_increasing_id()))
+    groups = frozen(owners(df, id_col, text_col, trie_bytes))
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    out = joined_by_group(rows, groups, "text_sha256", "group_size", total)
+    mine = F.col("id").eqNullSafe(F.col("keep_id"))
+    stays = out.filter(mine).groupBy("text_sha256").agg(F.min(F.struct("row_hash", "row")).alias("s")).select(F.col("s.row").alias("__row"))
+    return out.join(stays, F.col("row") == F.col("__row"), "left").withColumn("kept", F.col("__row").isNotNull()).drop("row", "__row")
+
+
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row for each input row: the id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are, after each run of ASCII white space has become one space; a
     null text counts as empty. The row with the smallest id of a group stays; a null id is larger than
     any other, and a group of nothing but null ids has a null keep_id. Of several rows with that id
-    one stays. An empty table gives an empty result. Other columns are not read.
+    one stays. A long text is one string of a trie, whatever its length. An empty table gives an empty
+    result. Other columns are not read, so they may be called like those that come out.
     """
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    rows = df.select(F.col(id_col), digest.alias("text_sha256"))
-    joined = rows.join(owners(df, id_col, text_col, trie_bytes), "text_sha256")
-    first = F.row_number().over(Window.partitionBy(id_col, "text_sha256").orderBy(F.lit(0))) == 1
-    return joined.select(F.col(id_col), "keep_id", "group_size", (F.col(id_col).eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
+    return _judged(df, id_col, text_col, trie_bytes).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns; of rows alike in id and text one stays."""
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    kept = exact_duplicates(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = df.withColumn("__sha256", digest)
-    same = rows["__sha256"].eqNullSafe(F.col("__sha")) & rows[id_col].eqNullSafe(F.col("__id"))
-    one = Window.partitionBy(id_col, "__sha256").orderBy(F.lit(0))
-    return rows.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*df.columns)
+    """The rows of df that stay, with all their columns; of rows alike in id and text one stays.
+
+    Which rows go is settled by ids and hashes; the texts only meet the list of those. Columns may have any names.
+    """
+    judged = _judged(df, id_col, text_col, TRIE_BYTES).groupBy("id", "row_hash").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("k"))
+    judged = frozen(judged.filter("k < n").select("id", "row_hash", "k"))
+    kept = without_rows(df, judged.drop("k"), id_col, text_col)
+    again = judged.filter("k = 1").drop("k")
+    if again.isEmpty():
+        return kept
+    # rows alike in id and text, of which one stays
+    key, mark = unused(df, "__id", "__hash")
+    twice = df.withColumn(mark, F.xxhash64(utf8(text_col)))
+    twice = twice.join(again.toDF(key, f"{mark}_of"), twice[id_col].eqNullSafe(F.col(key)) & (F.col(mark) == F.col(f"{mark}_of")))
+    return kept.unionByName(twice.dropDuplicates([key, mark]).select(*df.columns))

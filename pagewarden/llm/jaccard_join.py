@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagewarden.llm.common import frozen, utf8
+from pagewarden.llm.common import frozen, joined_by_group, unused, utf8
 from pagewarden.llm.textwords import WHITE, byte_table, chunks, mix, split_words, windows
 
 WIDTH = 5
@@ -772,14 +772,14 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """row (a hash of the row), id, node, n for each row; node, component, row (of the row that stands for the component)."""
+def _classes(df: DataFrame, id_col: str, text_col: str, crowd: int) -> DataFrame:
+    """row (a hash of the row), id, n, component and stands_row (the row that stands for the component) for each row."""
     rows = df.select(F.col(id_col).alias("id"), utf8(text_col).alias("raw")).withColumn("row", F.xxhash64("id", "raw"))
     salt = 0
     while True:
         every = frozen(_described(rows, salt))
         told = every.filter("kind = 0").drop("kind")
-        nodes = told.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.min("name").alias("name"), F.max("name").alias("other"), F.max("n").alias("n"), F.max_by("bitmap", "row").alias("bitmap"))
+        nodes = told.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.min("name").alias("name"), F.max("name").alias("other"), F.max("n").alias("n"), F.max_by("bitmap", "row").alias("bitmap"), F.count(F.lit(1)).alias("rows"))
         nodes = frozen(nodes)
         if nodes.filter("name != other").isEmpty():
             break
@@ -819,10 +819,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, crowd: int) -> tuple[Dat
     if not rest.isEmpty():
         links.append(compared(rest))
         roots = components(_all(links))
-    part = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct(F.col("first.none"), F.col("first.id"), F.col("first.row")).alias("first"))
+    part = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rows", F.struct(F.col("first.none"), F.col("first.id"), F.col("first.row")).alias("first"))
     part = frozen(part)
-    stands = part.groupBy("root").agg(F.min("first").alias("stands"))
-    return told.select("row", "id", "node", "n"), part.join(stands, "root").select("node", F.col("stands.id").alias("component"), F.col("stands.row").alias("stands_row"))
+    stands = frozen(part.groupBy("root").agg(F.min("first").alias("stands"), F.count(F.lit(1)).alias("nodes")))
+    by_node = joined_by_group(part, stands, "root", "nodes", part.count()).select("node", "rows", F.col("stands.id").alias("component"), F.col("stands.row").alias("stands_row"))
+    out = joined_by_group(told.select("row", "id", "node", "n"), by_node, "node", "rows", told.count())
+    return out.select("row", "id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), F.when(F.col("n") > 0, F.col("stands_row")).otherwise(F.col("row")).alias("stands_row"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -835,9 +837,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other. An empty table gives an empty result. A text of any length is taken whole, in a few arrays of its
     size in one task. Other columns are not read, so they may have any names.
     """
-    told, by_node = _classes(df, id_col, text_col, crowd)
-    out = told.join(by_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    out = _classes(df, id_col, text_col, crowd)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -846,6 +847,6 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that are alike in id and text stay or go together. Nulls, long texts and an empty table are taken
     as jaccard_components() does. Columns may have any names.
     """
-    told, by_node = _classes(df, id_col, text_col, crowd)
-    gone = told.join(by_node, "node").filter((F.col("n") > 0) & (F.col("row") != F.col("stands_row"))).select(F.col("row").alias("__gone")).distinct()
-    return df.join(gone, F.xxhash64(df[id_col], utf8(df[text_col])) == F.col("__gone"), "left_anti")
+    (mark,) = unused(df, "__gone")
+    gone = _classes(df, id_col, text_col, crowd).filter(F.col("row") != F.col("stands_row")).select(F.col("row").alias(mark)).distinct()
+    return df.join(gone, F.xxhash64(df[id_col], utf8(df[text_col])) == F.col(mark), "left_anti")

@@ -475,3 +475,29 @@ def test_pipeline(spark):
         left = after
     assert corpus_pipeline.run(spark, SF).count() == left.count()
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty texts, long texts, clashing names and empty tables, for every stage."""
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    names = ["__id", "__hash", "__gone", "k", "row", "node", "text_hash", "id", "raw", "hash"]
+    toxic = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1"), "doc_id").filter("lang = 'en'").select("doc_id", "text").limit(2).collect()
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    texts = [(None, None), (1, None), (1, ""), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "A  b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (5, "long " * 200_000 + "end"), (6, "before it " + item + " after it"), (7, "quiet words about a river and its banks in spring"), *[(r[0], r[1]) for r in toxic]]
+    df = spark.createDataFrame([(*r, "x") for r in texts], "doc_id bigint, text string, lang string").withColumns({n: F.lit(None).cast("string") for n in names})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    gone = lambda name: sorted(((i, t) for i, t in texts if (i, t) not in kept[name]), key=str)
+    assert gone("toxicity") == []  # hardly any of these rows has a label to learn from
+    assert len(kept["exact dedup"]) == len({" ".join((t or "").split()) for _, t in texts})
+    assert (2, "a b c d e f g") in kept["exact dedup"] and (1, None) in kept["exact dedup"] or (1, "") in kept["exact dedup"]
+    assert [i for i, _ in gone("n-gram Jaccard join")] == [3, 4, None]
+    assert [i for i, _ in gone("benchmark decontamination")] == [6]
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == len(texts)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewarden.llm import bpe, exact_dedup, textwords, token_counts
 from pagewarden.llm.queries import tokenizer_path
@@ -130,8 +131,13 @@ def test_exact_duplicates(spark):
     want = sorted(((k, min((x for x in groups[norm(t)] if x is not None), default=None), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for k, t, _ in rows), key=str)
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == want
     assert sum(r["kept"] for r in got) == len(groups)
-    kept = exact_dedup.without_duplicates(df)
-    assert kept.columns == df.columns and kept.count() == len(groups)
+    clashing = df.withColumn("__id", F.lit(1)).withColumn("k", F.lit(2)).withColumn("row_hash", F.lit("h"))
+    kept = exact_dedup.without_duplicates(clashing.drop("__id"))
+    assert kept.columns == [*df.columns, "k", "row_hash"] and kept.count() == len(groups)
+    assert {(norm(r["text"]), r["doc_id"]) for r in kept.collect()} == {(g, min((x for x in ids if x is not None), default=None)) for g, ids in groups.items()}
+    assert exact_dedup.without_duplicates(df.limit(0)).count() == 0
+    many = spark.createDataFrame([(k, "same") for k in range(400)] + [(1000, "other")], "doc_id bigint, text string")
+    assert {(r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(many).collect()} == {(0, 400), (1000, 1)}
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
 
 

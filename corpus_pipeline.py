@@ -9,36 +9,38 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagewarden.llm import bpe, common, decontamination, exact_dedup, jaccard_join, queries, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity models don't reject."""
+    """The documents that the toxicity models don't reject.
+
+    Rows alike in id and text stay or go together; several texts of one id are judged each for itself. Null
+    and empty texts have no expressions and stay as long as toxic documents are few. Columns may have any
+    names; an empty table stays empty, and without labels nothing goes.
+    """
     judged = toxicity.toxicity(docs, queries.table(spark, sf_dir, "labels"), keep_text_hash=True)
-    bad = judged.filter("predicted = 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(common.utf8("text")) == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    return common.without_rows(docs, judged.filter("predicted = 1").select("doc_id", "text_hash").distinct(), "doc_id", "text")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, that with the smallest id; null and empty texts are one group (see exact_dedup)."""
     return exact_dedup.without_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates, that with the smallest id; texts without words all stay (see jaccard_join)."""
     return jaccard_join.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no item of the benchmark."""
+    """The documents that hold no item of the benchmark; null and empty texts hold none (see decontamination)."""
     return decontamination.without_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of the tokens and of the decoded text of each document."""
+    """Number of tokens and digests of the tokens and of the decoded text of each document; a null text has no tokens (see bpe)."""
     return bpe.encode_digests(docs, queries.tokenizer_path("byte_bpe_50k.json"))
 
 

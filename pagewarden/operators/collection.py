@@ -87,6 +87,11 @@ def temporal_split(when: Column, start: str, days: int = 14) -> Column:
     return F.when(day < t, "train").when(day < F.date_add(t, days), "val").when(day < F.date_add(t, 2 * days), "test")
 
 
+def ok_count(crawl: DataFrame) -> DataFrame:
+    """One row: n, the crawled rows, and ok, those with HTTP status 200."""
+    return crawl.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == 200).alias("ok"))
+
+
 def reachable(status: Column) -> Column:
     return F.coalesce(status < 500, F.lit(False))
 

@@ -84,12 +84,19 @@ def ranking_metrics(df: DataFrame, target: float = 0.95, label: str = "label", s
     )
 
 
-def summarize(df: DataFrame, label: str = "label", score: str = "score") -> dict:
-    """All metrics as one dict; a few dozen numbers come to the driver."""
+def summarize(df: DataFrame, label: str = "label", score: str = "score", extra: dict[str, Callable[[Column, Column], Column]] | None = None) -> dict:
+    """All metrics as one dict; a few dozen numbers come to the driver.
+
+    extra has further metrics by name: functions of the label and the score that give an aggregate. Like
+    the others, a metric of two classes is None where there is one only.
+    """
     ranking = ranking_metrics(df, 0.95, label, score).first()
     points = [r.asDict() for r in confusion(df, [MEDIUM, HIGH], label, score).orderBy("threshold").collect()]
     at = [{k: v for k, v in p.items() if k != "threshold"} for p in points]
-    return {
+    own = df.agg(*[f(F.col(label), F.col(score)).alias(k) for k, f in extra.items()]).first().asDict() if extra else {}
+    if not (ranking["n_positive"] and ranking["n_negative"]):
+        own = dict.fromkeys(own)
+    return own | {
         "n": ranking["n"], "n_phishing": ranking["n_positive"], "n_benign": ranking["n_negative"], "roc_auc": ranking["roc_auc"], "pr_auc": ranking["pr_auc"],
         "fpr_at_recall_95": ranking["fpr_at_recall"], "at_medium": at[0], "at_high": at[1], "sweep": [r.asDict() for r in threshold_sweep(df, 21, label, score).orderBy("threshold").collect()],
     }

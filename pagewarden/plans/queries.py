@@ -349,6 +349,13 @@ def drop_reasons(spark, sf_dir):
     return collection.filter_crawl(crawl, p.select(file.alias("html_file"), "html"))[1].withColumnRenamed("count", "n")
 
 
+@_query(f"WITH {_CRAWL} SELECT count(*) AS n, count(*) FILTER (status = 200) AS ok FROM c")
+def http_ok_count(spark, sf_dir):
+    """How many rows of the made-up crawl have status 200."""
+    p = _table(spark, sf_dir, "pages")
+    return collection.ok_count(p.select(F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status")))
+
+
 @_query("SELECT page_id, sha256(html) AS html_sha256, strlen(html) AS bytes, sha256(url) AS url_sha256 FROM pages")
 def content_address(spark, sf_dir):
     """Pages by their content's hash."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pagewarden.data.brands import BRANDS, Brand, brands_from_json
 from pagewarden.functions.hosts import DEFAULT_RULES, SuffixRules, registrable, suffix
 from pagewarden.functions.membership import Membership
 from pagewarden.operators.collection import EVAL, popular_domains
+from pagewarden.operators.verdicts import Settings
 
 
 def _whole(spark: SparkSession, path: str) -> str:
@@ -25,6 +28,14 @@ def read_suffixes(spark: SparkSession, path: str | None) -> SuffixRules:
     return SuffixRules.from_list(_whole(spark, path)) if path else DEFAULT_RULES
 
 
+def read_settings(spark: SparkSession, path: str) -> Settings:
+    """What a user has set, from a JSON file; settings that make no sense are the defaults."""
+    try:
+        return Settings.checked(json.loads(_whole(spark, path)))
+    except ValueError:
+        return Settings()
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord, line of a text file of any size, in the file's order."""
     # ids rise along a file: its splits are numbered in order, as are the rows of each

@@ -27,7 +27,8 @@ def test_metrics(spark):
     assert one["roc_auc"] is None and one["fpr_at_recall"] is None
     assert metrics.sweep_thresholds()[7] == 0.35000000000000003 and len(metrics.sweep_thresholds()) == 21
     assert metrics.ranking_metrics(scored(spark, [1], [0.1]).limit(0)).first()["n"] == 0
-    s = metrics.summarize(df)
+    s = metrics.summarize(df, extra={"mean_gap": lambda y, p: F.avg(F.when(y == 1, p)) - F.avg(F.when(y == 0, p))})
+    assert s["mean_gap"] == pytest.approx(2.2 / 3 - 0.3) and metrics.summarize(df.filter("label = 1"), extra={"m": lambda y, p: F.avg(p)})["m"] is None
     assert s["n_phishing"] == 3 and len(s["sweep"]) == 21 and not metrics.passes_gate(s)
 
 
@@ -171,6 +172,25 @@ def test_collect_stream(spark, tmp_path):
     assert store.raw("phishing").count() == 3
 
 
+def test_settings_reach_the_stream(spark, tmp_path):
+    """Settings are read anew for each batch, and nothing starts without them."""
+    from pagewarden.streaming.score import score_navigations
+
+    src, conf, out = tmp_path / "nav", tmp_path / "settings.json", str(tmp_path / "scores")
+    rows = lambda ts: spark.createDataFrame([(1, ts, 0, "https://a.test/login/verify"), (1, ts, 3, "https://frame.test/")], "tab_id bigint, ts bigint, frame_id int, url string").write.mode("append").parquet(str(src))
+    rows(1)
+    stream = lambda: score_navigations(spark, spark.readStream.schema("tab_id bigint, ts bigint, frame_id int, url string").parquet(str(src)), str(conf), out, str(tmp_path / "cp"), once=True)
+    with pytest.raises(Exception, match="settings.json"):
+        stream()
+    for ts, settings in ((1, "not json"), (2, json.dumps({"enabled": True, "allowlist": ["a.test"], "thresholds": {"medium": 0.1, "high": 0.2}})), (3, json.dumps({"enabled": False, "allowlist": [], "thresholds": {"medium": 0.1, "high": 0.2}}))):
+        if ts > 1:
+            rows(ts)
+        conf.write_text(settings)
+        stream().awaitTermination()
+    got = {(r["ts"], r["verdict"]["level"], len(r["verdict"]["reasons"])) for r in spark.read.parquet(out).collect()}
+    assert {g[:2] for g in got} == {(1, "LOW"), (2, "LOW"), (3, "UNKNOWN")} and (2, "LOW", 1) in got
+
+
 def test_split(spark):
     df = spark.createDataFrame([("2026-01-01",), ("2026-01-10",), ("2026-01-25",), ("2026-03-01",)], "d string")
     assert [r[0] for r in df.select(collection.temporal_split(F.col("d"), "2026-01-05")).collect()] == ["train", "val", "test", None]
@@ -199,6 +219,19 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["collect", "--store", str(tmp_path / "st"), "--feed", str(tmp_path / "feed"), "--kind", "benign", "--day", "2026-01-01"]) == 0
     assert "1 new URLs" in capsys.readouterr().out
     assert main(["manifest", "--store", str(tmp_path / "st")]) == 0
+    assert main(["extract", "--input", str(tmp_path / "in.json"), "--out", str(tmp_path / "x")]) == 0
+    assert {len(r["features"]) for r in spark.read.json(str(tmp_path / "x")).collect()} == {53}
+    assert main(["pending", "--store", str(tmp_path / "st"), "--out", str(tmp_path / "q")]) == 0
+    assert [r["url"] for r in spark.read.json(str(tmp_path / "q")).collect()] == ["https://a.test/"]
+    (tmp_path / "crawl").write_text(json.dumps({"url": "https://a.test/", "final_url": "https://a.test/", "status": 200, "html": "<p>" + "x" * 600, "source": "feed", "label": 0}) + "\n")
+    assert main(["add-crawl", "--store", str(tmp_path / "st"), "--input", str(tmp_path / "crawl")]) == 0
+    assert "1 crawled, 1 with status 200" in capsys.readouterr().out
+    assert main(["build-eval", "--store", str(tmp_path / "st"), "--out", str(tmp_path / "ev")]) == 0
+    assert [(r["url"], r["label"], r["first_seen"]) for r in files.read_eval_rows(spark, str(tmp_path / "ev")).collect()] == [("https://a.test/", 0, "2026-01-01")]
+    assert main(["pending", "--store", str(tmp_path / "st"), "--out", str(tmp_path / "q")]) == 0 and spark.read.schema("url string").json(str(tmp_path / "q")).count() == 0
+    (tmp_path / "brands.json").write_text('[{"token": "acme", "etld1s": ["acme.test"]}]')
+    (tmp_path / "list.dat").write_text("test\nco.test\n")
+    assert main(["score", "--input", str(tmp_path / "in.json"), "--out", str(tmp_path / "s"), "--brands", str(tmp_path / "brands.json"), "--suffixes", str(tmp_path / "list.dat")]) == 0
 
 
 def test_messages(spark):

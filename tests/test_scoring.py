@@ -1,3 +1,4 @@
+import math
 import random
 import string
 
@@ -10,6 +11,7 @@ from pagewarden.functions.hosts import DEFAULT_RULES
 from pagewarden.functions.text import first_brand, has_brand, term_count
 from pagewarden.operators.features import FEATURES, entropy, extract_page, extract_url, vector
 from pagewarden.operators.rules import RULES, Rule, noisy_or_of, score_rules
+from pagewarden.operators.trees import Split, ensemble_score
 from pagewarden.operators.verdicts import Settings, badge, credential_field, higher, merge, score_pages, score_urls, ui_action
 
 LOGIN = '<html lang="en"><head><title>Sign in</title></head><body><form action="{action}"><input type="password"></form><footer>&copy; Firm</footer></body></html>'
@@ -141,6 +143,40 @@ def test_verdict_pieces(spark):
     assert one.select(credential_field(F.lit("text"), F.lit("cc-number")), credential_field(F.lit(None).cast("string"), F.lit("name"))).first()[:] == (True, False)
 
 
+IN = '<form action="/in"><input type="password"></form>'
+#: URL, body and head of pages with a published score each; what fires is told by the score.
+WORKED = [
+    ("http://example.test:4321/corpus/benign/article-1.html", "<p>Plain words", "", 0.316, "LOW"),
+    ("http://127.0.0.1:4321/corpus/phish/ip-login.html", IN, "", 0.829, "HIGH"),
+    ("http://paypa1-login.test:4321/corpus/phish/external-action.html", '<form action="https://far.example/x"><input type="password"></form>', "", 0.814, "HIGH"),
+    ("http://secure-verify.test:4321/corpus/phish/title-mismatch.html", IN + "<p>Act now, your account is locked", "<title>PayPal</title>", 0.938, "HIGH"),
+    ("http://login.example.test:4321/corpus/phish/http-login.html", IN, "", 0.726, "MEDIUM"),
+    ("http://account-update.test:4321/corpus/phish/hidden-inputs.html", IN + '<input type="hidden">' * 3, "", 0.797, "HIGH"),
+    ("http://wallet-verify.test:4321/corpus/phish/urgency.html", IN + "<p>Final notice: act now", "", 0.876, "HIGH"),
+    ("http://xn--pypal-4ve.paypal.evil.test:4321/corpus/phish/punycode.html", IN, "", 0.751, "HIGH"),
+    ("http://secure-login.test:4321/corpus/phish/external-scripts.html", IN, '<script src="https://cdn.example/a.js"></script>', 0.837, "HIGH"),
+    ("http://paypal-secure.test:4321/corpus/phish/copyright-mismatch.html", IN + "<footer>&copy; PayPal</footer>", "", 0.855, "HIGH"),
+    ("http://verify-account.test:4321/corpus/phish/meta-refresh.html", IN, '<meta http-equiv="refresh" content="5">', 0.885, "HIGH"),
+]
+
+
+def test_published_scores(spark):
+    got = {r["url"]: r["final"] for r in score(spark, [(u, f"<html><head>{head}</head><body>{body}</body></html>") for u, body, head, _, _ in WORKED])}
+    assert {u: (round(v["score"], 3), v["level"]) for u, v in got.items()} == {u: (s, level) for u, _, _, s, level in WORKED}
+
+
+def test_trees(spark):
+    """An ensemble over the vector, against a walk through its nodes."""
+    at = FEATURES.index
+    trees = [[Split(at("url_len"), 30.0, 1, 2), Split(value=-0.5), Split(at("is_https"), 0.5, 3, 4), Split(value=1.25), Split(value=0.25)], [Split(value=0.1)]]
+    rows = [(float(n), float(s)) for n in (10, 30, 31) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "url_len double, is_https double")
+    walk = lambda n, s: 0.1 + (-0.5 if n < 30 else 1.25 if s < 0.5 else 0.25)
+    got = [r[0] for r in df.select(ensemble_score(trees, df.columns)).collect()]
+    assert got == pytest.approx([1 / (1 + math.exp(-walk(*r))) for r in rows])
+    assert df.select(ensemble_score([], df.columns)).first()[0] == 0.5
+
+
 def test_settings(spark):
     assert Settings.checked({"enabled": True, "allowlist": ["a.b"], "thresholds": {"medium": 0.1, "high": 0.2}}) == Settings(True, ("a.b",), 0.1, 0.2)
     assert Settings.checked({"enabled": 1}) == Settings() == Settings.checked(None)

@@ -460,7 +460,25 @@ def tab_state_final(spark, sf_dir):
     return events.groupBy(F.col("user_id").alias("tab_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count(F.lit(1)).alias("n"))
 
 
-@_query()
+# The machine step by step: one row for each event of a tab with the state behind it, and a timer that fired ahead of it.
+_S_REPLAY = f"""e AS (SELECT user_id::BIGINT AS tab_id, (epoch_us(ts) // 1000)::BIGINT AS ts, ['navigate', 'completed', 'SCORE_REQUEST', 'DISMISS'][event_id % 4 + 1] AS kind, 'https://example.com/' || (event_id % 3) AS url,
+        coalesce(abs(value) % 1, 0.0)::DOUBLE AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+    l AS (SELECT *, {_S_LEVEL("score")} AS level FROM e),
+    s AS (SELECT tab_id, 0::BIGINT AS i, NULL::BIGINT AS ts, '' AS kind, false AS open, NULL::VARCHAR AS url, NULL::DOUBLE AS s1, NULL::VARCHAR AS l1, NULL::VARCHAR AS l2, NULL::DOUBLE AS f, false AS dismissed, NULL::BIGINT AS timer, NULL::BIGINT AS fired FROM (SELECT DISTINCT tab_id FROM e)
+        UNION ALL SELECT l.tab_id, l.i, l.ts, CASE WHEN l.kind = 'completed' OR (l.kind = 'DISMISS' AND NOT s.open) THEN '' ELSE l.kind END, s.open OR l.kind IN ('navigate', 'SCORE_REQUEST'),
+            CASE WHEN l.kind IN ('navigate', 'SCORE_REQUEST') THEN l.url ELSE s.url END, CASE WHEN l.kind = 'navigate' THEN l.score ELSE s.s1 END, CASE WHEN l.kind = 'navigate' THEN l.level ELSE s.l1 END,
+            CASE l.kind WHEN 'navigate' THEN NULL WHEN 'SCORE_REQUEST' THEN l.level ELSE s.l2 END,
+            CASE WHEN l.kind = 'navigate' THEN l.score WHEN l.kind <> 'SCORE_REQUEST' THEN s.f WHEN s.l1 IS NULL THEN l.score WHEN s.l1 = 'HIGH' THEN s.s1 WHEN l.score < 0.15 AND s.l1 = 'MEDIUM' THEN l.score
+                WHEN l.level = 'HIGH' OR l.level = s.l1 OR s.l1 = 'LOW' THEN l.score ELSE s.s1 END,
+            CASE l.kind WHEN 'navigate' THEN s.open AND s.url = l.url AND s.dismissed WHEN 'DISMISS' THEN s.open ELSE s.dismissed END,
+            CASE WHEN l.kind = 'completed' THEN l.ts + 1500 WHEN l.kind IN ('navigate', 'SCORE_REQUEST') OR s.timer <= l.ts THEN NULL ELSE s.timer END, CASE WHEN s.timer <= l.ts AND s.open AND s.l2 IS NULL THEN s.timer END
+            FROM s JOIN l ON l.tab_id = s.tab_id AND l.i = s.i + 1),
+    o AS (SELECT tab_id, ts, kind AS event, url, l1, l2, f, dismissed FROM s WHERE kind <> ''
+        UNION ALL SELECT p.tab_id, n.fired, 'timeout', p.url, p.l1, NULL, p.f, p.dismissed FROM s n JOIN s p ON p.tab_id = n.tab_id AND p.i = n.i - 1 WHERE n.fired IS NOT NULL
+        UNION ALL SELECT tab_id, timer, 'timeout', url, l1, NULL, f, dismissed FROM (SELECT *, max(i) OVER (PARTITION BY tab_id) AS last FROM s) WHERE i = last AND timer IS NOT NULL AND open AND l2 IS NULL)"""
+
+
+@_query(f"WITH RECURSIVE {_S_REPLAY} SELECT tab_id, ts, event, url, l1 AS stage1, l2 AS stage2, {_S_LEVEL('f')} AS final, f AS score, dismissed, false AS proceeded, CASE WHEN event <> 'DISMISS' THEN {_S_LEVEL('f')} END AS badge FROM o")
 def tab_replay(spark, sf_dir):
     """Tabs' states over a made-up sequence of navigations and scores, from the events."""
     from pagewarden.streaming.tabs import replay

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm.common import held_out, utf8
 from pagewarden.llm.labelled import sample, sigmoid, training_labels
-from pagewarden.llm.textwords import WHITE, byte_table, chunks, split_words
+from pagewarden.llm.textwords import CHUNK, WHITE, byte_table, chunks, split_words
 
 #: Labelled rows that the model is fitted on.
 SAMPLE_ROWS = 30_000
@@ -30,6 +30,11 @@ _ALNUM = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 _STOP = np.isin(np.arange(256), list(b".!?"))
 
 
+def _histogram(text: bytes) -> np.ndarray:
+    """How often each byte comes up, a megabyte at a time."""
+    return sum((np.bincount(np.frombuffer(text, np.uint8, min(CHUNK, len(text) - i), i), minlength=256) for i in range(0, len(text), CHUNK)), np.zeros(256, np.int64))
+
+
 def measures(raws: list[bytes]) -> np.ndarray:
     """One row for each text, one column for each of MEASURES; all 0 for an empty text."""
     out = np.zeros((len(raws), len(MEASURES)))
@@ -37,11 +42,7 @@ def measures(raws: list[bytes]) -> np.ndarray:
         n = len(some)
         w = split_words(some, _TABLE)
         sizes = np.fromiter(map(len, some), np.int64, n)
-        of = np.repeat(np.arange(n), sizes + 1)
-        inside = np.ones(len(of), bool)
-        inside[np.cumsum(sizes + 1) - 1] = False
-        of, raw = of[inside], w.raw[inside]
-        hist = np.bincount(of * 256 + raw, minlength=n * 256).reshape(n, 256)
+        hist = np.stack([_histogram(x) for x in some])
         kinds = np.stack([hist[:, _CLASS == k].sum(1) for k in range(7)], 1)
         total, words = np.maximum(sizes, 1), np.maximum(w.counts, 1)
         length = w.end - w.start
@@ -189,7 +190,8 @@ def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
     Labels of held-out rows, null labels and null ids are not learned from. A null text counts as empty;
     empty texts are scored like others, from measures that are all 0. Without labelled rows of both
     classes every score is the (smoothed) share of label 1, or 0.5 without any. Repeated rows get equal
-    scores, an empty table none.
+    scores, an empty table none. A long text is measured whole, in arrays of one entry for each of its
+    words. Other columns of docs are not read, whatever their names.
     """
     drawn = sample(docs.select(id_col).join(training_labels(labels, label_col, id_col), id_col), sample_rows, id_col).dropDuplicates([id_col])
     seen = with_measures(docs.select(id_col, text_col).join(F.broadcast(drawn.select(id_col, "label")), id_col), id_col, text_col, ("label",)).toPandas()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The rules that the URL query is held to.
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 #: The block list behind the rules, in the same form.
-BLOCKED_HOSTS = ["spam-farm.example.org/", "ads-track.example.com/", "cheap-pills.example.com/", "ads-track.example.net/", "cheap-pills.example.org/"]
+BLOCKED_HOSTS = [f"{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("net", "org")]
 SHARD_DIMENSIONS = ["lang", "source", "size"]
 TOKEN_LIMIT = 4096
 #: In the audit, of every so many pages the replica has one record with a flipped bit, lacks one, and has one twice, the second time under another id.

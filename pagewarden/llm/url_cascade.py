@@ -100,7 +100,7 @@ class Cascade:
         listed = listed.select("key").filter("key IS NOT NULL").distinct()
         n = listed.count()
         if n > max_listed:
-            raise ValueError(f"{n} listed keys; a cascade takes {max_listed}. Cut the list by a hash of the key and build one cascade for each part")
+            raise ValueError(f"{n} listed keys; a cascade takes {max_listed}. Use Cascades, which cuts the list by a hash of the key")
         universe = universe.select("key").filter("key IS NOT NULL").distinct()
         marked = frozen(universe.join(listed.withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))))
         sizes = {r["listed"]: r["count"] for r in marked.groupBy("listed").count().collect()}
@@ -126,15 +126,41 @@ class Cascade:
         return out
 
 
+class Cascades:
+    """Cascades for the parts of a list that one is too small for; the parts are cut by a hash of the key."""
+
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    @staticmethod
+    def _part(key: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(n))
+
+    @classmethod
+    def build(cls, listed: DataFrame, universe: DataFrame, max_listed: int = MAX_LISTED) -> Cascades:
+        """As Cascade.build(), for lists of any size; the parts' sizes differ by chance, so each is given three quarters of what it may hold."""
+        n = listed.select("key").filter("key IS NOT NULL").distinct().count()
+        parts = max(1, -(-4 * n // (3 * max_listed))) if n > max_listed else 1
+        some = lambda df, i: df if parts == 1 else df.filter(cls._part(F.col("key"), parts) == i)
+        return cls([Cascade.build(some(listed, i), some(universe, i), max_listed) for i in range(parts)])
+
+    def contains(self, key: Column) -> Column:
+        out = self.parts[0].contains(key)
+        for i in range(1, len(self.parts)):
+            out = F.when(self._part(key, len(self.parts)) == i, self.parts[i].contains(key)).otherwise(out)
+        return out
+
+
 def judge_urls(df: DataFrame, rules: dict[str, str], blocked: DataFrame, url_col: str = "url") -> DataFrame:
     """df with host, path, rule and verdict.
 
     rules: host and path prefix to 'allow' or 'block'; a rule fits its host and all subdomains if the
     URL's path starts with the rule's, and the longest wins. A URL that no rule fits gets the verdict of
     the block list, whose column key holds rules of the same form: 'block' if one fits, else 'allow'. Two
-    cascades find the rule (one for each verdict's keys), a third asks the list. A null URL, or one
-    without ://, has an empty host and path, fits nothing and is allowed. Rows are kept as they are;
-    columns of df with the names of the new ones are replaced.
+    cascades find the rule (one for each verdict's keys), others ask the list. A null URL, or one
+    without ://, has an empty host and path, fits nothing and is allowed. Rows are kept as they are, and an
+    empty table gives none; columns of df with the names of the new ones are replaced. A long URL has as
+    many keys as its host has labels, times the lengths of the lists' paths.
     """
     spark = df.sparkSession
     listed = spark.createDataFrame([(*split_rule(r), v) for r, v in rules.items()] or [("", "", "")], "host string, path string, verdict string").filter("host != ''")
@@ -147,7 +173,7 @@ def judge_urls(df: DataFrame, rules: dict[str, str], blocked: DataFrame, url_col
     universe = frozen(seen)
     key = F.concat("host", "path").alias("key")
     cascades = {v: Cascade.build(listed.filter(F.col("verdict") == v).select(key), universe) for v in ("allow", "block")}
-    method = Cascade.build(block.select(key), universe)
+    method = Cascades.build(block.select(key), universe)
     judged = df.withColumn("host", host).withColumn("path", path).withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), lengths or [1]))
     either = lambda k: cascades["allow"].contains(k) | cascades["block"].contains(k)
     judged = judged.withColumn("rule", F.try_element_at(F.filter("__keys", either), F.lit(1)))

@@ -1,6 +1,9 @@
 """Corpus operators against brute force on small tables."""
 
+import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -109,6 +112,8 @@ def test_cascade_is_exact(spark):
     assert wrong.isEmpty()
     with pytest.raises(ValueError, match="listed keys"):
         url_cascade.Cascade.build(listed, universe, max_listed=10)
+    parts = url_cascade.Cascades.build(listed, universe, max_listed=100)
+    assert len(parts.parts) == 3 and universe.filter(parts.contains(F.col("key")) != (F.crc32("key") % 20 == 0)).isEmpty()
 
 
 def test_audit(spark):
@@ -448,6 +453,136 @@ def test_quality(spark):
     assert {r["score"] for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_measures(raw):
+    """The measures of one text, with nothing but Python."""
+    words = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", raw) if w]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    size, n = max(len(raw), 1), max(len(words), 1)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / size
+    alnum = lambda c: chr(c).isalnum() or c > 127
+    lines = raw.split(b"\n")
+    return [
+        math.log1p(len(raw)), math.log1p(len(words)), sum(map(len, words)) / n, math.log1p(max(map(len, words), default=0)),
+        share(range(65, 91)), share(range(48, 58)), share(b".,;:'\"()-?!"), share(b"#$%&*+/<=>@[\\]^_`{|}~"), share(b"\n"), share(range(128, 256)),
+        len(set(low)) / n, sum(a == b for a, b in itertools.pairwise(low)) / n, sum(not alnum(w[-1]) and w[-1] not in b".,;:" for w in words) / n,
+        -sum(raw.count(bytes([c])) / size * math.log2(raw.count(bytes([c])) / size) for c in set(raw)), len(set(lines)) / len(lines) * bool(raw), math.log1p(len(words) / (1 + sum(raw.count(c) for c in (b".", b"!", b"?")))),
+    ]
+
+
+def test_quality_against_plain_python(spark):
+    """Measures and sums of table entries as plain loops have them, through the operator, odd rows included."""
+    rng = random.Random(21)
+    texts = ["", " ", "a", "One two. two\nTwo!", "é" * 40, "x" * 3000, "#$ %% a,b; c"] + ["".join(rng.choice("ab C1.,#\n é") for _ in range(rng.randint(1, 300))) for _ in range(120)]
+    got = quality.measures([t.encode() for t in texts])
+    assert np.allclose(got, [plain_measures(t.encode()) for t in texts])
+    docs = spark.createDataFrame([(k, t, "s", 0.5) for k, t in enumerate(texts)] + [(None, None, "s", 0.5)], "doc_id bigint, text string, label string, score double")
+    y = {k: int("#" in t) for k, t in enumerate(texts)}
+    labels = spark.createDataFrame(list(y.items()), "doc_id bigint, quality int")
+    train = [k for k in sorted(y) if not held(k)]
+    model = quality.AdditiveModel.fit(got[train], np.array([float(y[k]) for k in train]))
+
+    def plain(row):
+        at = [sum(c <= v for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        z = model.constant + sum(t[b] for t, b in zip(model.tables, at, strict=True)) + sum(t[at[i], at[j]] for (i, j), t in model.pairs.items())
+        return 1 / (1 + math.exp(-max(-35, min(35, z))))
+
+    want = {k: plain(plain_measures(t.encode())) for k, t in enumerate(texts)} | {None: plain(plain_measures(b""))}
+    # the operator reads the rows in another order, which bins don't depend on
+    rows = quality.quality(docs, labels).collect()
+    assert len(rows) == len(want) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-9 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def plain_contamination(docs, items, window=5, literal=2):
+    """Matches of items in documents by the rules as they are stated, with dictionaries; texts of ASCII words."""
+    def words(text):
+        out, opens = [], True
+        for m in re.finditer(r"[A-Za-z]+|[0-9]+|[.!?]", text):
+            w = m[0]
+            if w in ".!?":
+                opens = True
+                continue
+            after = bool(out) and out[-1][1] == 1
+            kind = 1 if w.isdigit() else 3 if after and w.lower() in decontamination.UNITS else 2 if w[0].isupper() and not opens else 0
+            out.append((w.lower(), kind, w[0].isupper() and opens and kind == 0))
+            opens = False
+        return out
+
+    def views(ws):
+        """(place, whether a template, what is matched, slots) of all windows."""
+        for at in range(max(1, len(ws) - window + 1) if ws else 0):
+            some = ws[at : at + window]
+            yield at, False, tuple(w for w, _, _ in some), ()
+            for opening in (False, True):
+                kinds = [4 if opening and o else k for _, k, o in some]
+                n = sum(k > 0 for k in kinds)
+                if n and len(some) - n >= literal and (not opening or 4 in kinds):
+                    yield at, True, tuple(("slot", 2 if k == 4 else k) if k else w for (w, _, _), k in zip(some, kinds, strict=True)), tuple((k, w) for (w, _, _), k in zip(some, kinds, strict=True) if k)
+
+    found, first = set(), {}
+    for i, t in sorted(items):
+        first.setdefault(tuple(words(t)) and tuple(w for w, _, _ in words(t)), i)
+    for key, i in first.items():
+        if not key:
+            continue
+        item = next(list(views(words(t))) for k, t in items if k == i)
+        n = max(v[0] for v in item) + 1
+        for d, t in docs:
+            shifts: dict = {}
+            for da, dt, dw, ds in views(words(t)):
+                for a, tt, w, s in item:
+                    if dt == tt and dw == w:
+                        shifts.setdefault(da - a, []).append((a, tt, s, ds))
+            at, runs = {}, 0
+            for hits in shifts.values():
+                values: dict = {}
+                for _, template, s, ds in hits:
+                    for (k, w), (_, x) in zip(s, ds, strict=True):
+                        values.setdefault((2 if k == 4 else k, w), []).append((k != 4, x))
+                torn = any(len({x for sure, x in v if sure}) > 1 for v in values.values())
+                loose = {w for (k, w), v in values.items() if k == 2 and len({x for _, x in v}) > 1}
+                good = [(a, template) for a, template, s, _ in hits if not template or not (torn or any(k == 4 and w in loose for k, w in s))]
+                for a, template in good:
+                    at[a] = min(at.get(a, True), template)
+                places = sorted({a for a, _ in good})
+                runs = max([runs, *(len(list(g)) for _, g in itertools.groupby(places, key=lambda a, p=places: a - p.index(a)))])
+            if at and (len(at) / n >= 0.75 or runs >= decontamination.MIN_RUN - window + 1):
+                found.add((d, i, len(at), sum(not x for x in at.values()), n))
+    return found
+
+
+def test_decontamination_against_plain_python(spark):
+    rng = random.Random(8)
+    common = ["the", "train", "took", "and", "cost", "of", "sold", "box", "red", "ran", "to", "for"]
+
+    def text(n):
+        out, start = [], True
+        for _ in range(n):
+            x = rng.random()
+            w = str(rng.randint(1, 9)) if x < 0.15 else rng.choice(["Tom", "Ann", "Bob", "Sue"]) if x < 0.3 else rng.choice(["km", "kg"]) if x < 0.36 else rng.choice(common)
+            out.append(w.capitalize() if start and rng.random() < 0.7 else w)
+            start = rng.random() < 0.12
+            if start:
+                out[-1] += "."
+        return " ".join(out)
+
+    items = [(k, text(rng.randint(3, 45))) for k in range(12)]
+    items.append((20, items[3][1].lower()))
+
+    def reworded(t):
+        names, numbers = dict(zip(["Tom", "Ann", "Bob", "Sue"], rng.sample(["Kim", "Joe", "Eva", "Tom"], 4), strict=True)), rng.random() < 0.8
+        return re.sub(r"Tom|Ann|Bob|Sue", lambda m: names[m[0]], re.sub(r"[0-9]", lambda m: str((int(m[0]) + 3) % 10) if numbers else str(rng.randint(0, 9)), t))
+
+    docs = [(k, text(rng.randint(0, 60))) for k in range(10)]
+    for _, t in items:
+        ws = t.split()
+        for made in (t, reworded(t), " ".join(ws[: len(ws) * 4 // 5]), " ".join(w if rng.random() > 0.08 else "zz" for w in ws)):
+            docs.append((len(docs), f"{text(6)}. {made} {text(5)}"))
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = plain_contamination(docs, items)
+    assert {(r["doc_id"], r["item_id"], r["n_found"], r["n_exact"], r["n_windows"]) for r in got} == want
+    assert sum(e < f for _, _, f, e, _ in want) > 3  # some are only found as templates
+
+
 def test_pairs_are_learned():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))

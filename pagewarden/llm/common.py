@@ -25,6 +25,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of results that nothing reads any more, on whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """df with its rows written to the shared checkpoint folder and its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -57,11 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents; each result goes to the shared checkpoint folder."""
+    """All stages over the whole table of documents; each result goes to the shared checkpoint folder, and goes again when the next one is there."""
     common.ensure_checkpoint_dir(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = queries.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            common.remove(spark, f"{place}/{k - 1}")
     return docs

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 
 from pagewarden.llm.common import frozen, long_array, ranked
 
+#: Bits of a cell up to which all cells' places on the curve are one constant.
+TABLE_BITS = 16
+
+
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Index on the curve of grid cells (one row each, one column for each dimension), by Skilling's transform."""
     x = cells.astype(np.int64).T.copy()
@@ -73,16 +77,28 @@ def _bin(value: Column, steps: list[tuple], kind: T.DataType) -> Column:
     return out
 
 
-def hilbert_order(df: DataFrame, dims: list[str], bits: int, rank: str = "rank") -> tuple[DataFrame, int]:
-    """df (slim: it is written to the shared folder) with curve_index and its rows' rank on the curve."""
-    rows = frozen(df)
-    bins = [_bin(F.col(c), _steps(rows, c, 1 << bits), rows.schema[c].dataType) for c in dims]
+def _on_curve(bins: list[Column], bits: int) -> Column:
+    """The curve's index of a cell: looked up in a table of all cells if they are few, so that no row leaves the JVM."""
+    if bits * len(bins) <= TABLE_BITS:
+        cells = np.indices((1 << bits,) * len(bins)).reshape(len(bins), -1).T
+        code = F.lit(0)
+        for b in bins:
+            code = code * F.lit(1 << bits) + b
+        return F.element_at(long_array(hilbert_index(cells, bits)), (code + 1).cast("int"))
 
     @F.pandas_udf("bigint")
     def index(*bins: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([b.to_numpy() for b in bins], 1), bits))
 
-    rows = rows.withColumn("curve_index", index(*bins))
+    return index(*bins)
+
+
+def hilbert_order(df: DataFrame, dims: list[str], bits: int, rank: str = "rank") -> tuple[DataFrame, int]:
+    """df (slim: it is written to the shared folder) with curve_index and its rows' rank on the curve."""
+    rows = frozen(df)
+    bins = [_bin(F.col(c), _steps(rows, c, 1 << bits), rows.schema[c].dataType) for c in dims]
+
+    rows = rows.withColumn("curve_index", _on_curve(bins, bits))
     # rows of one cell are spread by a hash, so a cell with a large share of the rows is still cut
     rows = rows.withColumn("__tie", F.xxhash64(*df.columns))
     out, total = ranked(rows, ["curve_index", "__tie", *df.columns], rank)

@@ -58,6 +58,11 @@ def test_bins_span_the_grid(spark):
         for v, b in hilbert._steps(df, c, 16):
             assert b == sum(r[i] < v for r in rows) * 16 // len(rows)
     assert len(hilbert._steps(df, "n", 16)) == 16
+    few, _ = hilbert.hilbert_order(df, ["url", "n", "source"], 4)
+    many, _ = hilbert.hilbert_order(df, ["url", "n", "source"], 6)  # too many cells for a table
+    assert many.select("curve_index").distinct().count() >= few.select("curve_index").distinct().count() > 50
+    bins = [F.lit(3), F.lit(9), F.lit(14)]
+    assert spark.range(1).select(hilbert._on_curve(bins, 4)).first()[0] == hilbert.hilbert_index(np.array([[3, 9, 14]]), 4)[0]
     assert hilbert._steps(df.filter("n < 0"), "n", 16) == []
 
 

@@ -108,7 +108,7 @@ _WARC = (
 def _places(name: str) -> str:
     """SQL for the places of an archive's records: a border where a hash says so, offsets within a segment."""
     return f"""{name}_k AS (SELECT page_id, kind, sha, harmed, max(length) AS length, count(*) AS copies, sha256(coalesce(cast(page_id AS varchar), '') || ' ' || sha) AS k FROM {name} GROUP BY ALL),
-        {name}_s AS (SELECT *, (count(*) FILTER (('0x' || k[:8])::BIGINT % 4096 = 0) OVER (ORDER BY page_id NULLS LAST, sha))::BIGINT AS segment FROM {name}_k),
+        {name}_s AS (SELECT *, (count(*) FILTER (('0x' || k[:8])::BIGINT % 1024 = 0) OVER (ORDER BY page_id NULLS LAST, sha))::BIGINT AS segment FROM {name}_k),
         {name}_placed AS (SELECT *, (row_number() OVER w - 1)::INT AS leaf, (sum(length * copies) OVER w - length * copies)::BIGINT AS "start", (sum(length * copies) OVER w)::BIGINT AS "end"
             FROM {name}_s WINDOW w AS (PARTITION BY segment ORDER BY page_id NULLS LAST, sha))"""
 

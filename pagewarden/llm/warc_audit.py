@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pagewarden.llm.common import frozen, ranked
 
 #: Records in a WARC file, on average, and children of a node.
-SEGMENT_RECORDS, FANOUT = 4096, 16
+SEGMENT_RECORDS, FANOUT = 1024, 16
 #: Records over which one task counts borders.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 _BREAK = "\r\n"
 
 

@@ -68,6 +68,9 @@ class Tree(HTMLParser):
         self.close()
         self._to_body()
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
+
     # -- modes: start, head, after_head, body, after_body
     def _to_head(self, attrs=None):
         if self.mode == "start":
@@ -242,25 +245,36 @@ class Tree(HTMLParser):
         (self.html if self.mode == "after_body" else self.open[-1]).add(Node("!", {"": data}))
 
 
-def _serialised(node) -> int:
-    """Length of a node's outer HTML in UTF-16 units."""
-    units = lambda s: len(s.encode("utf-16-le", "surrogatepass")) // 2
+def _units(text: str) -> int:
+    """Length of a text in UTF-16 units."""
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def _serialised(nodes: list) -> int:
+    """Length of the outer HTML of a tree's nodes and texts in UTF-16 units."""
     total = 0
-    for x in node.walk():
-        if isinstance(x, Node):
-            if x.tag == "!":
-                total += 7 + units(x.attrs[""])
-                continue
-            total += 2 + len(x.tag) + sum(4 + len(k) + units(v) + 4 * v.count("&") + 5 * v.count("\xa0") + 5 * v.count('"') + 3 * (v.count("<") + v.count(">")) for k, v in x.attrs.items())
-            if x.tag not in VOID:
-                total += 3 + len(x.tag)
-            raw = x.tag in RAW or x.tag == "noscript"
-            for kid in x.kids:
-                if isinstance(kid, str):
-                    total += units(kid) + (0 if raw else 4 * kid.count("&") + 5 * kid.count("\xa0") + 3 * (kid.count("<") + kid.count(">")))
+    for x in nodes:
+        if isinstance(x, str):
+            continue
+        if x.tag == "!":
+            total += 7 + _units(x.attrs[""])
+            continue
+        total += 2 + len(x.tag) if x.tag in VOID else 5 + 2 * len(x.tag)
+        for k, v in x.attrs.items():
+            total += 4 + len(k) + _units(v)
+            if _ESCAPED.search(v):
+                total += 4 * v.count("&") + 5 * v.count("\xa0") + 5 * v.count('"') + 3 * (v.count("<") + v.count(">"))
+        raw = x.tag in RAW or x.tag == "noscript"
+        for kid in x.kids:
+            if isinstance(kid, str):
+                total += _units(kid)
+                if not raw and _ESCAPED.search(kid):
+                    total += 4 * kid.count("&") + 5 * kid.count("\xa0") + 3 * (kid.count("<") + kid.count(">"))
     return total
 
 
+_COPYRIGHT = re.compile("copyright", re.I)
+_ESCAPED = re.compile("[&\xa0\"<>]")
 _INTS = "forms passwords action_external action_empty scripts scripts_external iframes hidden anchors anchors_external anchors_null icon_external meta_refresh onsubmit nodes html_len".split()
 _TEXTS = ["title", "lang", "footer_text", "body_text", "error"]
 SUMMARY = ", ".join([f"{c} int" for c in _INTS] + [f"{c} string" for c in _TEXTS])
@@ -283,7 +297,8 @@ def summarize(html: str, url: str, etld1: str | None, rules: SuffixRules) -> dic
             known[href] = there is not None and there != etld1
         return known[href]
 
-    elements = [x for x in tree.html.walk() if isinstance(x, Node) and x.tag != "!"]
+    everything = list(tree.html.walk())  # in document order, once for all that follows
+    elements = [x for x in everything if not isinstance(x, str) and x.tag != "!"]
     for e in elements:
         if e.tag == "base" and "href" in e.attrs and own:
             base, own = whatwg.parse(e.attrs["href"], base) or base, False
@@ -326,15 +341,14 @@ def summarize(html: str, url: str, etld1: str | None, rules: SuffixRules) -> dic
         out["action_empty"] = int(action in ("", "#") or action.lower().startswith("javascript:"))
         out["action_external"] = int(not out["action_empty"] and external(action))
     if tree.body is not None:
-        footers += [t for t in tree.body.walk() if isinstance(t, str) and ("©" in t or re.search("copyright", t, re.I))]
-        body = tree.body.text()
-        raw = body.encode("utf-16-le", "surrogatepass")
-        out["body_text"] = (raw[: 2 * MAX_TEXT].decode("utf-16-le", "ignore") if len(raw) > 2 * MAX_TEXT else body).lower()
+        texts = [x for x in everything[everything.index(tree.body) :] if isinstance(x, str)]  # the body is the last element
+        footers += [t for t in texts if "©" in t or _COPYRIGHT.search(t)]
+        body = "".join(texts)
+        if _units(body) > MAX_TEXT:
+            body = body.encode("utf-16-le", "surrogatepass")[: 2 * MAX_TEXT].decode("utf-16-le", "ignore")
+        out["body_text"] = body.lower()
     out["footer_text"], out["lang"] = " ".join(footers), tree.html.attrs.get("lang", "")
-    for out["nodes"], _ in enumerate(tree.html.walk(), 1):  # noqa: B007
-        if out["nodes"] >= MAX_NODES:
-            break
-    out["html_len"] = _serialised(tree.html)
+    out["nodes"], out["html_len"] = min(len(everything), MAX_NODES), _serialised(everything)
     return out
 
 

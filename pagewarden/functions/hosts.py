@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,16 +36,23 @@ class SuffixRules:
                 rules[private].add(rule if rule.isascii() else ".".join(x if x.isascii() else x.encode("idna").decode() for x in rule.split(".")))
         return cls(frozenset(r for r in rules[False] if "." in r), frozenset(rules[True]), frozenset(r.lstrip("!*.").split(".")[-1] for r in rules[False]))
 
+    @cached_property
+    def _every(self) -> frozenset[str]:
+        return self.public | self.private
+
     def rules(self, with_private: bool = True) -> frozenset[str]:
-        return self.public | self.private if with_private else self.public
+        return self._every if with_private else self.public
 
     def suffix_of(self, host: str, with_private: bool = True) -> str:
-        known, labels = self.rules(with_private), host.split(".")
-        tails = [".".join(labels[k:]) for k in range(len(labels))]
-        for tail, rest in zip(tails, [*tails[1:], ""], strict=True):
+        known, found, tail = self.rules(with_private), "", host
+        while tail:
+            rest = tail.partition(".")[2]
             if "!" + tail in known:
                 return rest
-        return next((t for t, rest in zip(tails, [*tails[1:], ""], strict=True) if t in known or (rest and "*." + rest in known)), labels[-1])
+            if not found and (tail in known or (rest and "*." + rest in known)):
+                found = tail
+            tail = rest
+        return found or host.rpartition(".")[2]
 
     def registrable(self, host: str, with_private: bool = True, strict: bool = False) -> str | None:
         """The suffix with one more label; None if the host has no more, or (strict) if its top label isn't listed."""

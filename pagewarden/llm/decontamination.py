@@ -6,6 +6,10 @@ joined with those of the benchmark's items. A window that matches as a template
 are filled consistently: along one alignment of document and item, each value of the item always stands
 for the same value of the document. An item is in a document if enough of the item's windows are, or a
 long run of them along one alignment.
+
+A window that many items share and many documents hold would make a row for each two of them. So documents
+first meet items by anchors alone: the item's rarest windows, so many of them and so placed that any match
+that counts holds one. All windows are then compared between documents and the items they have an anchor of.
 """
 
 from __future__ import annotations
@@ -157,6 +161,21 @@ class _Wanted:
         return out
 
 
+def _anchors(rows: DataFrame, item_col: str, min_share: float, least_run: int) -> DataFrame:
+    """hash, template, item of windows of which a document holds at least one if the item is in it.
+
+    With f windows that may be missing these are the f + 1 that fewest items share, and the rarest of each
+    half as many places in a row as a run must have, since any such run holds one of those stretches whole.
+    """
+    shared = rows.groupBy("hash", "template").agg(F.count(F.lit(1)).alias("k"))
+    places = rows.join(shared, ["hash", "template"]).groupBy(item_col, "item_at", "n_windows").agg(F.sum("k").alias("cost"))
+    missing = F.floor((1 - min_share) * F.col("n_windows") + 1e-9)
+    rarest = F.row_number().over(Window.partitionBy(item_col).orderBy("cost", "item_at")) <= missing + 1
+    stretch = F.row_number().over(Window.partitionBy(item_col, F.expr(f"item_at div {max(1, (least_run + 1) // 2)}")).orderBy("cost", "item_at")) == 1
+    chosen = places.withColumn("__rarest", rarest).withColumn("__stretch", stretch).filter("__rarest OR __stretch").select(item_col, "item_at")
+    return rows.join(chosen, [item_col, "item_at"], "left_semi").select("hash", "template", item_col).distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, min_share: float = MIN_SHARE, max_sent: int = MAX_SENT, min_run: int = MIN_RUN) -> DataFrame:
     """One row for each document and item that is in it: the document's id and text_hash, the item's id,
     n_windows, n_found, n_exact, share, reworded (whether slots had to be filled differently).
@@ -178,8 +197,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         wanted = lambda h: sent.value(h)
     key = [id_col, "text_hash"]
     source = docs.select(F.col(id_col), F.xxhash64(utf8(text_col)).alias("text_hash"), utf8(text_col).alias("raw"))
+    held = frozen(_windows(source, key, window, wanted))
+    least_run = max(min_run - window + 1, 1)
+    near = held.join(_anchors(rows, item_col, min_share, least_run), ["hash", "template"]).select(*[F.col(k).alias(f"__{k}") for k in key], F.col(item_col).alias("__item")).distinct()
     # equal rows give equal windows; the matches are counted by position, so they count once
-    hits = _windows(source, key, window, wanted).join(rows, ["hash", "template"])
+    met = held.join(near, F.col(id_col).eqNullSafe(F.col(f"__{id_col}")) & (F.col("text_hash") == F.col("__text_hash")))
+    own = rows.select(F.col(item_col), "n_windows", "item_at", F.col("hash").alias("__hash"), F.col("template").alias("__template"), "item_slots")
+    hits = met.join(own, (F.col("__item") == F.col(item_col)) & (F.col("hash") == F.col("__hash")) & (F.col("template") == F.col("__template")))
     hits = frozen(hits.select(*key, item_col, "n_windows", "item_at", "template", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots"))
     pair = [*[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], F.col(item_col) == F.col("__item"), F.col("shift") == F.col("__shift")]
     filled = hits.filter("template").select(*key, item_col, "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
@@ -199,7 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = found.groupBy(*key, item_col, "n_windows").agg(F.count(F.lit(1)).alias("n_found"), F.count(F.when(~F.col("template"), 1)).alias("n_exact"))
     line = [*key, item_col, "shift"]
     runs = sound.select(*line, "item_at").distinct().withColumn("run", F.col("item_at") - F.row_number().over(Window.partitionBy(*line).orderBy("item_at")))
-    runs = runs.groupBy(*line, "run").agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") >= max(min_run - window + 1, 1))
+    runs = runs.groupBy(*line, "run").agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") >= least_run)
     runs = runs.groupBy(*[F.col(k).alias(f"__{k}") for k in key], F.col(item_col).alias("__item")).agg(F.max("length").alias("longest"))
     found = found.join(runs, pair[0] & pair[1] & pair[2], "left").withColumn("share", F.col("n_found") / F.col("n_windows"))
     found = found.filter((F.col("share") >= min_share) | F.col("longest").isNotNull()).drop("longest", *[f"__{k}" for k in key], "__item")

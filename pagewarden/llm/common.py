@@ -110,7 +110,9 @@ def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, weight: str, t
     """
     others = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(weight) * HOT_SHARE > total).select(F.col(key).alias("__hot"), F.struct(*others).alias("__of_hot"))
-    rest = groups.select(F.col(key).alias("__key"), F.lit(0).alias("__zero"), F.struct(*others).alias("__of"))
+    # a zero that isn't a constant, which would be taken out of the join's keys
+    zero = F.least(F.col(weight), F.lit(0)).cast("int")
+    rest = groups.select(F.col(key).alias("__key"), zero.alias("__zero"), F.struct(*others).alias("__of"))
     # rows of hot groups have theirs already: a number keeps them apart from the other join's keys
     number = F.when(F.col("__hot").isNull(), 0).otherwise((1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).cast("int"))
     out = rows.join(F.broadcast(hot), rows[key] == F.col("__hot"), "left").withColumn("__salt", number)

@@ -162,7 +162,9 @@ def _nodes(top: _Node):
 
 
 def _columns(batch, *names):
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+    """Rows of some columns, few of them as Python objects at once."""
+    for i in range(0, batch.num_rows, 256):
+        yield from zip(*(batch.column(n).slice(i, 256).to_pylist() for n in names), strict=True)
 
 
 def _local_owners(bound):
@@ -217,8 +219,8 @@ def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_b
 def _digests(batches):
     """The digest of each row's normalised text, and a hash of its text as it is."""
     for batch in batches:
-        raws = batch.column("raw").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_hash"), pa.array([hashlib.sha256(squeeze(r)).hexdigest() for r in raws], pa.string())], ["id", "row_hash", "text_sha256"])
+        digests = pa.array([hashlib.sha256(squeeze(r)).hexdigest() for (r,) in _columns(batch, "raw")], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_hash"), digests], ["id", "row_hash", "text_sha256"])
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str, trie_bytes: int) -> DataFrame:
